@@ -101,7 +101,7 @@ def resolve_attempts(copies: DataFrame, max_attempts: int = 3) -> DataFrame:
     """
     page = ["source_id", "page_index"]
     answer = F.struct("state", "reason", "postings")
-    by_channel = lambda name: F.max_by(answer, F.col("fetched_at")).filter(F.col("channel") == name)
+    by_channel = lambda name: F.max_by(answer, F.when(F.col("channel") == name, F.col("fetched_at")))
     attempts = (
         copies.filter(F.col("attempt") < max_attempts)
         .repartition(*page)
@@ -114,7 +114,7 @@ def resolve_attempts(copies: DataFrame, max_attempts: int = 3) -> DataFrame:
     )
     final = F.col("a.state") != "failed"
     resolved = answers.groupBy(*page).agg(
-        F.min_by("a", "attempt").filter(final).alias("ended"), F.max_by("a", "attempt").alias("last")
+        F.min_by("a", F.when(final, F.col("attempt"))).alias("ended"), F.max_by("a", "attempt").alias("last")
     )
     return resolved.select(
         *page,
@@ -134,9 +134,9 @@ def source_outcomes(page_outcomes: DataFrame, sources: DataFrame) -> DataFrame:
     """
     first = F.col("page_index") == 0
     per_source = page_outcomes.groupBy("source_id").agg(
-        F.max_by("outcome", "page_index").filter(first).alias("first_outcome"),
-        F.max_by("reason", "page_index").filter(first).alias("first_reason"),
-        F.min("page_index").filter((F.col("outcome") == "blocked") & ~first).alias("blocked_page"),
+        F.max(F.when(first, F.col("outcome"))).alias("first_outcome"),
+        F.max(F.when(first, F.col("reason"))).alias("first_reason"),
+        F.min(F.when((F.col("outcome") == "blocked") & ~first, F.col("page_index"))).alias("blocked_page"),
     )
     known = F.col("parser_type").isin(PARSER_TYPES)
     return sources.join(per_source, "source_id", "left").select(

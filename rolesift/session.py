@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def local_session(cpus: int = 8, name: str = "rolesift") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -36,15 +38,39 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return side
 
 
-def materialize(rows: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set, as in tests, a temporary one is made.
+    Only where it is unset, as in tests, a temporary folder stands in.
     """
-    spark = rows.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rolesift-"))
-    return rows.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rolesift-"))
+    return context.getCheckpointDir()
+
+
+def _staged(spark: SparkSession):
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/staged")
+
+
+def materialize(rows: DataFrame) -> DataFrame:
+    """Cut lineage by a table written to the shared folder.
+
+    Unlike executor caches it outlives lost executors, and later reads prune
+    its columns and know its size.
+    """
+    spark = rows.sparkSession
+    path = f"{_staged(spark)}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` once nothing reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = _staged(spark)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for name in {f.rsplit("/", 2)[1] for f in table.inputFiles()}:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)

@@ -30,7 +30,7 @@ def read_configs(spark: SparkSession, folder: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "file string, config_text string")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("config_text"))
 
 
@@ -111,7 +111,7 @@ def config_violations(files: DataFrame) -> DataFrame:
     generic_json = F.col("parser_type") == "generic_json"
     known = F.coalesce(F.col("parser_type").isin(PARSER_TYPES), F.lit(False))
     absent = F.filter(F.array(*map(F.lit, REQUIRED_KEYS)), lambda k: ~F.array_contains(F.map_keys("every"), k))
-    complete = F.size(absent) == 0
+    complete = is_object(doc) & (F.size(absent) == 0)
     checked = complete & known
     paged = checked & is_object(paging) & (F.size(F.try_variant_get(paging, "$", "map<string,variant>")) > 0)
     strategy = page_strategy(paging)
@@ -133,8 +133,8 @@ def config_violations(files: DataFrame) -> DataFrame:
     option_keys = F.map_keys(F.when(is_object(options), F.try_variant_get(options, "$", "map<string,variant>")))
     odd_options = F.when(generic_json, unknown(option_keys, PARSER_OPTIONS["generic_json"])).otherwise(unknown(option_keys, []))
     rules = [
-        found(doc.isNull(), "error", "json", "not a JSON object"),
-        found(doc.isNotNull() & ~complete, "error", "required_keys",
+        found(~is_object(doc), "error", "json", "not a JSON object"),
+        found(is_object(doc) & ~complete, "error", "required_keys",
               F.concat(F.lit("Missing required keys: "), F.array_join(F.array_sort(absent), ", "))),
         *[
             found(member(doc, k).isNotNull() & (kind(member(doc, k)) != "VOID") & ~is_object(member(doc, k)),
