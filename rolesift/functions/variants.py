@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from rolesift.functions.text import blank_to_null, clean, let
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else null.
+
+    The parser stops after the first value, so the text is read inside a list and
+    inside an object: whatever follows the value breaks one of the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(held, "$.v", "variant").isNotNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parse_document(content: Column) -> Column:
     """VARIANT when the text starts like an object or array and parses, else null."""
-    return F.when(content.rlike(r"^\s*[\[{]"), F.try_parse_json(content))
+    return F.when(content.rlike(r"^\s*[\[{]"), strict_json(content))
 
 
 def kind(v: Column) -> Column:

@@ -4,8 +4,8 @@ A page stays one row until its postings are final: they are built as an array
 by Column expressions and exploded once, so extraction never shuffles and a
 source holding most pages is spread over tasks like any other. Documents (JSON,
 linked data, embedded script data) meet in one raw shape, links and cards in
-another; entities are resolved by one Arrow call per shape, fed only by pages
-whose text holds '&'.
+another; entities in JSON are resolved by an Arrow call fed only by pages whose
+text holds '&'.
 
 Input columns: the page key, ``content``, ``source_id``, ``careers_url``,
 ``parser_type``, ``selectors`` MAP, ``jobs_path``, ``url_base``, ``fields`` MAP
@@ -43,6 +43,7 @@ from rolesift.functions.variants import (
     parse_document,
     path_pair,
     scalar_text,
+    strict_json,
     text_of,
     truthy_text,
 )
@@ -242,7 +243,7 @@ _GRAPH_DEPTH = 3
 
 def linked_data_objects(scripts: Column) -> Column:
     """Every object of the scripts in order, ``@graph`` lists expanded in place."""
-    parsed = F.filter(F.transform(scripts, lambda s: F.try_parse_json(s)), lambda v: v.isNotNull())
+    parsed = F.filter(F.transform(scripts, strict_json), lambda v: v.isNotNull())
     objects = F.flatten(F.transform(parsed, lambda v: F.when(is_array(v), elements(v)).otherwise(F.array(v))))
     for _ in range(_GRAPH_DEPTH):
         objects = F.flatten(
@@ -299,7 +300,7 @@ def workday_script_rows(scripts: Column) -> Column:
     """Rows of ``jobPostings`` inside scripts, read from first '{' to last '}'."""
 
     def items(script: Column) -> Column:
-        doc = F.try_parse_json(F.regexp_extract(script, r"(?s)\{.*\}", 0))
+        doc = strict_json(F.regexp_extract(script, r"(?s)\{.*\}", 0))
         return F.coalesce(elements(member(doc, "jobPostings")), F.array().cast("array<variant>"))
 
     def row(item: Column) -> Column:
@@ -557,39 +558,33 @@ def extract_postings(pages: DataFrame, families: list[str] | None = None) -> Dat
     time and id are still as found; :func:`explode_postings` cleans them.
     """
     families = [f for f in PARSER_TYPES if families is None or f in families]
+    family = F.col("parser_type")
     kept = [c for c in pages.columns if c != "content"]
 
-    from_json = _with_document(pages).select(*kept, "content", _json_rows(F.col("_doc"), families).alias("_json"))
-    if set(families) <= {"generic_json"}:
-        found = from_json.select(*kept, F.col("_json").alias("_rows"))
-    else:
-        found = _walked_rows(from_json, kept, families)
-    # element texts come unescaped; only document rows may still hold entities
-    escaped = F.exists(
-        "_rows",
-        lambda r: r["source"].isin("json", "linked", "script")
-        & F.contains(F.concat_ws(" ", *[r[n] for n in _FIELDS]), F.lit("&")),
-    )
-    plain = found.select(
-        *kept, F.coalesce(_unescape_rows(F.when(escaped, F.col("_rows"))), F.col("_rows")).alias("_rows")
-    )
-    return plain.select(*kept, _joined_rows().alias("_rows")).select(*kept, _chosen_rows(F.col("_rows")).alias("postings"))
-
-
-def _walked_rows(from_json: DataFrame, kept: list[str], families: list[str]) -> DataFrame:
-    family, nodes = F.col("parser_type"), F.col("_nodes")
-    generic_html = family == "generic_html"
+    read = _with_document(pages).select(*kept, "content", _json_rows(F.col("_doc"), families).alias("_json"))
+    escaped = F.exists("_json", lambda r: F.contains(F.concat_ws(" ", *[r[n] for n in _FIELDS]), F.lit("&")))
     # a page whose JSON surely gives a posting needs no HTML walk
     settled = F.exists(
         "_json",
         lambda r: (F.trim(r["title"]) != "") & ~F.contains(r["title"], F.lit("&")) & (F.trim(r["url"]) != ""),
     )
     walk = family.isin([f for f in families if f != "generic_json"]) & ~F.coalesce(settled, F.lit(False))
-    parsed = from_json.select(
-        *kept, "_json",
-        reachable_elements(F.when(walk, F.col("content")), F.when(walk, page_selectors())).alias("_nodes"),
-    )
+    gated = read.withColumns({"_escaped": F.when(escaped, F.col("_json")), "_walk": walk})
+    # the two Arrow calls stand side by side: neither is fed by the other
+    plain = F.when(F.col("_escaped").isNull(), F.col("_json")).otherwise(_unescape_rows("_escaped"))
+    if set(families) <= {"generic_json"}:
+        found = gated.select(*kept, plain.alias("_rows"))
+    else:
+        nodes = reachable_elements(
+            F.when(F.col("_walk"), F.col("content")), F.when(F.col("_walk"), page_selectors())
+        )
+        found = _walked_rows(gated.select(*kept, plain.alias("_json"), nodes.alias("_nodes")), kept, families)
+    return found.select(*kept, _joined_rows().alias("_rows")).select(*kept, _chosen_rows(F.col("_rows")).alias("postings"))
 
+
+def _walked_rows(parsed: DataFrame, kept: list[str], families: list[str]) -> DataFrame:
+    family, nodes = F.col("parser_type"), F.col("_nodes")
+    generic_html = family == "generic_html"
     scripts = F.filter(nodes, lambda n: n["tag"] == "script")
     linked = F.filter(scripts, lambda n: F.try_element_at(n["attrs"], F.lit("type")) == "application/ld+json")
     objects = linked_data_objects(F.transform(linked, lambda n: n["raw"]))

@@ -9,6 +9,7 @@ All choices made on top of the elements are Column expressions.
 from __future__ import annotations
 
 import html
+import json
 import re
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -223,6 +224,27 @@ def _squeeze(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+def _unescaped_json(raw: str) -> str:
+    """Script data with the entities of its strings resolved; other text as it is."""
+    start, end = min((i for i in (raw.find("{"), raw.find("[")) if i >= 0), default=-1), max(raw.rfind("}"), raw.rfind("]"))
+    if "&" not in raw or start < 0:
+        return raw
+
+    def resolve(value):
+        if isinstance(value, str):
+            return html.unescape(value)
+        if isinstance(value, list):
+            return [resolve(v) for v in value]
+        if isinstance(value, dict):
+            return {k: resolve(v) for k, v in value.items()}
+        return value
+
+    try:
+        return json.dumps(resolve(json.loads(raw[start : end + 1])), ensure_ascii=False)
+    except ValueError:
+        return raw
+
+
 def read_elements(content: str, selectors: dict[str, str], keep_all: bool) -> list[dict]:
     """Elements of one page: all, or those a later step can ask for.
 
@@ -264,7 +286,7 @@ def read_elements(content: str, selectors: dict[str, str], keep_all: bool) -> li
                 "roles": roles.get(e.id, []),
                 "own_text": None if script else _squeeze(" ".join(" ".join(e.own).split())),
                 "text": None if script else " ".join(_squeeze(" ".join(pieces)).split()),
-                "raw": raw if data_script or keep_all else None,
+                "raw": _unescaped_json(raw) if data_script else raw if keep_all else None,
             }
         )
     return out

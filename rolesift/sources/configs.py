@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import blank_to_null, lenient_int
-from rolesift.functions.variants import is_object, kind, member, scalar_text, truthy_text
+from rolesift.functions.variants import is_object, kind, member, scalar_text, strict_json, truthy_text
 from rolesift.operators.extraction import PARSER_TYPES
 
 # fixed values: the configuration vocabulary
@@ -35,7 +35,7 @@ def read_configs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _doc() -> Column:
-    return F.try_parse_json(F.col("config_text"))
+    return strict_json(F.col("config_text"))
 
 
 def _text(key: str) -> Column:
@@ -177,7 +177,7 @@ def config_violations(files: DataFrame) -> DataFrame:
 
 def _with_shape(files: DataFrame) -> DataFrame:
     shaped = shape_configs(files.withColumn("file", F.struct("file", "config_text")))
-    doc = F.try_parse_json(F.col("file.config_text"))
+    doc = strict_json(F.col("file.config_text"))
     return shaped.withColumns({"doc": doc, "every": F.try_variant_get(doc, "$", "map<string,variant>")}).withColumn(
         "file", F.col("file.file")
     )
