@@ -63,11 +63,19 @@ def decide(geo_pass: Column, score: Column, min_score: float) -> Column:
 
 
 def _finish(scored: DataFrame, columns: list[str], min_score: float) -> DataFrame:
+    """The four result columns, through a generator of one row.
+
+    A later filter on the decision would otherwise be copied below the whole
+    computation and every text be cleaned and searched again for it.
+    """
     score = final_score(F.col("_ts"), F.col("_ds"), F.col("_minus"))
-    return (
-        scored.select(*columns, score.alias("score"), "matched_terms", "geo_pass")
-        .withColumn("decision", decide(F.col("geo_pass"), F.col("score"), min_score))
-    )
+    decided = scored.withColumn("score", score).select(
+        *columns,
+        F.array(
+            F.struct("score", "matched_terms", "geo_pass", decide(F.col("geo_pass"), F.col("score"), min_score).alias("decision"))
+        ).alias("_match"),
+    )
+    return decided.select(*columns, F.inline_outer("_match"))
 
 
 def match_postings(

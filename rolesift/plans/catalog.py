@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["matching", "scalars", "pages", "state"]
+_PARTS = ["matching", "scalars", "pages", "state", "sources"]
 
 CATALOG = {}
 for _part in _PARTS:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolesift.session import spread_if_few
+
 SPACES = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of long texts, spread over the cores."""
+    return spread_if_few(table(spark, sf_dir, name).select(*columns))
+
+
 def sql_clean(expr: str) -> str:
     return f"trim(regexp_replace(coalesce({expr}, ''), '{SPACES}', ' ', 'g'))"
 
@@ -41,7 +48,7 @@ def stamp(ts: Column) -> Column:
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw postings."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "source", "doc_id", "text", "lang").select(
         F.col("source").alias("source_id"),
         F.lit(0).alias("page_index"),
         F.col("doc_id").alias("job_index"),

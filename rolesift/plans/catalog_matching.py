@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift.operators import digest, matching, rules
 from rolesift.operators.normalize import normalize_jobs
-from rolesift.plans.catalog_base import SQL_HASH, SQL_POSTINGS, document_postings, table
+from rolesift.plans.catalog_base import SQL_HASH, SQL_POSTINGS, document_postings, table, texts
 
 # a small rule set whose terms occur in the given prose
 PROSE = rules.build_match_profile(
@@ -53,7 +53,7 @@ def decision_filter(spark, sf) -> DataFrame:
 def score_parts(spark, sf) -> DataFrame:
     """Positive score and penalty of the text alone, before they are weighed."""
     text = F.lower("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id",
         F.round(matching.positive_score(text, PROSE.positive), 9).alias("positive"),
         F.round(matching.penalty(text, PROSE.negative), 9).alias("penalty"),

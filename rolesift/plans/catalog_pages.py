@@ -10,7 +10,7 @@ from rolesift.functions.text import clean, parse_datetime
 from rolesift.operators import pages as pg
 from rolesift.operators.extraction import explode_postings, extract_postings
 from rolesift.operators.html_nodes import html_nodes
-from rolesift.plans.catalog_base import stamp, table
+from rolesift.plans.catalog_base import stamp, table, texts
 
 # --------------------------------------------------------------------------
 # page outcomes
@@ -26,7 +26,7 @@ def blocked_pages(spark, sf) -> DataFrame:
         .otherwise(F.col("html"))
     )
     status = F.when(F.col("page_id") % 5 == 0, 403).when(F.col("page_id") % 7 == 0, 404).otherwise(200)
-    return table(spark, sf, "pages").select("page_id", pg.blocked_reason(content, status).alias("reason"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", pg.blocked_reason(content, status).alias("reason"))
 
 
 def attempt_resolution(spark, sf) -> DataFrame:
@@ -131,7 +131,7 @@ def json_paths(spark, sf) -> DataFrame:
 
 def html_elements(spark, sf) -> DataFrame:
     """Elements per page and tag."""
-    nodes = html_nodes(table(spark, sf, "pages"), ["page_id"], "html")
+    nodes = html_nodes(texts(spark, sf, "pages", "page_id", "html"), ["page_id"], "html")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -147,14 +147,14 @@ _SELECTORS = {
 def css_select(spark, sf) -> DataFrame:
     """Elements answering each selector, per page."""
     roles = F.create_map(*[F.lit(x) for kv in _SELECTORS.items() for x in kv])
-    nodes = html_nodes(table(spark, sf, "pages"), ["page_id"], "html", roles)
+    nodes = html_nodes(texts(spark, sf, "pages", "page_id", "html"), ["page_id"], "html", roles)
     hit = nodes.select("page_id", F.explode("roles").alias("role"))
     return hit.groupBy("page_id", "role").agg(F.count("*").alias("n"))
 
 
 def element_text(spark, sf) -> DataFrame:
     """Text of title and menu links."""
-    nodes = html_nodes(table(spark, sf, "pages"), ["page_id"], "html").filter(F.col("tag").isin("title", "h1"))
+    nodes = html_nodes(texts(spark, sf, "pages", "page_id", "html"), ["page_id"], "html").filter(F.col("tag").isin("title", "h1"))
     return nodes.select("page_id", "tag", "text")
 
 
@@ -315,7 +315,7 @@ def workday_postings(spark, sf) -> DataFrame:
 
 def generic_html_cards(spark, sf) -> DataFrame:
     """Menu entries of the given pages as cards."""
-    pages = table(spark, sf, "pages").select("page_id", "url", F.col("html").alias("content")).withColumnRenamed("url", "page_url")
+    pages = texts(spark, sf, "pages", "page_id", "html").withColumnRenamed("html", "content")
     selectors = {"job_card": "nav li", "title": "a", "link": "li a[href]", "location": ".nowhere"}
     return _postings(pages, "generic_html", "page_id", careers_url=F.lit("https://menu.example.com/x/"), selectors=_mapped(selectors)).select(
         "page_id", "url", "title", "location"
@@ -332,7 +332,7 @@ def generic_card_fields(spark, sf) -> DataFrame:
 
 def keyword_links(spark, sf) -> DataFrame:
     """No cards configured: links with a posting word in text or address."""
-    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("content"))
+    pages = texts(spark, sf, "pages", "page_id", "html").withColumnRenamed("html", "content")
     return _postings(pages, "generic_html", "page_id", careers_url=F.lit("https://example.com/careers")).select("page_id", "url", "title").union(
         _postings(pages, "generic_html", "page_id", careers_url=F.lit("https://careers.example.com/")).select("page_id", "url", "title")
     )

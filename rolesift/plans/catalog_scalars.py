@@ -18,16 +18,17 @@ from rolesift.plans.catalog_base import (
     sql_unescape,
     stamp,
     table,
+    texts,
 )
 
 
 def clean_text(spark, sf) -> DataFrame:
     cleaned = tx.clean(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(cleaned).alias("digest"), F.length(cleaned).cast("long").alias("chars"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(cleaned).alias("digest"), F.length(cleaned).cast("long").alias("chars"))
 
 
 def compact_text(spark, sf) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.md5(tx.compact(F.col("html"))).alias("digest"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", F.md5(tx.compact(F.col("html"))).alias("digest"))
 
 
 def parse_datetime(spark, sf) -> DataFrame:

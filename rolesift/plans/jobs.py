@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rolesift.operators import accounting, digest, matching, normalize, pages, rules, state
 from rolesift.operators.extraction import explode_postings, extract_postings
-from rolesift.session import broadcast_if_small, materialize, release
+from rolesift.session import broadcast_if_small, materialize, release, spread_if_few
 from rolesift.sources.configs import config_violations, read_configs, shape_configs
 from rolesift.sources.store import RunStore
 
@@ -35,7 +35,7 @@ def read_pages(fetches: DataFrame, sources: DataFrame, run_at: datetime, max_att
     """Landed copies to page outcomes with their postings, as of ``run_at``."""
     families = [r["parser_type"] for r in sources.select("parser_type").distinct().collect()]  # eight at most are known
     options = ["careers_url", "parser_type", "selectors", "jobs_path", "url_base", "fields", "job_url_template"]
-    copies = pages.latest_copies(fetches, F.lit(run_at)).join(
+    copies = spread_if_few(pages.latest_copies(fetches, F.lit(run_at))).join(
         broadcast_if_small(sources.select("source_id", *options)), "source_id"
     )
     judged = pages.classify_copies(copies)

@@ -38,6 +38,15 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return side
 
 
+def spread_if_few(rows: DataFrame) -> DataFrame:
+    """Spread heavy per-row work over all cores when the files are too few for it.
+
+    A table of many files has more partitions than cores and is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
