@@ -94,13 +94,19 @@ def run_report(summaries: DataFrame, run_at: Column, zone: str = "UTC") -> DataF
     good_line = F.concat(F.lit("- "), "company_name", F.lit(": "), F.col("jobs_fetched").cast("string"))
     bad_line = F.concat(F.lit("- "), "company_name", F.lit(" ("), "careers_url", F.lit("): "), "error")
 
-    def listed(rows: DataFrame, order: list, line: Column, name: str) -> DataFrame:
-        top = rows.orderBy(*order).limit(enough).withColumn("_i", F.row_number().over(W.orderBy(*order)))
-        ranked = top.select("_i", line.alias("line"))
-        return ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "line"))), lambda x: x["line"]).alias(name))
-
-    joined = totals.join(listed(good, by_count, good_line, "good_lines")).join(
-        listed(bad, [F.col("source_id")], bad_line, "bad_lines")
+    def listed(rows: DataFrame, kind: str, order: list, line: Column) -> DataFrame:
+        top = rows.orderBy(*order).limit(enough).withColumn("i", F.row_number().over(W.orderBy(*order)))
+        return top.select(F.lit(kind).alias("kind"), "i", line.alias("line"))
+
+    def gathered(kind: str) -> Column:
+        mine = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", "line"))))
+        return F.transform(mine, lambda x: x["line"]).alias(f"{kind}_lines")
+
+    # the totals and at most 800 lines of each list, brought to one row
+    joined = (
+        totals.unionByName(listed(good, "good", by_count, good_line), allowMissingColumns=True)
+        .unionByName(listed(bad, "bad", [F.col("source_id")], bad_line), allowMissingColumns=True)
+        .agg(*[F.max(c).alias(c) for c in ("jobs", "good", "all")], gathered("good"), gathered("bad"))
     )
     failed = F.col("all") - F.col("good")
     none = F.array().cast("array<string>")

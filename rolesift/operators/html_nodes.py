@@ -11,7 +11,6 @@ from __future__ import annotations
 import html
 import json
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -151,7 +150,6 @@ _COMPARE = {
 }
 
 
-@lru_cache(maxsize=4096)
 def compile_selector(selector: str):
     """Alternatives, each a list of (combinator, tests) from left to right.
 
@@ -245,7 +243,7 @@ def _unescaped_json(raw: str) -> str:
         return raw
 
 
-def read_elements(content: str, selectors: dict[str, str], keep_all: bool) -> list[dict]:
+def read_elements(content: str, selectors: dict[str, str], keep_all: bool, compiled: dict | None = None) -> list[dict]:
     """Elements of one page: all, or those a later step can ask for.
 
     Without ``keep_all`` these are links, data scripts, elements answering a
@@ -256,7 +254,12 @@ def read_elements(content: str, selectors: dict[str, str], keep_all: bool) -> li
     walker = _Walker()
     walker.walk(content)
     elements = walker.elements
-    wanted = [(role, compile_selector(s)) for role, s in selectors.items() if s and s.strip()]
+    compiled = {} if compiled is None else compiled
+    wanted = []
+    for role, selector in selectors.items():
+        if selector not in compiled:
+            compiled[selector] = compile_selector(selector or "")
+        wanted.append((role, compiled[selector]))
     roles: dict[int, list[str]] = {}
     parents: set[int] = set()
     for element in elements:
@@ -293,8 +296,9 @@ def read_elements(content: str, selectors: dict[str, str], keep_all: bool) -> li
 
 
 def _parse_pages(contents: pa.Array, selectors: pa.Array, keep_all: bool) -> pa.Array:
+    compiled: dict = {}  # the selectors of this batch, each compiled once
     pages = [
-        None if c is None else read_elements(c, dict(s or ()), keep_all)
+        None if c is None else read_elements(c, dict(s or ()), keep_all, compiled)
         for c, s in zip(contents.to_pylist(), selectors.to_pylist())
     ]
     return pa.array(pages, to_arrow_type(ELEMENTS))

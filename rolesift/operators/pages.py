@@ -58,8 +58,8 @@ def blocked_reason(content: Column, status: Column) -> Column:
 def latest_copies(fetches: DataFrame, run_at: Column | None = None) -> DataFrame:
     """As-of read: the newest copy of each page, attempt and channel at ``run_at``.
 
-    Finds the newest time per copy over the narrow key columns, then joins it
-    back, so page contents never enter the aggregation.
+    For copies without their content, as the join shuffles every column it is
+    given; :func:`current_copies` is the form for whole pages.
     """
     key = ["source_id", "page_index", "attempt", "channel"]
     seen = fetches if run_at is None else fetches.filter(F.col("fetched_at") <= run_at)
@@ -67,6 +67,21 @@ def latest_copies(fetches: DataFrame, run_at: Column | None = None) -> DataFrame
     return seen.join(newest, [*key, "fetched_at"], "left_semi")
 
 
+def current_copies(fetches: DataFrame, run_at: Column) -> DataFrame:
+    """Copies that can be the newest of their page at ``run_at``, contents in place.
+
+    Over the narrow key columns, each source gets the time of the oldest copy it
+    still needs; one row per source, joined on, drops the older history. Contents
+    are neither shuffled nor read into an aggregate, and the few superseded
+    copies left lose to the newest in :func:`resolve_attempts`.
+    """
+    key = ["source_id", "page_index", "attempt", "channel"]
+    seen = fetches.filter(F.col("fetched_at") <= run_at)
+    newest = seen.groupBy(*key).agg(F.max("fetched_at").alias("newest"))
+    needed = newest.groupBy("source_id").agg(F.min("newest").alias("_from"))
+    return seen.join(broadcast_if_small(needed), "source_id").filter(F.col("fetched_at") >= F.col("_from")).drop("_from")
+
+
 def classify_copies(copies: DataFrame, status_errors: bool = True) -> DataFrame:
     """Adds ``state`` (failed, blocked or read) and ``reason`` to each copy.
 

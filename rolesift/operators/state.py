@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.session import materialize
+from rolesift.session import broadcast_if_small, materialize
 
 VACANCY_KEY = ["source_id", "canonical_hash"]
 VACANCY_FIELDS = ["external_id", "url", "title", "location", "description", "posted_at"]
@@ -122,8 +122,11 @@ def sent_in_history(events: DataFrame, key: list[str], at: str, days: int, limit
     """
     times = events.select(*key, at).distinct()
     counts = times.groupBy(*key).agg(F.count("*").alias("n"))
+    # at most one key per ``limit`` events is long
     longer = counts.filter(F.col("n") > limit).select(*key)
     hot = longer.limit(1).count() > 0
+    if hot:
+        longer = broadcast_if_small(materialize(longer))
     short = times.join(longer, key, "left_anti") if hot else times
     gap = F.make_dt_interval(F.lit(days))
     nothing = F.array().cast(T_ARRAY[dict(events.dtypes)[at]])
@@ -156,14 +159,13 @@ def _sent_of_long_keys(times: DataFrame, key: list[str], at: str, days: int) ->
     """
     span = days * 86_400 * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    windows = times.withColumns({"_us": micros, "_w": F.floor(micros / span)})
-    windows = materialize(windows)
+    windows = materialize(times.withColumns({"_us": micros, "_w": F.floor(micros / span)}), partition_by="_w")
     present = [r["_w"] for r in windows.select("_w").distinct().sort("_w").collect()]  # one number per window
     parts, before, last = [], None, None
     for w in present:
         here = windows.filter(F.col("_w") == w)
         if before is not None and last == w - 1:
-            here = here.join(before, key, "left").filter(
+            here = here.join(broadcast_if_small(before), key, "left").filter(
                 F.col("_last").isNull() | (F.col("_us") >= F.col("_last") + span)
             )
         sent = materialize(here.groupBy(*key).agg(F.min("_us").alias("_last"), F.min(at).alias(at)))

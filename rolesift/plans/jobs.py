@@ -15,6 +15,10 @@ from rolesift.session import broadcast_if_small, materialize, release, spread_if
 from rolesift.sources.configs import config_violations, read_configs, shape_configs
 from rolesift.sources.store import RunStore
 
+RUN_ROW = (
+    "run_id long, started_at timestamp, finished_at timestamp, status string, sources_total long, jobs_fetched long, "
+    "jobs_matched long, jobs_sent long, error_summary string, report_text string, digest_text string"
+)
 ORDINALS = ["source_id", "page_index", "job_index"]
 
 
@@ -35,7 +39,7 @@ def read_pages(fetches: DataFrame, sources: DataFrame, run_at: datetime, max_att
     """Landed copies to page outcomes with their postings, as of ``run_at``."""
     families = [r["parser_type"] for r in sources.select("parser_type").distinct().collect()]  # eight at most are known
     options = ["careers_url", "parser_type", "selectors", "jobs_path", "url_base", "fields", "job_url_template"]
-    copies = spread_if_few(pages.latest_copies(fetches, F.lit(run_at))).join(
+    copies = spread_if_few(pages.current_copies(fetches, F.lit(run_at))).join(
         broadcast_if_small(sources.select("source_id", *options)), "source_id"
     )
     judged = pages.classify_copies(copies)
@@ -93,35 +97,34 @@ def run_once(
     sightings = state.last_sightings(scored, ORDINALS).withColumns({"first_seen_at": now, "last_seen_at": now})
     store.write("sightings", run_id, sightings)
     store.write("matches", run_id, scored.withColumn("created_at", now))
-    summaries = accounting.source_summaries(scored, outcomes)
-    counters = accounting.run_counters(summaries)
+    summaries = materialize(accounting.source_summaries(scored, outcomes))
+    account = accounting.run_counters(summaries).first()
     matched = matching.to_send(scored)
-    matched_total = matched.agg(F.count("*").alias("jobs_matched"))
+    matched_total = matched.count()
 
-    staged, texts = [sources, page_rows, scored], None
+    staged, report, sent = [sources, page_rows, scored, summaries], None, None
     if notify:
         fresh = state.drop_suppressed(matched, store.read("notifications"), now)
         items = materialize(digest.top_items(fresh, params.max_items))
         staged.append(items)
         store.write("notifications", run_id, state.new_notifications(items, now, params.dedupe_days))
-        totals = counters.select("sources_total").join(matched_total).first()
-        body = digest.digest_text(items, now, F.lit(totals["sources_total"]), F.lit(totals["jobs_matched"]), params.zone)
-        report = digest.run_report(summaries, now, params.zone)
-        texts = report.join(body, how="left")
-
-    account = counters.join(matched_total)
-    if texts is None:
-        account = account.withColumns(
-            {"report_text": F.lit(None).cast("string"), "digest_text": F.lit(None).cast("string"), "jobs_sent": F.lit(0).cast("long")}
-        )
-    else:
-        account = account.join(texts, how="left")
-    row = account.select(
-        F.lit(run_id).cast("long").alias("run_id"), now.alias("started_at"), F.current_timestamp().alias("finished_at"),
-        "status", "sources_total", "jobs_fetched", "jobs_matched",
-        F.coalesce("jobs_sent", F.lit(0)).alias("jobs_sent"), "error_summary", "report_text", "digest_text",
-    )
-    result = spark.createDataFrame(row.collect(), row.schema)  # one row
+        sent = digest.digest_text(items, now, F.lit(account["sources_total"]), F.lit(matched_total), params.zone).first()
+        report = digest.run_report(summaries, now, params.zone).first()
+
+    row = {
+        "run_id": run_id,
+        "started_at": run_at,
+        "finished_at": datetime.now(timezone.utc),
+        "status": account["status"],
+        "sources_total": account["sources_total"],
+        "jobs_fetched": account["jobs_fetched"],
+        "jobs_matched": matched_total,
+        "jobs_sent": sent["jobs_sent"] if sent else 0,
+        "error_summary": account["error_summary"],
+        "report_text": report["report_text"] if report and account["sources_total"] else None,
+        "digest_text": sent["digest_text"] if sent else None,
+    }
+    result = spark.createDataFrame([row], RUN_ROW)
     store.write("runs", run_id, result)
     release(*staged)
     return result

@@ -22,6 +22,8 @@ def local_session(cpus: int = 8, name: str = "rolesift") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # call sites are not recorded for every column, which halves plan building
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -63,15 +65,15 @@ def _staged(spark: SparkSession):
     return spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/staged")
 
 
-def materialize(rows: DataFrame) -> DataFrame:
+def materialize(rows: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut lineage by a table written to the shared folder.
 
     Unlike executor caches it outlives lost executors, and later reads prune
-    its columns and know its size.
+    its columns and partitions and know its size.
     """
     spark = rows.sparkSession
     path = f"{_staged(spark)}/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -81,5 +83,5 @@ def release(*tables: DataFrame) -> None:
         spark = table.sparkSession
         folder = _staged(spark)
         files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        for name in {f.rsplit("/", 2)[1] for f in table.inputFiles()}:
+        for name in {f.split("/staged/", 1)[1].split("/", 1)[0] for f in table.inputFiles()}:
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
