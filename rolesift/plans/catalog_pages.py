@@ -114,9 +114,10 @@ def json_paths(spark, sf) -> DataFrame:
     """One document per order read at eleven paths: as text, identifier and time."""
     key = F.col("o_orderkey").cast("string")
     doc = F.try_parse_json(F.replace(F.lit(_DOC), F.lit("%d"), key))
-    read = table(spark, sf, "orders").select("o_orderkey", doc.alias("doc"), F.explode(F.array(*map(F.lit, _PATHS))).alias("path"))
-    value = vx.at_path(F.col("doc"), F.col("path"))
-    return read.select(
+    docs = texts(spark, sf, "orders", "o_orderkey").select("o_orderkey", doc.alias("doc"))
+    read = docs.select("o_orderkey", "doc", F.explode(F.array(*map(F.lit, _PATHS))).alias("path"))
+    value = F.col("value")
+    return read.withColumn("value", vx.at_path(F.col("doc"), F.col("path"))).select(
         "o_orderkey",
         "path",
         clean(vx.text_of(value)).alias("text"),

@@ -39,7 +39,7 @@ def read_pages(fetches: DataFrame, sources: DataFrame, run_at: datetime, max_att
     """Landed copies to page outcomes with their postings, as of ``run_at``."""
     families = [r["parser_type"] for r in sources.select("parser_type").distinct().collect()]  # eight at most are known
     options = ["careers_url", "parser_type", "selectors", "jobs_path", "url_base", "fields", "job_url_template"]
-    copies = spread_if_few(pages.current_copies(fetches, F.lit(run_at))).join(
+    copies = pages.current_copies(spread_if_few(fetches), F.lit(run_at)).join(
         broadcast_if_small(sources.select("source_id", *options)), "source_id"
     )
     judged = pages.classify_copies(copies)
@@ -84,8 +84,7 @@ def run_once(
     now = F.lit(run_at)
 
     store.write("sources", run_id, state.upsert_sources(store.sources(), configs, clock))
-    stored = spark.read.schema(store._scan("sources").schema).parquet(store._path("sources"))
-    stored = stored.filter(F.col("run_id") == run_id).drop("run_id")
+    stored = store.of_run("sources", run_id)
     sources = materialize(state.active_sources(stored, configs.drop("file", "pagination", "parser_options", "extra")))
 
     page_rows = materialize(read_pages(fetches, sources, run_at, params.max_attempts))

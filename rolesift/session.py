@@ -41,12 +41,16 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
 
 
 def spread_if_few(rows: DataFrame) -> DataFrame:
-    """Spread heavy per-row work over all cores when the files are too few for it.
+    """Spread heavy per-row work over all cores when the input is too small for it.
 
-    A table of many files has more partitions than cores and is left alone.
+    Judged by the size Spark knows for the input and its split size, without
+    running anything: an input with a split for every core is left alone.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    spark = rows.sparkSession
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < split * cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -63,10 +63,13 @@ class RunStore:
         """Rows of published runs; the run list prunes folders."""
         return self._scan(table).join(self.runs().select("run_id"), "run_id", "left_semi")
 
+    def of_run(self, table: str, run_id: int | None) -> DataFrame:
+        """What one run wrote, published or not; its folder alone is read."""
+        return self._scan(table).filter(F.col("run_id") == F.lit(run_id)).drop("run_id")
+
     def sources(self) -> DataFrame:
         """The snapshot of the latest published run."""
-        last = self.last_run()
-        return self._scan("sources").filter(F.col("run_id") == F.lit(last)).drop("run_id")
+        return self.of_run("sources", self.last_run())
 
     def vacancies(self) -> DataFrame:
         bases = self.read("vacancy_base")
