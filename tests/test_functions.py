@@ -1,7 +1,6 @@
 from datetime import datetime
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
-import pytest
 from pyspark.sql import functions as F
 
 from rolesift.functions import text, urls

@@ -2,7 +2,6 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from rolesift.operators.pages import PAGE_FETCHES
 from rolesift.plans.jobs import RunParams, backfill, load_sources, run_once, validate_sources

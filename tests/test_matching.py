@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from rolesift.operators.matching import match_postings, match_with_source_profiles
