@@ -445,7 +445,7 @@ QUERIES = {
     ),
     "element_text": (
         element_text,
-        """SELECT page_id, tag, trim(regexp_replace(replace(replace(t, '&amp;', '&'), '&quot;', '"'), '\\s+', ' ', 'g')) AS text FROM
+        """SELECT page_id, tag, trim(regexp_replace(replace(replace(replace(t, '&amp;', '&'), '&amp', '&'), '&quot;', '"'), '\\s+', ' ', 'g')) AS text FROM
              (SELECT page_id, unnest(['title', 'h1']) AS tag, unnest([regexp_extract(html, '(?s)<title>(.*?)</title>', 1),
                regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)]) AS t FROM pages)""",
     ),
