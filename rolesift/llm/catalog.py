@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from rolesift.llm import weak_quality
+from rolesift.llm import dart_minhash, license_join, template_leaks, url_cascade, warc_bundles, weak_quality
 
-CATALOG = {name: query for module in (weak_quality,) for name, query in module.QUERIES.items()}
+MODULES = (url_cascade, warc_bundles, dart_minhash, weak_quality, template_leaks, license_join)
+CATALOG = {name: query for module in MODULES for name, query in module.QUERIES.items()}
