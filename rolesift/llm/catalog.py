@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
-from rolesift.llm import dart_minhash, license_join, template_leaks, url_cascade, warc_bundles, weak_quality
+from rolesift.llm import (
+    bloom_lm,
+    dart_minhash,
+    license_join,
+    packing,
+    repeat_intervals,
+    surrogates,
+    template_leaks,
+    url_cascade,
+    warc_bundles,
+    weak_quality,
+)
 
-MODULES = (url_cascade, warc_bundles, dart_minhash, weak_quality, template_leaks, license_join)
+MODULES = (
+    url_cascade,
+    surrogates,
+    warc_bundles,
+    dart_minhash,
+    weak_quality,
+    template_leaks,
+    repeat_intervals,
+    bloom_lm,
+    packing,
+    license_join,
+)
 CATALOG = {name: query for module in MODULES for name, query in module.QUERIES.items()}
