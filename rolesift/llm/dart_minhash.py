@@ -9,11 +9,13 @@ rank is the document's value there. Two documents agree in a coordinate with
 probability equal to their weighted Jaccard similarity. About ``k ln k + 2 k`` darts
 fill ``k`` coordinates, however long the text is.
 
-Coordinates are grouped in bands; texts that agree in a band are candidates. With 32
-bands of 5, a pair of similarity 0.8 is missed with probability 3e-6. Each bucket
-first compares its members with one pivot; what stays unlinked to others of its
-bucket is then compared with them, so that no link between different classes of a
-bucket is left out and a large group of near copies costs one comparison a member.
+Coordinates are grouped in bands; texts that agree in a band are candidates. With 44
+bands of 7, a pair of similarity 0.8 is missed with probability 3e-5. Each bucket
+first compares its members with one pivot, so a large group of near copies costs one
+comparison a member. Members of different classes that share a bucket are then
+compared with each other, so that no link between classes is left out. A bucket of
+many, such as a passage brings together, is first split by a second band, and a third:
+a pair of similarity 0.8 shares another one as surely as it shared the first.
 Candidates are verified on the whole texts, and classes are the connected components
 of the links. Equal texts are one node throughout (by a 64-bit hash).
 
@@ -39,7 +41,9 @@ from rolesift.session import broadcast_if_small, materialize, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 44, 7
+# members of a bucket that are compared with each other at once; larger ones are split by further bands
+PAIR_UP = 32
 # shingles of the documents whose signatures are made at once
 _CHUNK = 300_000
 # two numbers a row: 16 MB
@@ -226,6 +230,28 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return links
 
 
+def _across(placed: DataFrame, bands: DataFrame, least: float, level: int = 0) -> DataFrame:
+    """Pairs of nodes that share a bucket but no class, and whose sizes allow the similarity."""
+    sizes = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"))
+    placed = materialize(placed.join(sizes.filter("lo < hi").select("bucket", "of"), "bucket"))
+    small = placed.filter(F.col("of") <= PAIR_UP) if level < 2 else placed
+    other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = small.join(other, "bucket").filter(
+        (F.col("root") < F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+    )
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    large = placed.filter(F.col("of") > PAIR_UP)
+    if level == 2 or not large.limit(1).count():
+        return pairs
+    split = large.join(bands, "node").select(
+        "bucket", "node", "n", "root", "used", F.explode(F.array_except("bands", "used")).alias("band")
+    )
+    deeper = split.select(
+        F.xxhash64("bucket", "band").alias("bucket"), "node", "n", "root", F.concat("used", F.array("band")).alias("used")
+    )
+    return pairs.union(_across(deeper, bands, least, level + 1))
+
+
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -246,18 +272,14 @@ def near_duplicates(
     links = verified(first, by_text, least)
     roots = components(links)
     # what shares a bucket and not a class: compared too, unless it was, or their sizes forbid it
-    placed = members.join(roots, "node", "left").select("bucket", "node", "n", "pivot", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    placed = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi").filter("node != pivot"))
-    other = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = placed.join(other, "bucket").filter(
-        (F.col("root") < F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+    placed = members.filter("node != pivot").join(roots, "node", "left").select(
+        "bucket", "node", "n", F.coalesce("root", "node").alias("root"), F.array("bucket").alias("used")
     )
-    rest = materialize(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+    rest = materialize(_across(placed, nodes.select("node", "bands"), least).distinct())
     more = verified(rest, by_text, least)
     if more.limit(1).count():
         roots = components(links.union(more))
-    release(members, first, placed, rest)
+    release(members, first, rest)
     labelled = signed.select("doc_id", "node").join(roots, "node", "left")
     labelled = labelled.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     labelled = materialize(labelled)
