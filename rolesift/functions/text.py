@@ -72,14 +72,31 @@ def slugify(c: Column) -> Column:
     return F.coalesce(blank_to_null(dashed), F.lit("job"))
 
 
+# placeholders that stand for numbers, which are padded on the left
+NUMBERS = ("page", "offset", "limit")
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """``{name}`` placeholders replaced; '' when any other brace is left."""
-    names = "|".join(values)
-    rest = F.regexp_replace(template, r"\{(?:" + names + r")\}", "")
-    filled = template
-    for name, value in values.items():
-        filled = F.replace(filled, F.lit("{" + name + "}"), value)
-    return F.when(rest.rlike(r"[{}]"), F.lit("")).otherwise(filled)
+    """``{name}`` placeholders replaced, with a fill and width as in ``{page:02d}``; ``{{`` and
+    ``}}`` stand for braces. '' when any other brace is left or a number is asked of a text."""
+    marked = F.replace(F.replace(template, F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002"))
+
+    def part(token: Column) -> Column:
+        spec = lambda group: F.regexp_extract(token, r"^\{\w+(?::([<>]?)(0?)(\d*)([ds]?))?\}$", group)
+        out = F.when(~token.rlike(r"[{}]"), token)
+        for name, value in values.items():
+            number = value.rlike(r"^-?\d+$")
+            width = F.greatest(F.coalesce(spec(3).try_cast("int"), F.lit(0)), F.length(value))
+            fill = F.when(spec(2) == "0", "0").otherwise(" ")
+            left = (spec(1) == "<") | ((spec(1) == "") & (spec(4) != "d") & (spec(2) != "0") & F.lit(name not in NUMBERS))
+            padded = F.when(left, F.rpad(value, width, fill)).otherwise(F.lpad(value, width, fill))
+            wanted = token.rlike(r"^\{" + name + r"(:[<>]?0?\d*[ds]?)?\}$") & ((spec(4) != "d") | number)
+            out = out.when(wanted, padded)
+        return out
+
+    parts = F.transform(F.regexp_extract_all(marked, F.lit(r"\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0)), part)
+    filled = F.replace(F.replace(F.array_join(parts, ""), F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+    return F.when(F.exists(parts, lambda p: p.isNull()), F.lit("")).otherwise(filled)
 
 
 def lenient_int(c: Column, default: int, minimum: int) -> Column:

@@ -47,25 +47,29 @@ def elements(v: Column) -> Column:
     return F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>"))
 
 
-def _spark_path(path: Column, quote: str) -> Column:
-    segments = F.transform(
-        F.split(path, r"\."),
-        lambda s: F.when(s.rlike(r"^\d+$"), F.concat(F.lit("[" + quote), s, F.lit(quote + "]"))).otherwise(
-            F.concat(F.lit('["'), s, F.lit('"]'))
-        ),
+def path_pair(path: Column) -> Column:
+    """A dotted path in Spark's notation, or its steps where a step is a number."""
+    steps = F.split(path, r"\.")
+    named = F.transform(steps, lambda s: F.concat(F.lit('["'), s, F.lit('"]')))
+    return F.struct(
+        F.concat(F.lit("$"), F.array_join(named, "")).alias("keys"),
+        F.when(path.rlike(r"(^|\.)\d+(\.|$)"), steps).alias("steps"),
     )
-    return F.concat(F.lit("$"), F.array_join(segments, ""))
 
 
-def path_pair(path: Column) -> Column:
-    """A dotted path in Spark's notation. Digits index a list, or name a key of an object."""
-    numbered = path.rlike(r"(^|\.)\d+(\.|$)")
-    return F.struct(_spark_path(path, "").alias("index"), F.when(numbered, _spark_path(path, '"')).alias("key"))
+def follow(v: Column, pair: Column) -> Column:
+    """The value at a :func:`path_pair`; a miss is null. A number indexes a list, or names a key of an object."""
 
+    def step(at: Column, s: Column) -> Column:
+        number = F.concat(F.lit("$["), s, F.lit("]"))
+        key = F.concat(F.lit('$["'), s, F.lit('"]'))
+        return F.when(is_array(at), F.when(s.rlike(r"^\d+$"), F.try_variant_get(at, number, "variant"))).otherwise(
+            F.try_variant_get(at, key, "variant")
+        )
 
-def follow(v: Column, pair: Column) -> Column:
-    """The value at a :func:`path_pair`; a miss is null."""
-    return F.coalesce(F.try_variant_get(v, pair["index"], "variant"), F.try_variant_get(v, pair["key"], "variant"))
+    return F.when(pair["steps"].isNull(), F.try_variant_get(v, pair["keys"], "variant")).otherwise(
+        F.aggregate(pair["steps"], v, step)
+    )
 
 
 def at_path(v: Column, path: Column) -> Column:

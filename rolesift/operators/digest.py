@@ -78,12 +78,12 @@ def digest_text(
 def run_report(summaries: DataFrame, run_at: Column, zone: str = "UTC") -> DataFrame:
     """One row: the report text over per-source counts and errors.
 
-    The text is cut at 3900 characters and every line has more than five, so the
-    first 800 lines of each list decide it: both lists are top-k reads however
-    many sources there are. Totals count all sources.
+    The text is cut at ``MAX_CHARS`` and every line takes two characters at least with
+    its line end, so that many halves of it decide: both lists are top-k reads however
+    many sources there are. A missing name shows as nothing. Totals count all sources.
     """
     zone = known_zone(zone)
-    enough = 800
+    enough = MAX_CHARS // 2 + 1
     good, bad = summaries.filter(F.col("error").isNull()), summaries.filter(F.col("error").isNotNull())
     totals = summaries.agg(
         F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("jobs_fetched"))), F.lit(0)).alias("jobs"),
@@ -91,8 +91,9 @@ def run_report(summaries: DataFrame, run_at: Column, zone: str = "UTC") -> DataF
         F.count(F.lit(1)).alias("all"),
     )
     by_count = [F.col("jobs_fetched").desc(), F.lower("company_name"), F.col("source_id")]
-    good_line = F.concat(F.lit("- "), "company_name", F.lit(": "), F.col("jobs_fetched").cast("string"))
-    bad_line = F.concat(F.lit("- "), "company_name", F.lit(" ("), "careers_url", F.lit("): "), "error")
+    shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    good_line = F.concat(F.lit("- "), shown("company_name"), F.lit(": "), shown("jobs_fetched"))
+    bad_line = F.concat(F.lit("- "), shown("company_name"), F.lit(" ("), shown("careers_url"), F.lit("): "), "error")
 
     def listed(rows: DataFrame, kind: str, order: list, line: Column) -> DataFrame:
         top = rows.orderBy(*order).limit(enough).withColumn("i", F.row_number().over(W.orderBy(*order)))
@@ -102,7 +103,7 @@ def run_report(summaries: DataFrame, run_at: Column, zone: str = "UTC") -> DataF
         mine = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", "line"))))
         return F.transform(mine, lambda x: x["line"]).alias(f"{kind}_lines")
 
-    # the totals and at most 800 lines of each list, brought to one row
+    # the totals and the lines of each list that can show, brought to one row
     joined = (
         totals.unionByName(listed(good, "good", by_count, good_line), allowMissingColumns=True)
         .unionByName(listed(bad, "bad", [F.col("source_id")], bad_line), allowMissingColumns=True)

@@ -47,7 +47,7 @@ from rolesift.functions.variants import (
     text_of,
     truthy_text,
 )
-from rolesift.operators.html_nodes import reachable_elements
+from rolesift.operators.html_nodes import reachable_elements, readable_json
 
 # fixed values: the page families
 PARSER_TYPES = [
@@ -117,17 +117,26 @@ def _objects(items: Column) -> Column:
 
 
 def first_per_url(rows: Column, taken: Column | None = None) -> Column:
-    """Rows with a title and a URL, the first of each URL, none in ``taken``."""
+    """Rows with a title and a URL, the first of each URL, none in ``taken``; one sort, no scan for each row."""
     whole = F.filter(rows, lambda r: (r["title"] != "") & (r["url"] != ""))
 
-    def keep(kept: Column) -> Column:
-        found = F.transform(kept, lambda r: r["url"])
+    def entry(url: Column, place: Column) -> Column:
+        return F.struct(url.alias("url"), place.cast("int").alias("place"))
 
-        def fresh(r: Column, i: Column) -> Column:
-            first = F.array_position(found, r["url"]) == i + 1
-            return first if taken is None else first & ~F.array_contains(taken, r["url"])
+    def keep(kept: Column) -> Column:
+        # sorted by URL and place, a row is its URL's first when the one before has another;
+        # URLs taken already stand at place -1, before all others
+        entries = F.transform(kept, lambda r, i: entry(r["url"], i))
+        if taken is not None:
+            entries = F.concat(F.transform(F.coalesce(taken, F.array().cast("array<string>")), lambda u: entry(u, F.lit(-1))), entries)
+
+        def firsts(ordered: Column) -> Column:
+            return F.filter(
+                ordered, lambda x, k: (x["place"] >= 0) & ((k == 0) | (F.get(ordered, k - 1)["url"] != x["url"]))
+            )
 
-        return F.filter(kept, fresh)
+        places = F.array_sort(F.transform(let(F.array_sort(entries), firsts), lambda x: x["place"]))
+        return F.transform(places, lambda i: F.get(kept, i))
 
     return let(whole, keep)
 
@@ -237,23 +246,10 @@ def workable_rows(doc: Column) -> Column:
 # linked data and embedded script data
 
 
-# @graph lists inside @graph lists are followed this far
-_GRAPH_DEPTH = 3
-
-
 def linked_data_objects(scripts: Column) -> Column:
-    """Every object of the scripts in order, ``@graph`` lists expanded in place."""
+    """Every posting of the scripts in order; the walk of the page has expanded ``@graph`` lists."""
     parsed = F.filter(F.transform(scripts, strict_json), lambda v: v.isNotNull())
     objects = F.flatten(F.transform(parsed, lambda v: F.when(is_array(v), elements(v)).otherwise(F.array(v))))
-    for _ in range(_GRAPH_DEPTH):
-        objects = F.flatten(
-            F.transform(
-                objects,
-                lambda o: F.when(
-                    is_object(o) & ~is_job_posting(o) & is_array(member(o, "@graph")), elements(member(o, "@graph"))
-                ).otherwise(F.array(o)),
-            )
-        )
     return F.filter(objects, lambda o: is_object(o) & is_job_posting(o))
 
 
@@ -490,6 +486,7 @@ def _with_document(pages: DataFrame) -> DataFrame:
     return pages.withColumns(
         {
             "_doc": F.when(readable, parse_document(F.col("content"))),
+            "_readable": readable,
             "_jobs_path": F.when(generic_html & ~tuned, "data").otherwise(listed),
             "_paths": F.transform_values(named, lambda _, v: path_pair(F.trim(v))),
         }
@@ -561,7 +558,12 @@ def extract_postings(pages: DataFrame, families: list[str] | None = None) -> Dat
     family = F.col("parser_type")
     kept = [c for c in pages.columns if c != "content"]
 
-    read = _with_document(pages).select(*kept, "content", _json_rows(F.col("_doc"), families).alias("_json"))
+    known = _with_document(pages)
+    # documents with repeated keys or NaN, which Spark refuses, are written anew first
+    refused = F.col("_readable") & F.col("_doc").isNull() & F.col("content").rlike(r"^\s*[\[{]")
+    known = known.withColumn("_anew", readable_json(F.when(refused, F.col("content"))))
+    known = known.withColumn("_doc", F.coalesce("_doc", strict_json(F.col("_anew"))))
+    read = known.select(*kept, "content", _json_rows(F.col("_doc"), families).alias("_json"))
     escaped = F.exists("_json", lambda r: F.contains(F.concat_ws(" ", *[r[n] for n in _FIELDS]), F.lit("&")))
     # a page whose JSON surely gives a posting needs no HTML walk
     settled = F.exists(

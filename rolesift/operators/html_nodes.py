@@ -58,7 +58,7 @@ _P_BARRIER = _BLOCK - {"p"} | {"td", "th", "li", "dd", "dt", "body", "html"}
 
 
 class _Element:
-    __slots__ = ("id", "parent", "last", "depth", "nth", "tag", "attrs", "own", "texts")
+    __slots__ = ("id", "parent", "last", "depth", "nth", "child", "tag", "attrs", "own", "texts")
 
     def __init__(self, id, parent, depth, nth, tag, attrs):
         self.id, self.parent, self.last, self.depth, self.nth = id, parent, id, depth, nth
@@ -74,6 +74,7 @@ class _Walker(HTMLParser):
         self.pieces: list[str] = []
         self.open: list[_Element] = []
         self.seen: dict[tuple[int, str], int] = {}
+        self.children: dict[int, list[int]] = {}
 
     def _leave(self, depth: int) -> None:
         for element in self.open[depth:]:
@@ -105,6 +106,9 @@ class _Walker(HTMLParser):
             known.setdefault(name, value or "")
         element = _Element(len(self.elements), where[0], len(self.open), nth, tag, known)
         element.texts = (len(self.pieces), len(self.pieces))
+        siblings = self.children.setdefault(where[0], [])
+        siblings.append(element.id)
+        element.child = len(siblings)
         self.elements.append(element)
         if tag not in _VOID:
             self.open.append(element)
@@ -132,13 +136,15 @@ class _Walker(HTMLParser):
 
 
 # --------------------------------------------------------------------------
-# selectors: tag, *, .class, #id, [attr], [attr=v] and ^= *= $= ~=,
-# :nth-of-type(n), descendant and child, comma lists
+# selectors: tag, *, .class, #id, [attr], [attr=v] and ^= *= $= ~= |=, positions among
+# siblings, :empty, :not(), :is(); descendant, child and sibling steps, comma lists
 
 _ATOM = re.compile(
-    r"""\s*(?P<comb>[>,])\s*|(?P<space>\s+)|(?P<tag>\*|[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
-    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[\^*$~]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
-    |:nth-of-type\(\s*(?P<nth>\d+)\s*\)""",
+    r"""\s*(?P<comb>[>,+~])\s*|(?P<space>\s+)|(?P<tag>\*|[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
+    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[\^*$~|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
+    |:(?P<side>nth|nth-last)-(?P<among>child|of-type)\(\s*(?P<nth>odd|even|[+-]?\d+|[+-]?\d*n(?:\s*[+-]\s*\d+)?)\s*\)
+    |:(?P<end>first|last|only)-(?P<kind>child|of-type)|:(?P<empty>empty)
+    |:(?P<group>not|is|where)\(\s*(?P<inner>(?:[^()]|\([^()]*\))*)\)""",
     re.VERBOSE,
 )
 _COMPARE = {
@@ -147,9 +153,19 @@ _COMPARE = {
     "*=": lambda have, want: bool(want) and want in have,
     "$=": lambda have, want: bool(want) and have.endswith(want),
     "~=": lambda have, want: want in have.split(),
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
 }
 
 
+def _formula(text: str) -> tuple[int, int]:
+    """``an+b`` as (a, b)."""
+    text = {"odd": "2n+1", "even": "2n"}.get(text, re.sub(r"\s", "", text))
+    if "n" not in text:
+        return 0, int(text)
+    a, b = text.split("n")
+    return int({"": "1", "+": "1", "-": "-1"}.get(a, a)), int(b or 0)
+
+
 def compile_selector(selector: str):
     """Alternatives, each a list of (combinator, tests) from left to right.
 
@@ -180,20 +196,45 @@ def compile_selector(selector: str):
         elif m["attr"]:
             want = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), None)
             tests.append(("attr", m["attr"].lower(), m["op"], want))
+        elif m["nth"]:
+            tests.append(("nth", m["among"], m["side"] == "nth-last", _formula(m["nth"])))
+        elif m["end"]:
+            ends = {"first": (False,), "last": (True,), "only": (False, True)}[m["end"]]
+            tests += [("nth", m["kind"], from_end, (0, 1)) for from_end in ends]
+        elif m["empty"]:
+            tests.append(("empty", None, None, None))
         else:
-            tests.append(("nth", int(m["nth"]), None, None))
+            inner = compile_selector(m["inner"])
+            if inner is None:
+                return None
+            tests.append(("group", m["group"] == "not", None, inner))
     if not tests:
         return None
     return [*alternatives, [*steps, (link, tests)]]
 
 
-def _answers(element: _Element, tests) -> bool:
+def _position(walker: _Walker, element: _Element, among: str, from_end: bool) -> int:
+    if not from_end:
+        return element.child if among == "child" else element.nth
+    later = walker.children[element.parent][element.child :]
+    return 1 + sum(among == "child" or walker.elements[i].tag == element.tag for i in later)
+
+
+def _answers(walker: _Walker, element: _Element, tests) -> bool:
     for what, name, op, want in tests:
         if what == "tag":
             if name != "*" and element.tag != name:
                 return False
         elif what == "nth":
-            if element.nth != name:
+            a, b = want
+            off = _position(walker, element, name, op) - b
+            if off != 0 if a == 0 else off % a or off // a < 0:
+                return False
+        elif what == "empty":
+            if walker.children.get(element.id) or "".join(element.own):
+                return False
+        elif what == "group":
+            if any(_selected(walker, element, s, len(s) - 1) for s in want) == name:
                 return False
         else:
             have = element.attrs.get(name)
@@ -202,19 +243,23 @@ def _answers(element: _Element, tests) -> bool:
     return True
 
 
-def _selected(elements, element: _Element, steps, at: int) -> bool:
+def _selected(walker: _Walker, element: _Element, steps, at: int) -> bool:
     link, tests = steps[at]
-    if not _answers(element, tests):
+    if not _answers(walker, element, tests):
         return False
     if at == 0:
         return True
+    if link in "+~":
+        before = walker.children[element.parent][: element.child - 1]
+        before = before[-1:] if link == "+" else before
+        return any(_selected(walker, walker.elements[i], steps, at - 1) for i in before)
     parent = element.parent
     while parent >= 0:
-        if _selected(elements, elements[parent], steps, at - 1):
+        if _selected(walker, walker.elements[parent], steps, at - 1):
             return True
         if link == ">":
             return False
-        parent = elements[parent].parent
+        parent = walker.elements[parent].parent
     return False
 
 
@@ -222,15 +267,38 @@ def _squeeze(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+def plain_json(text: str) -> str | None:
+    """A JSON text as Spark reads it: of repeated keys the last, no NaN; null when it is not JSON."""
+    try:
+        return json.dumps(json.loads(text, parse_constant=lambda _: None), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _graph_members(value) -> list:
+    """The objects of linked data in order, ``@graph`` lists expanded in place to any depth."""
+    out, todo = [], list(reversed(value if isinstance(value, list) else [value]))
+    while todo:
+        one = todo.pop()
+        if isinstance(one, dict):
+            kinds = one.get("@type")
+            kinds = kinds if isinstance(kinds, list) else [kinds]
+            if isinstance(one.get("@graph"), list) and not any(str(k).lower() == "jobposting" for k in kinds):
+                todo.extend(reversed(one["@graph"]))
+                continue
+        out.append(one)
+    return out
+
+
 def _unescaped_json(raw: str) -> str:
-    """Script data with the entities of its strings resolved; other text as it is."""
+    """Script data with the entities of its strings resolved and ``@graph`` lists expanded; other text as it is."""
     start, end = min((i for i in (raw.find("{"), raw.find("[")) if i >= 0), default=-1), max(raw.rfind("}"), raw.rfind("]"))
-    if "&" not in raw or start < 0:
+    if start < 0:
         return raw
 
     def resolve(value):
         if isinstance(value, str):
-            return html.unescape(value)
+            return _squeeze(value)
         if isinstance(value, list):
             return [resolve(v) for v in value]
         if isinstance(value, dict):
@@ -238,8 +306,9 @@ def _unescaped_json(raw: str) -> str:
         return value
 
     try:
-        return json.dumps(resolve(json.loads(raw[start : end + 1])), ensure_ascii=False)
-    except ValueError:
+        value = json.loads(raw[start : end + 1], parse_constant=lambda _: None)
+        return json.dumps(resolve(_graph_members(value) if '"@graph"' in raw else value), ensure_ascii=False)
+    except (ValueError, RecursionError):
         return raw
 
 
@@ -264,7 +333,7 @@ def read_elements(content: str, selectors: dict[str, str], keep_all: bool, compi
     parents: set[int] = set()
     for element in elements:
         for role, alternatives in wanted:
-            if alternatives and any(_selected(elements, element, s, len(s) - 1) for s in alternatives):
+            if alternatives and any(_selected(walker, element, s, len(s) - 1) for s in alternatives):
                 roles.setdefault(element.id, []).append(role)
                 if role == "posting" and element.parent >= 0:
                     parents.add(element.parent)
@@ -314,6 +383,18 @@ def _everything(contents: pa.Array, selectors: pa.Array) -> pa.Array:
     return _parse_pages(contents, selectors, keep_all=True)
 
 
+@F.arrow_udf(T.StringType())
+def readable_json(texts: pa.Array) -> pa.Array:
+    """:func:`plain_json` of texts that Spark's own parser refuses."""
+    return pa.array([None if t is None else plain_json(t) for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.BooleanType())
+def supported_selector(selectors: pa.Array) -> pa.Array:
+    """Whether a selector uses supported forms only; null counts as no selector."""
+    return pa.array([s is None or compile_selector(s) is not None for s in selectors.to_pylist()], pa.bool_())
+
+
 def reachable_elements(content: Column, selectors: Column) -> Column:
     """Elements of a page that extraction can ask for, in document order."""
     return _reachable(content, selectors)

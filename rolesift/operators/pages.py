@@ -18,6 +18,9 @@ PAGE_FETCHES = (
     "status_code int, content string, error string, fetched_at timestamp"
 )
 
+# pages whose times are broadcast: a row is an id, a number and a time
+BROADCAST_PAGES = 200_000
+
 # fixed values: signs of an anti-bot answer, in the order they are tried
 BLOCKED_STATUS = [401, 403, 429, 503]
 BLOCKED_TITLES = [
@@ -55,31 +58,25 @@ def blocked_reason(content: Column, status: Column) -> Column:
     return F.coalesce(by_status, blocked_by_content(content))
 
 
-def latest_copies(fetches: DataFrame, run_at: Column | None = None) -> DataFrame:
-    """As-of read: the newest copy of each page, attempt and channel at ``run_at``.
-
-    For copies without their content, as the join shuffles every column it is
-    given; :func:`current_copies` is the form for whole pages.
-    """
-    key = ["source_id", "page_index", "attempt", "channel"]
-    seen = fetches if run_at is None else fetches.filter(F.col("fetched_at") <= run_at)
-    newest = seen.groupBy(*key).agg(F.max("fetched_at").alias("fetched_at"))
-    return seen.join(newest, [*key, "fetched_at"], "left_semi")
-
-
 def current_copies(fetches: DataFrame, run_at: Column) -> DataFrame:
-    """Copies that can be the newest of their page at ``run_at``, contents in place.
+    """Copies of each page's latest crawl at ``run_at``, contents in place.
 
-    Over the narrow key columns, each source gets the time of the oldest copy it
-    still needs; one row per source, joined on, drops the older history. Contents
-    are neither shuffled nor read into an aggregate, and the few superseded
-    copies left lose to the newest in :func:`resolve_attempts`.
+    A crawl begins with a plain first attempt (a rendered one where there is no plain
+    one; without a first attempt all copies count). Its time comes from the narrow key
+    columns, combined on the map side, and older copies are dropped before anything
+    is parsed. Contents move only when the pages outgrow a broadcast.
     """
-    key = ["source_id", "page_index", "attempt", "channel"]
+    page = ["source_id", "page_index"]
     seen = fetches.filter(F.col("fetched_at") <= run_at)
-    newest = seen.groupBy(*key).agg(F.max("fetched_at").alias("newest"))
-    needed = newest.groupBy("source_id").agg(F.min("newest").alias("_from"))
-    return seen.join(broadcast_if_small(needed), "source_id").filter(F.col("fetched_at") >= F.col("_from")).drop("_from")
+    first = F.col("attempt") == 0
+    begun = seen.groupBy(*page).agg(
+        F.max(F.when(first & (F.col("channel") == "http"), F.col("fetched_at"))).alias("_plain"),
+        F.max(F.when(first, F.col("fetched_at"))).alias("_first"),
+        F.min("fetched_at").alias("_any"),
+    )
+    begun = begun.select(*page, F.coalesce("_plain", "_first", "_any").alias("_from"))
+    crawl = seen.join(broadcast_if_small(begun, BROADCAST_PAGES), page)
+    return crawl.filter(F.col("fetched_at") >= F.col("_from")).drop("_from")
 
 
 def classify_copies(copies: DataFrame, status_errors: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from rolesift.operators.normalize import normalize_jobs
 from rolesift.plans.catalog_base import SQL_HASH, SQL_POSTINGS, document_postings, table, texts
 
 # a small rule set whose terms occur in the given prose
-PROSE = rules.build_match_profile(
+PROSE = rules.profile_of(
     positive={
         "common": {"weight": 0.55, "terms": ["zuver", "the en", "those"]},
         "mixed_case": {"weight": 0.35, "terms": [" Thion ", "eau", "eau"]},
@@ -43,7 +43,7 @@ def keyword_score(spark, sf) -> DataFrame:
 def default_rules_score(spark, sf) -> DataFrame:
     """The default profile, remote gate on."""
     normal = normalize_jobs(document_postings(spark, sf))
-    return _report(matching.match_postings(normal, rules.build_match_profile(), enable_remote=True))
+    return _report(matching.match_postings(normal, rules.profile_of(), enable_remote=True))
 
 
 def decision_filter(spark, sf) -> DataFrame:

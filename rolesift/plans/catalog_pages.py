@@ -81,12 +81,20 @@ def page_policy(spark, sf) -> DataFrame:
 
 
 def as_of_pages(spark, sf) -> DataFrame:
-    """The newest landed copy of each page at noon of January 10."""
-    copies = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("source_id"), F.floor("value").cast("int").alias("page_index"),
-        F.lit(0).alias("attempt"), F.col("event_type").alias("channel"), F.col("ts").alias("fetched_at"), "event_id",
+    """The copies of each page's latest crawl at noon of January 10; crawls, retries and renderings mixed."""
+    return pg.current_copies(event_copies(spark, sf), F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")).select(
+        "source_id", "page_index", "event_id"
+    )
+
+
+def event_copies(spark, sf) -> DataFrame:
+    """Every event as a landed copy: two pages a user, three attempts, every fourth rendered."""
+    return table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("source_id"), (F.floor("value").cast("int") % 2).alias("page_index"),
+        (F.col("event_id") % 3).cast("int").alias("attempt"),
+        F.when(F.col("event_id") % 4 == 0, "rendered").otherwise("http").alias("channel"),
+        F.col("ts").alias("fetched_at"), "event_id",
     )
-    return pg.latest_copies(copies, F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")).select("source_id", "channel", "event_id")
 
 
 # --------------------------------------------------------------------------
@@ -419,8 +427,12 @@ QUERIES = {
     ),
     "as_of_pages": (
         as_of_pages,
-        """SELECT CAST(user_id AS VARCHAR) AS source_id, event_type AS channel, arg_max(event_id, ts) AS event_id FROM events
-           WHERE ts <= TIMESTAMP '2024-01-10 12:00:00' GROUP BY user_id, event_type, floor(value)""",
+        """SELECT source_id, page_index, event_id FROM (
+             SELECT CAST(user_id AS VARCHAR) AS source_id, CAST(floor(value) AS INT) % 2 AS page_index, event_id, ts,
+               coalesce(max(CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN ts END) OVER p,
+                 max(CASE WHEN event_id % 3 = 0 THEN ts END) OVER p, min(ts) OVER p) AS begun
+             FROM events WHERE ts <= TIMESTAMP '2024-01-10 12:00:00'
+             WINDOW p AS (PARTITION BY user_id, CAST(floor(value) AS INT) % 2)) WHERE ts >= begun""",
     ),
     "json_sniff": (json_sniff, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'OBJECT' WHEN 1 THEN 'ARRAY' END AS kind FROM events"),
     "json_paths": (

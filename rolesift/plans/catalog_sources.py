@@ -12,7 +12,7 @@ from rolesift.functions import urls
 from rolesift.operators import pages as pg
 from rolesift.operators import rules
 from rolesift.plans.catalog_base import table
-from rolesift.plans.catalog_pages import _sql_links
+from rolesift.plans.catalog_pages import _sql_links, event_copies
 from rolesift.plans.jobs import RunParams, run_once
 from rolesift.session import shared_folder
 from rolesift.sources.configs import config_violations, shape_configs
@@ -96,7 +96,7 @@ def set_query_param(spark, sf) -> DataFrame:
 # jobs
 
 _START = datetime(2024, 1, 2, 6, tzinfo=timezone.utc)
-_RULES = rules.build_match_profile(
+_RULES = rules.profile_of(
     positive={"th": {"weight": 0.7, "terms": ["th"]}, "en": {"weight": 0.6, "terms": ["en", "er"]}},
     negative={"on": {"weight": 0.2, "terms": ["on"]}},
     places=["london"],
@@ -134,14 +134,11 @@ def site_run(spark, sf) -> DataFrame:
 
 def hourly_reads(spark, sf) -> DataFrame:
     """What each of 24 backfill runs, an hour apart, would read."""
-    copies = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("source_id"), F.floor("value").cast("int").alias("page_index"), F.lit(0).alias("attempt"),
-        F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("fetched_at"), "event_id",
-    )
+    copies = event_copies(spark, sf).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     reads = None
     for hour in range(24):
         run_at = _START + timedelta(hours=hour)
-        seen = pg.latest_copies(copies, F.lit(run_at)).agg(F.count("*").alias("copies"), F.sum("event_id").alias("id_sum"))
+        seen = pg.current_copies(copies, F.lit(run_at)).agg(F.count("*").alias("copies"), F.sum("event_id").alias("id_sum"))
         one = seen.select(F.lit(hour).cast("long").alias("hour"), "copies", "id_sum")
         reads = one if reads is None else reads.unionByName(one)
     return reads
@@ -240,8 +237,10 @@ QUERIES = {
     ),
     "hourly_reads": (
         hourly_reads,
-        """SELECT hour, count(*) AS copies, CAST(sum(id) AS BIGINT) AS id_sum FROM (SELECT hour, arg_max(event_id, ts) AS id
+        """SELECT hour, count(*) AS copies, CAST(sum(event_id) AS BIGINT) AS id_sum FROM (
+             SELECT hour, event_id, ts, coalesce(max(CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN ts END) OVER p,
+                 max(CASE WHEN event_id % 3 = 0 THEN ts END) OVER p, min(ts) OVER p) AS begun
              FROM events, range(0, 24) r(hour) WHERE ts <= TIMESTAMP '2024-01-02 06:00:00' + hour * INTERVAL 1 HOUR
-             GROUP BY hour, user_id, event_type, floor(value)) GROUP BY 1""",
+             WINDOW p AS (PARTITION BY hour, user_id, CAST(floor(value) AS INT) % 2)) WHERE ts >= begun GROUP BY 1""",
     ),
 }

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.operators import accounting, digest, matching, normalize, pages, rules, state
-from rolesift.operators.extraction import explode_postings, extract_postings
+from rolesift.operators.extraction import PARSER_TYPES, explode_postings, extract_postings
 from rolesift.session import broadcast_if_small, materialize, release, spread_if_few
 from rolesift.sources.configs import config_violations, read_configs, shape_configs
 from rolesift.sources.store import RunStore
 
 RUN_ROW = (
     "run_id long, started_at timestamp, finished_at timestamp, status string, sources_total long, jobs_fetched long, "
-    "jobs_matched long, jobs_sent long, error_summary string, report_text string, digest_text string"
+    "jobs_matched long, jobs_sent long, error_summary string, trigger string, report_text string, digest_text string"
 )
 ORDINALS = ["source_id", "page_index", "job_index"]
 
@@ -32,12 +32,13 @@ class RunParams:
     enable_remote: bool = False
     zone: str = "UTC"
     max_attempts: int = 3
-    profile: rules.MatchProfile = field(default_factory=rules.build_match_profile)
+    profile: rules.MatchProfile = field(default_factory=rules.profile_of)
 
 
 def read_pages(fetches: DataFrame, sources: DataFrame, run_at: datetime, max_attempts: int = 3) -> DataFrame:
     """Landed copies to page outcomes with their postings, as of ``run_at``."""
-    families = [r["parser_type"] for r in sources.select("parser_type").distinct().collect()]  # eight at most are known
+    known = sources.filter(F.col("parser_type").isin(PARSER_TYPES))
+    families = [r["parser_type"] for r in known.select("parser_type").distinct().collect()]  # eight at most
     options = ["careers_url", "parser_type", "selectors", "jobs_path", "url_base", "fields", "job_url_template"]
     copies = pages.current_copies(spread_if_few(fetches), F.lit(run_at)).join(
         broadcast_if_small(sources.select("source_id", *options)), "source_id"
@@ -69,43 +70,63 @@ def run_once(
     params: RunParams | None = None,
     notify: bool = True,
     run_id: int | None = None,
+    trigger: str | None = None,
 ) -> DataFrame:
     """One full run at ``run_at``; returns its one row with the two texts.
 
     ``configs`` are shaped and valid. A run id already published is not run
-    again: its stored row comes back. Without ``notify`` there is no digest and
+    again: its stored row comes back; so for a ``trigger``, the name of what started
+    the run, which gets a run id of its own. Without ``notify`` there is no digest and
     nothing is recorded as sent.
     """
-    spark, params = store.spark, params or RunParams()
+    params = params or RunParams()
+    if trigger is not None:
+        done = store.of_trigger(trigger)
+        if done.limit(1).count():
+            return done
     run_id = (store.last_run() or 0) + 1 if run_id is None else run_id
     if store.is_published(run_id):
         return store.runs().filter(F.col("run_id") == run_id)
+    staged: list[DataFrame] = []
+
+    def stage(rows: DataFrame) -> DataFrame:
+        staged.append(materialize(rows))
+        return staged[-1]
+
+    try:
+        return _run(store, fetches, configs, run_at, params, notify, run_id, trigger, stage)
+    finally:
+        release(*staged)
+
+
+def _run(store, fetches, configs, run_at, params, notify, run_id, trigger, stage) -> DataFrame:
+    """The steps of a run; its row is written last."""
+    spark = store.spark
     clock = F.lit(datetime.now(timezone.utc))
     now = F.lit(run_at)
 
     store.write("sources", run_id, state.upsert_sources(store.sources(), configs, clock))
     stored = store.of_run("sources", run_id)
-    sources = materialize(state.active_sources(stored, configs.drop("file", "pagination", "parser_options", "extra")))
+    sources = stage(state.active_sources(stored, configs.drop("file", "pagination", "parser_options", "extra")))
 
-    page_rows = materialize(read_pages(fetches, sources, run_at, params.max_attempts))
+    page_rows = stage(read_pages(fetches, sources, run_at, params.max_attempts))
     outcomes = pages.source_outcomes(page_rows, sources)
     raw = explode_postings(pages.usable_pages(page_rows, outcomes), ["source_id", "page_index"])
     # five consumers below
-    scored = materialize(score_jobs(normalize.dedupe_source_jobs(raw), sources, params))
+    scored = stage(score_jobs(normalize.dedupe_source_jobs(raw), sources, params))
 
     sightings = state.last_sightings(scored, ORDINALS).withColumns({"first_seen_at": now, "last_seen_at": now})
     store.write("sightings", run_id, sightings)
     store.write("matches", run_id, scored.withColumn("created_at", now))
-    summaries = materialize(accounting.source_summaries(scored, outcomes))
+    summaries = stage(accounting.source_summaries(scored, outcomes))
     account = accounting.run_counters(summaries).first()
     matched = matching.to_send(scored)
     matched_total = matched.count()
 
-    staged, report, sent = [sources, page_rows, scored, summaries], None, None
+    report = sent = None
     if notify:
         fresh = state.drop_suppressed(matched, store.read("notifications"), now)
-        items = materialize(digest.top_items(fresh, params.max_items))
-        staged.append(items)
+        items = stage(digest.top_items(fresh, params.max_items))
         store.write("notifications", run_id, state.new_notifications(items, now, params.dedupe_days))
         sent = digest.digest_text(items, now, F.lit(account["sources_total"]), F.lit(matched_total), params.zone).first()
         report = digest.run_report(summaries, now, params.zone).first()
@@ -120,12 +141,12 @@ def run_once(
         "jobs_matched": matched_total,
         "jobs_sent": sent["jobs_sent"] if sent else 0,
         "error_summary": account["error_summary"],
+        "trigger": trigger,
         "report_text": report["report_text"] if report and account["sources_total"] else None,
         "digest_text": sent["digest_text"] if sent else None,
     }
     result = spark.createDataFrame([row], RUN_ROW)
     store.write("runs", run_id, result)
-    release(*staged)
     return result
 
 

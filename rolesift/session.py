@@ -56,15 +56,23 @@ def spread_if_few(rows: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests, a temporary folder stands in.
+    Only where it is unset and all tasks run in this process, as in tests, a
+    temporary folder stands in; a cluster without the setting is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rolesift-"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether tasks run in the driver's own process."""
+    return master == "local" or master.startswith("local[")
+
+
 def _staged(spark: SparkSession):
     return spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/staged")
 

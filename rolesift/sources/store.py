@@ -26,7 +26,7 @@ TABLES = {
     "geo_pass boolean, decision string, created_at timestamp",
     "notifications": "source_id string, canonical_hash string, channel string, sent_at timestamp, dedupe_until timestamp",
     "runs": "started_at timestamp, finished_at timestamp, status string, sources_total long, jobs_fetched long, "
-    "jobs_matched long, jobs_sent long, error_summary string",
+    "jobs_matched long, jobs_sent long, error_summary string, trigger string",
 }
 TABLES["vacancy_base"] = TABLES["sightings"]
 
@@ -59,6 +59,10 @@ class RunStore:
     def is_published(self, run_id: int) -> bool:
         return self.runs().filter(F.col("run_id") == run_id).limit(1).count() > 0
 
+    def of_trigger(self, trigger: str) -> DataFrame:
+        """The published run that a trigger started, if any."""
+        return self.runs().filter(F.col("trigger") == trigger)
+
     def read(self, table: str) -> DataFrame:
         """Rows of published runs; the run list prunes folders."""
         return self._scan(table).join(self.runs().select("run_id"), "run_id", "left_semi")

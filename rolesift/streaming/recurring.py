@@ -28,14 +28,19 @@ def recurring_run(
     trigger: dict | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> StreamingQuery:
-    """Each micro-batch of landed pages is one run.
+    """Each micro-batch of landed pages triggers one run over all pages landed so far.
 
-    Batch N is run N + 1: a batch replayed after a failure finds its run
-    published and changes nothing, or writes the unpublished one again.
+    The run reads the folder as of its time, so pages of one source that land in
+    different batches, and copies stamped later than the run, are judged together by
+    the next run. A run is known by the stream and the batch that triggered it: a batch
+    replayed after a failure finds its run published and changes nothing, and run ids
+    are shared with runs started otherwise.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        run_once(store, batch, configs(), clock(), params, notify, run_id=batch_id + 1)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        landed = spark.read.schema(PAGE_FETCHES).parquet(pages_folder)
+        run_once(store, landed, configs(), clock(), params, notify, trigger=f"{stream}/{batch_id}")
 
     return (
         landed_pages(spark, pages_folder)

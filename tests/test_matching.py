@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from rolesift.operators.matching import match_postings, match_with_source_profiles
-from rolesift.operators.rules import build_match_profile, source_profiles
+from rolesift.operators.rules import profile_of, source_profiles
 
 POSTINGS = [
     ("a", "Machine Learning Engineer", "London, UK", "Build NLP and recommender systems"),
@@ -22,18 +22,18 @@ def by_source(rows):
 
 
 def test_worked_values(spark):
-    got = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), build_match_profile(), 0.62))
+    got = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), profile_of(), 0.62))
     assert {k: round(r["score"], 9) for k, r in got.items()} == {"a": 0.65, "b": 0.65, "c": 0.0, "d": 1.0, "e": 0.9, "f": 0.65, "g": 0.0}
     assert [got[k]["decision"] for k in "abcdefg"] == ["send", "reject_geo", "reject_score", "send", "send", "reject_geo", "reject_geo"]
     assert got["e"]["matched_terms"] == ["nlp engineer", "research engineer"] and got["e"]["score"] == 0.65 * 0.9 + 0.35 * 0.9
-    remote = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), build_match_profile(), 0.6, enable_remote=True))
+    remote = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), profile_of(), 0.6, enable_remote=True))
     assert remote["f"]["decision"] == "send" and remote["g"]["decision"] == "reject_geo"
 
 
 def test_rules():
-    profile = build_match_profile(positive={"ai_lead": 0.5, "X ": {"weight": 1, "terms": [" B", "b", ""]}, "off": 0, "bad": "x"}, places=[" Rome "])
+    profile = profile_of(positive={"ai_lead": 0.5, "X ": {"weight": 1, "terms": [" B", "b", ""]}, "off": 0, "bad": "x"}, places=[" Rome "])
     assert [(r.family, r.weight, r.terms) for r in profile.positive] == [("ai_lead", 0.5, ("ai lead",)), ("x", 1.0, ("b",))]
-    assert profile.places == ("rome",) and len(build_match_profile(positive={}).positive) == 12
+    assert profile.places == ("rome",) and len(profile_of(positive={}).positive) == 12
 
 
 def test_source_overrides(spark):
@@ -43,7 +43,7 @@ def test_source_overrides(spark):
         "geo_terms": ["Madrid", "spain"], "remote_terms": "no list",
     }
     configs = spark.createDataFrame([(p[0], json.dumps(override) if p[0] == "g" else None) for p in POSTINGS], "source_id string, matching_profile string")
-    base = build_match_profile()
+    base = profile_of()
     profiles = source_profiles(configs, base)
     rules = by_source(profiles)["g"]
     families = [r["family"] for r in rules["positive"]]
@@ -56,7 +56,7 @@ def test_source_overrides(spark):
 
 
 def test_filter_on_the_decision_does_not_repeat_the_search(spark):
-    sent = match_postings(spark.createDataFrame(POSTINGS, SCHEMA), build_match_profile()).filter(F.col("decision") == "send")
+    sent = match_postings(spark.createDataFrame(POSTINGS, SCHEMA), profile_of()).filter(F.col("decision") == "send")
     plan = sent._jdf.queryExecution().optimizedPlan().toString()
     # once for the score, once for the matched terms
     assert plan.count("mlops engineer") <= 6
