@@ -40,9 +40,24 @@ def keyword_score(spark, sf) -> DataFrame:
     return _report(prose_matches(spark, sf))
 
 
+# what stands before a title, and the place, by turns: every default rule and the geography gate
+_TURNS = [
+    ("Lead Machine Learning Engineer", "Utrecht"), ("ML Engineer", "Oslo"), ("Data Scientist", "Hamburg"),
+    ("Applied Science", "The Hague"), ("MLOps", "Remote, EMEA"), ("ML Ops Engineer, Research Engineer", "Remote"),
+    ("AI Engineer", "Manchester, England"), ("AI Scientist", "Eindhoven"), ("Machine Learning Scientist", "Deutschland"),
+    ("Deep Learning Engineer", "distributed, eu"), ("Computer Vision Engineer", "Rotterdam"), ("NLP Engineer", "Berlin"),
+    ("Large Language Model Engineer", "Munich"), ("Data Scientist Intern", "London"), ("Student Data Scientist, Sales", "Frankfurt"),
+    ("Account Executive", "Amsterdam"), ("Gardener", "London"),
+]
+
+
 def default_rules_score(spark, sf) -> DataFrame:
-    """The default profile, remote gate on."""
-    normal = normalize_jobs(document_postings(spark, sf))
+    """The default profile, remote gate on, over titles and places that hold its terms by turns."""
+    turn = F.col("job_index") % len(_TURNS)
+    by_turn = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in _TURNS]), (turn + 1).cast("int"))
+    posts = document_postings(spark, sf)
+    posts = posts.withColumns({"title": F.concat(by_turn(0), F.lit(" "), "title"), "location": by_turn(1)})
+    normal = normalize_jobs(posts)
     return _report(matching.match_postings(normal, rules.profile_of(), enable_remote=True))
 
 
@@ -128,7 +143,7 @@ def _sum(text: str, rows) -> str:
     return " + ".join(["0.0::DOUBLE", *[f"CASE WHEN {_any(text, terms)} THEN {w}::DOUBLE ELSE 0 END" for _, w, terms in rows]])
 
 
-def sql_scored(positive, negative, places, remote, regions, min_score, where="true") -> str:
+def sql_scored(positive, negative, places, remote, regions, min_score, where="true", postings=SQL_POSTINGS) -> str:
     hits = ", ".join(_first(t, terms) for t in ("lt", "ld") for _, _, terms in positive)
     minus = f"({_sum('lt', negative)}) + ({_sum('ld', negative)})"
     score = f"greatest(0.0, least(1.0, 0.65 * least(1.0, {_sum('lt', positive)}) + 0.35 * least(1.0, {_sum('ld', positive)}) - ({minus})))"
@@ -137,7 +152,7 @@ def sql_scored(positive, negative, places, remote, regions, min_score, where="tr
       FROM (SELECT *, {score} AS raw_score, {geo} AS geo_pass,
               array_to_string(list_sort(list_distinct([{hits}])), ',') AS matched_terms
             FROM (SELECT *, lower(title) AS lt, lower(description) AS ld, lower(location) || ' ' || lower(description) AS h
-                  FROM ({SQL_POSTINGS}) WHERE {where}))"""
+                  FROM ({postings}) WHERE {where}))"""
 
 
 _POS = [
@@ -151,13 +166,25 @@ _PROSE_SQL = sql_scored(_POS, _NEG, _PLACES, _REMOTE, _REGIONS, 0.3)
 _COLUMNS = "source_id, job_index AS doc_id, round(raw_score, 9) AS score, matched_terms, geo_pass, decision"
 
 
-def _table(config) -> list:
-    return [(f, r["weight"], r["terms"]) for f, r in config.items()]
-
-
+# the default rules once more, written out by hand for the check: fixed values
 _DEFAULT_SQL = sql_scored(
-    _table(rules.DEFAULT_POSITIVE), _table(rules.DEFAULT_NEGATIVE), rules.DEFAULT_PLACES, rules.DEFAULT_REMOTE,
-    rules.DEFAULT_REGIONS, 0.6,
+    [
+        ("machine_learning_engineer", 1.0, ["machine learning engineer", "ml engineer"]), ("data_scientist", 1.0, ["data scientist"]),
+        ("applied_scientist", 1.0, ["applied scientist", "applied science"]),
+        ("mlops_engineer", 1.0, ["mlops engineer", "ml ops engineer", "mlops", "ml ops"]), ("research_engineer", 0.9, ["research engineer"]),
+        ("ai_engineer", 0.9, ["ai engineer"]), ("ai_scientist", 0.95, ["ai scientist"]),
+        ("machine_learning_scientist", 1.0, ["machine learning scientist"]), ("deep_learning_engineer", 0.95, ["deep learning engineer"]),
+        ("computer_vision_engineer", 0.9, ["computer vision engineer"]), ("nlp_engineer", 0.9, ["nlp engineer", "natural language processing engineer"]),
+        ("llm_engineer", 0.9, ["llm engineer", "large language model engineer"]),
+    ],
+    [("intern", 0.35, ["intern", "internship"]), ("student", 0.35, ["student"]), ("sales", 0.25, ["sales"]), ("account_executive", 0.35, ["account executive"])],
+    ["london", "united kingdom", "uk", "england", "germany", "deutschland", "berlin", "munich", "muenchen", "hamburg", "frankfurt",
+     "netherlands", "nederland", "amsterdam", "rotterdam", "the hague", "utrecht", "eindhoven"],
+    ["remote", "work from home", "distributed"],
+    ["europe", "eu", "emea"],
+    0.6,
+    postings=f"""SELECT * REPLACE (CASE job_index % {len(_TURNS)} {" ".join(f"WHEN {i} THEN {_q(t[0])}" for i, t in enumerate(_TURNS))} END || ' ' || title AS title,
+        CASE job_index % {len(_TURNS)} {" ".join(f"WHEN {i} THEN {_q(t[1])}" for i, t in enumerate(_TURNS))} END AS location) FROM ({SQL_POSTINGS})""",
 )
 
 # merged rules per override, by hand

@@ -73,6 +73,9 @@ def test_small_helpers(spark):
     assert one_by_one(spark, ["Senior (m/w) Ärzte!", "--", ""], text.slugify) == ["senior-m-w-ärzte", "job", "job"]
     fill = lambda c: text.fill_template(c, {"id": F.lit("7"), "slug": F.lit("s")})
     assert one_by_one(spark, ["/{id}-{slug}", "/{id}/{x}", "/{"], fill) == ["/7-s", "", ""]
+    forms = {"{id:03d}": "007", "{{x}}{id}": "{x}7", "{slug:>4}|{slug:4}|": "   s|s   |", "{slug:d}": "", "{id:>3}": "  7", "}": "", "{id!r}": "", "{}": ""}
+    assert one_by_one(spark, list(forms), fill) == list(forms.values())
+    assert one_by_one(spark, ["?p={page:3d}&o={page:<2}."], lambda c: text.fill_template(c, {"page": F.lit("8")})) == ["?p=  8&o=8 ."]
     assert one_by_one(spark, [" 12 ", "x", "-3", None, "1.5"], lambda c: text.lenient_int(c, 15, 1)) == [12, 15, 1, 15, 15]
     assert one_by_one(spark, ["https://x/a/b//", "https://x/jobs/12345/7"], urls.url_tail) == ["b", "7"]
     assert one_by_one(spark, ["https://x/en/77/", "https://x/co/dep/77/"], urls.number_after_second_segment) == ["77", "77"]
@@ -92,7 +95,7 @@ def test_hash_keeps_a_missing_id_as_blank(spark):
 def test_json_reading(spark):
     texts = ['{"a": 1}', ' [1]', '{"a": 1}}', '{"a": 1}]', '[1]}', '[1] x', '{"a"', 'x{"a": 1}', '"s"']
     assert one_by_one(spark, texts, lambda c: kind(parse_document(c))) == ["OBJECT", "ARRAY"] + [None] * 7
-    doc = '{"a": {"0": "key", "l": ["x", null, " ", "y"]}, "l": [{"n": 1.50}, 2], "o": {"value": "v"}, "t": true, "z": null}'
-    paths = {"a.0": "key", "a.l": "x, y", "a.l.3": "y", "l.0.n": "1.5", "l.5": "", "o": "v", "t": "True", "z": "", "no.way": ""}
+    doc = '{"a": {"0": "key", "l": ["x", null, " ", "y"]}, "l": [{"n": 1.50}, 2], "o": {"value": "v"}, "t": true, "z": null, "m": {"l": [{"7": "deep"}]}}'
+    paths = {"a.0": "key", "a.l": "x, y", "a.l.3": "y", "l.0.n": "1.5", "l.5": "", "a.0.1": "", "m.l.0.7": "deep", "m.l.0.7.x": "", "o": "v", "t": "True", "z": "", "no.way": ""}
     read = lambda p: text_of(at_path(strict_json(F.lit(doc)), p))
     assert one_by_one(spark, list(paths), read) == list(paths.values())

@@ -37,3 +37,14 @@ def test_selectors():
     assert hits(page, "main > p") == [] and hits(page, "div > div:nth-of-type(3) p") == []
     assert hits(page, "*[href$='1']") == [4] and hits(page, "[class~=b]") == [1]
     assert compile_selector("a:hover") is None and compile_selector("") is None and hits(page, "a:hover") == []
+
+
+def test_positions_siblings_and_negation():
+    page = "<ul><li class=k>0<li>1<li class=k>2<li>3</ul><p></p><p lang='en-GB'>x</p><b>y</b>"
+    # ids: ul 0, li 1-4, p 5 6, b 7
+    assert hits(page, "li:nth-child(odd)") == [1, 3] and hits(page, "li:nth-child(2n)") == [2, 4] and hits(page, "li:nth-child(-n+2)") == [1, 2]
+    assert hits(page, "li:first-child, li:last-child") == [1, 4] and hits(page, "li:nth-last-child(2)") == [3]
+    assert hits(page, "li:not(.k)") == [2, 4] and hits(page, ":not(li):not(ul)") == [5, 6, 7] and hits(page, "li:not(:first-child, .k)") == [2, 4]
+    assert hits(page, "li.k + li") == [2, 4] and hits(page, "li.k ~ li") == [2, 3, 4] and hits(page, "ul ~ p") == [5, 6] and hits(page, "p+b") == [7]
+    assert hits(page, "p:empty") == [5] and hits(page, "[lang|=en]") == [6] and hits(page, ":is(p, b):last-of-type") == [6, 7] and hits(page, "b:only-of-type") == [7]
+    assert compile_selector("a::before") is None and compile_selector("li:not(") is None and compile_selector("a:has(b)") is None

@@ -5,14 +5,19 @@ from pyspark.sql import functions as F
 from rolesift.operators.matching import match_postings, match_with_source_profiles
 from rolesift.operators.rules import profile_of, source_profiles
 
+# bakery jobs under rules of their own: (id, title, place, text)
+RULES = profile_of(
+    positive={"bread": {"weight": 0.8, "terms": ["bread baker", "sourdough"]}, "pastry_chef": 0.6, "oven": {"weight": 0.3, "terms": ["oven"]}},
+    negative={"night": {"weight": 0.25, "terms": ["night shift"]}, "trainee": 0.5},
+    places=["ghent", "porto"], remote=["from anywhere"], regions=["iberia"],
+)
 POSTINGS = [
-    ("a", "Machine Learning Engineer", "London, UK", "Build NLP and recommender systems"),
-    ("b", "Data Scientist", "San Francisco, United States", "Strong ML and statistics"),
-    ("c", "Machine Learning Intern", "Berlin, Germany", "Internship program for students"),
-    ("d", "Principal Applied Scientist - ZMS", "Berlin, Germany", "Applied Science & Research"),
-    ("e", "Research Engineer", "Berlin, Germany", "Own NLP engineer workflows for the LLM platform"),
-    ("f", "Machine Learning Engineer", "Remote", "Remote within Europe or EMEA"),
-    ("g", "Recommendation Engineer", "Madrid, Spain", "Remote across Iberia"),
+    ("k", "Bread Baker", "Ghent", "Runs the oven, bakes sourdough"),
+    ("l", "Pastry chef", "Lyon", "Cakes"),
+    ("m", "Trainee, bread baker", "Porto", "Some night shift"),
+    ("n", "Pastry Chef and Bread Baker", "From anywhere", "anyone in Iberia"),
+    ("o", "Waiter", "Porto", "Carries bread"),
+    ("p", "Sourdough lead", "from anywhere", "worldwide"),
 ]
 SCHEMA = "source_id string, title string, location string, description string"
 
@@ -21,42 +26,48 @@ def by_source(rows):
     return {r["source_id"]: r for r in rows.collect()}
 
 
-def test_worked_values(spark):
-    got = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), profile_of(), 0.62))
-    assert {k: round(r["score"], 9) for k, r in got.items()} == {"a": 0.65, "b": 0.65, "c": 0.0, "d": 1.0, "e": 0.9, "f": 0.65, "g": 0.0}
-    assert [got[k]["decision"] for k in "abcdefg"] == ["send", "reject_geo", "reject_score", "send", "send", "reject_geo", "reject_geo"]
-    assert got["e"]["matched_terms"] == ["nlp engineer", "research engineer"] and got["e"]["score"] == 0.65 * 0.9 + 0.35 * 0.9
-    remote = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), profile_of(), 0.6, enable_remote=True))
-    assert remote["f"]["decision"] == "send" and remote["g"]["decision"] == "reject_geo"
+def test_scores_by_hand(spark):
+    got = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), RULES, 0.4, enable_remote=True))
+    want = {
+        "k": (0.65 * 0.8 + 0.35 * 1.0, "send"),  # text: 0.8 + 0.3, no more than 1
+        "l": (0.65 * 0.6, "reject_geo"),
+        "m": (0.0, "reject_score"),  # 0.52 - 0.5 - 0.25, no less than 0
+        "n": (0.65 * 1.0, "send"),  # 0.6 + 0.8, no more than 1; anywhere in Iberia
+        "o": (0.0, "reject_score"),
+        "p": (0.65 * 0.8, "reject_geo"),
+    }
+    assert {k: (round(r["score"], 9), r["decision"]) for k, r in got.items()} == {k: (round(s, 9), d) for k, (s, d) in want.items()}
+    assert got["k"]["matched_terms"] == ["bread baker", "oven", "sourdough"]
+    closed = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), RULES, 0.4))
+    assert closed["n"]["decision"] == "reject_geo" and closed["k"]["decision"] == "send"
 
 
-def test_rules():
-    profile = profile_of(positive={"ai_lead": 0.5, "X ": {"weight": 1, "terms": [" B", "b", ""]}, "off": 0, "bad": "x"}, places=[" Rome "])
-    assert [(r.family, r.weight, r.terms) for r in profile.positive] == [("ai_lead", 0.5, ("ai lead",)), ("x", 1.0, ("b",))]
-    assert profile.places == ("rome",) and len(profile_of(positive={}).positive) == 12
+def test_settings():
+    profile = profile_of(positive={"head_baker": 2, "Y ": {"weight": 0.5, "terms": [" Rye", "rye", ""]}, "none": {"terms": ["x"]}, "text": "y", "": 1, "minus": -1})
+    assert [(r.family, r.weight, r.terms) for r in profile.positive] == [("head_baker", 2.0, ("head baker",)), ("y", 0.5, ("rye",))]
+    assert len(profile_of(positive={}, places=[]).positive) == 12
+    assert profile_of(places=[" Faro ", "faro", ""]).places == ("faro",)
 
 
-def test_source_overrides(spark):
+def test_overrides_of_sources(spark):
     override = {
-        "positive_terms": {"recommendation_engineer": {"weight": 0.9, "terms": ["Recommendation engineer "]}, "ai_engineer": {"weight": 0},
-                           "weightless": {"terms": ["x"]}, "data_scientist": {"terms": ["ds"]}, "z_first": 0.1, "a_last": 0.2},
-        "geo_terms": ["Madrid", "spain"], "remote_terms": "no list",
+        "positive_terms": {"bread": {"weight": 0}, "waiter": {"weight": 0.9, "terms": ["Waiter "]}, "oven": {"terms": ["kiln"]}, "z": 0.2, "b": 0.1, "no": {"terms": ["q"]}},
+        "geo_terms": ["Lyon"], "remote_terms": 5,
     }
-    configs = spark.createDataFrame([(p[0], json.dumps(override) if p[0] == "g" else None) for p in POSTINGS], "source_id string, matching_profile string")
-    base = profile_of()
-    profiles = source_profiles(configs, base)
-    rules = by_source(profiles)["g"]
-    families = [r["family"] for r in rules["positive"]]
-    assert "ai_engineer" not in families and "weightless" not in families and families[-3:] == ["recommendation_engineer", "z_first", "a_last"]
-    assert rules["positive"][1]["terms"] == ["ds"] and rules["places"][-2:] == ["madrid", "spain"] and rules["remote"] == list(base.remote)
-    got = by_source(match_with_source_profiles(spark.createDataFrame(POSTINGS, SCHEMA), profiles, 0.55))
-    assert (round(got["g"]["score"], 9), got["g"]["decision"], got["g"]["matched_terms"]) == (0.585, "send", ["recommendation engineer"])
-    plain = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), base, 0.55))
-    assert all(got[k] == plain[k] for k in "abcdef")
+    rows = [(p[0], json.dumps(override) if p[0] in "lo" else None) for p in POSTINGS]
+    profiles = source_profiles(spark.createDataFrame(rows, "source_id string, matching_profile string"), RULES)
+    own = by_source(profiles)["o"]
+    assert [r["family"] for r in own["positive"]] == ["pastry_chef", "oven", "waiter", "z", "b"]
+    assert own["positive"][1]["terms"] == ["kiln"] and own["places"] == ["ghent", "porto", "lyon"] and own["remote"] == ["from anywhere"]
+    got = by_source(match_with_source_profiles(spark.createDataFrame(POSTINGS, SCHEMA), profiles, 0.35))
+    assert (round(got["o"]["score"], 9), got["o"]["decision"], got["o"]["matched_terms"]) == (round(0.65 * 0.9 + 0.35 * 0.1, 9), "send", ["b", "waiter"])
+    assert got["l"]["decision"] == "send"
+    plain = by_source(match_postings(spark.createDataFrame(POSTINGS, SCHEMA), RULES, 0.35))
+    assert all(got[k] == plain[k] for k in "kmnp")
 
 
 def test_filter_on_the_decision_does_not_repeat_the_search(spark):
-    sent = match_postings(spark.createDataFrame(POSTINGS, SCHEMA), profile_of()).filter(F.col("decision") == "send")
+    sent = match_postings(spark.createDataFrame(POSTINGS, SCHEMA), RULES).filter(F.col("decision") == "send")
     plan = sent._jdf.queryExecution().optimizedPlan().toString()
     # once for the score, once for the matched terms
-    assert plan.count("mlops engineer") <= 6
+    assert plan.count("sourdough") <= 6
