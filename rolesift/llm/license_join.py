@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.llm.base import ascii_lower, table
-from rolesift.session import broadcast_if_small
+from rolesift.session import broadcast_if_small, materialize, release
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # base phrases and their labels: fixed values
@@ -81,7 +81,7 @@ def find_blocks(documents: DataFrame, templates=TEMPLATES, threshold: float = TH
     spark = documents.sparkSession
     sets = word_sets(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
-    held = blocks(documents, vocabulary)
+    held = materialize(blocks(documents, vocabulary))  # read twice; a line's few words of the vocabulary
     # how many blocks hold each word of the vocabulary: one row a word
     counts = dict(held.select(F.explode("held").alias("word")).groupBy("word").count().collect())
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
@@ -105,7 +105,9 @@ def find_blocks(documents: DataFrame, templates=TEMPLATES, threshold: float = TH
     pairs = seen.join(F.broadcast(prefixes), "rank").filter((F.size("own") >= F.col("need")) & (left >= F.col("need")))
     overlap = F.size(F.array_intersect("own", "ranks"))
     met = pairs.filter(overlap >= F.col("need")).select("k1", "k2", "label", (overlap / F.col("size")).alias("score"))
-    return met.groupBy("k1", "k2", "label").agg(F.max("score").alias("score"))
+    best = materialize(met.groupBy("k1", "k2", "label").agg(F.max("score").alias("score")))
+    release(held)
+    return best
 
 
 def _places(words: Column, text: Column, phrase: str) -> Column:
