@@ -34,9 +34,9 @@ from rolesift.session import materialize
 
 FOLDS, HELD_OUT = 7, 2
 BITS, PROBES = 8, 5  # of the filter, for each key and level: 2 % false positives
-MAX_BYTES = 128 * 1024 * 1024
+MAX_BYTES = 96 * 1024 * 1024
 SLICES = 256  # of the key space, at least; a power of two
-_CHUNK = 4_000_000  # tokens counted at once
+_CHUNK = 3_000_000  # tokens counted at once
 _START = np.uint64(0x243F6A8885A308D3)
 _HISTORY, _TYPES = np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 _ROWS = "kind int, slice int, keys binary, counts binary"
@@ -54,9 +54,9 @@ def token_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         words.append(b"")
-        hashed.extend(map(xxhash.xxh3_64_intdigest, words))
+        hashed.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
         sizes.append(len(words))
-    return np.array(hashed, np.uint64), np.array(sizes, np.int64)
+    return np.concatenate(hashed) if hashed else np.zeros(0, np.uint64), np.array(sizes, np.int64)
 
 
 def bigrams(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -39,8 +39,8 @@ from rolesift.session import broadcast_if_small, materialize
 
 LEAST = 50
 GRAM = 12
-BUCKETS = 256  # at least; more for more input
-_BLOCK_BYTES = 6_000_000
+BUCKETS = 512  # at least; more for more input
+_BLOCK_BYTES = 3_000_000
 _NO_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _M64 = 2**64 - 1
