@@ -389,10 +389,11 @@ def readable_json(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else plain_json(t) for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.BooleanType())
-def supported_selector(selectors: pa.Array) -> pa.Array:
-    """Whether a selector uses supported forms only; null counts as no selector."""
-    return pa.array([s is None or compile_selector(s) is not None for s in selectors.to_pylist()], pa.bool_())
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def unsupported_selectors(selectors: pa.Array) -> pa.Array:
+    """Of each list those selectors that use other than the supported forms."""
+    odd = lambda some: [s for s in some if s and s.strip() and compile_selector(s) is None]
+    return pa.array([None if some is None else odd(some) for some in selectors.to_pylist()], pa.list_(pa.string()))
 
 
 def reachable_elements(content: Column, selectors: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rolesift.functions.text import blank_to_null, lenient_int
 from rolesift.functions.variants import is_object, kind, member, scalar_text, strict_json, truthy_text
+from rolesift.operators.html_nodes import unsupported_selectors
 from rolesift.operators.extraction import PARSER_TYPES
 
 # fixed values: the configuration vocabulary
@@ -106,6 +107,7 @@ def page_strategy(pagination: Column) -> Column:
 def config_violations(files: DataFrame) -> DataFrame:
     """Every broken rule of every file: file, source_id, severity, rule, message."""
     shaped = _with_shape(files)
+    shaped = shaped.withColumn("odd_forms", unsupported_selectors(F.map_values("selectors")))
     doc, paging = F.col("doc"), F.col("pagination")
     options, fields = F.col("parser_options"), member(F.col("parser_options"), "fields")
     generic_json = F.col("parser_type") == "generic_json"
@@ -165,6 +167,8 @@ def config_violations(files: DataFrame) -> DataFrame:
               "error", "pagination_limit", "pagination.limit must be an integer >= 1"),
         found(paged & (strategy == OFFSET_STRATEGY) & bad(_strict_int(member(paging, "start_offset"), 0), 0),
               "error", "pagination_start_offset", "pagination.start_offset must be an integer >= 0"),
+        found(checked & (F.size("odd_forms") > 0), "error", "selector_forms",
+              F.concat(F.lit("selectors that cannot be matched: "), F.array_join(F.array_sort("odd_forms"), "; "))),
         found(checked & (F.size(odd_selectors) > 0), "warning", "selectors",
               F.concat(F.lit("unknown selector keys: "), F.array_join(odd_selectors, ", "))),
         found(checked & (F.size(odd_options) > 0), "warning", "parser_options",
