@@ -162,7 +162,7 @@ def css_select(spark, sf) -> DataFrame:
 
 
 def element_text(spark, sf) -> DataFrame:
-    """Text of title and menu links."""
+    """Text of titles and headings."""
     nodes = html_nodes(texts(spark, sf, "pages", "page_id", "html"), ["page_id"], "html").filter(F.col("tag").isin("title", "h1"))
     return nodes.select("page_id", "tag", "text")
 

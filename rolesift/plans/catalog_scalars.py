@@ -58,15 +58,14 @@ def canonical_url(spark, sf) -> DataFrame:
 
 
 def natural_key(spark, sf) -> DataFrame:
-    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
     key = canonical_hash(
-        F.lit("web"), F.col("page_id").cast("string"), urls.canonical_url(F.col("url")), title, F.lit("Berlin  DE")
+        F.lit("web"), F.col("page_id").cast("string"), urls.canonical_url(F.col("url")), F.col("html"), F.lit("Berlin  DE")
     )
     return table(spark, sf, "pages").select("page_id", key.alias("canonical_hash"))
 
 
 def slugify(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.slugify(F.substring_index("text", "\n", 1)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 def location_hint(spark, sf) -> DataFrame:
@@ -176,12 +175,12 @@ QUERIES = {
     "natural_key": (
         natural_key,
         f"""SELECT page_id, sha256('web|' || page_id || '|' || {sql_canonical_url('url')} || '|' ||
-              lower({sql_clean("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) || '|berlin de') AS canonical_hash
+              lower({sql_clean("html")}) || '|berlin de') AS canonical_hash
             FROM pages""",
     ),
     "slugify": (
         slugify,
-        r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(split_part(text, chr(10), 1)),
+        r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text),
               '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'job') AS slug FROM documents""",
     ),
     "location_hint": (

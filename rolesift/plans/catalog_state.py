@@ -139,14 +139,14 @@ def published_runs(spark, sf) -> DataFrame:
 
     store = RunStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    for run_id, kind in enumerate(["view", "click", "error"], start=1):
+    for run_id, kind in enumerate(["view", "click", "error", "purchase", "signup"], start=1):
         rows = events.filter(F.col("event_type") == kind).select(F.col("event_type").alias("source_id"), F.col("user_id").cast("string").alias("canonical_hash"), "ts")
         store.write("notifications", run_id, state.new_notifications(rows, F.col("ts")))
         if kind != "error":
             account = rows.agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"), F.count("*").alias("jobs_sent"))
             store.write("runs", run_id, account.withColumns({
                 "status": F.lit("success"), "sources_total": F.lit(1).cast("long"), "jobs_fetched": F.col("jobs_sent"),
-                "jobs_matched": F.col("jobs_sent"), "error_summary": F.lit(None).cast("string")}))
+                "jobs_matched": F.col("jobs_sent"), "error_summary": F.lit(None).cast("string"), "trigger": F.lit(None).cast("string")}))
     return store.read("notifications").groupBy("source_id", "run_id").agg(
         F.count("*").alias("n"), stamp(F.max("dedupe_until")).alias("last_until")
     )
@@ -181,7 +181,7 @@ def run_report(spark, sf) -> DataFrame:
 def _items(spark, sf, n: int) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         F.initcap("source").alias("company"), F.col("source").alias("source_id"), F.col("doc_id").alias("job_index"),
-        F.lit(0).alias("page_index"), F.substring_index("text", " ", 6).alias("title"), F.when(F.col("lang") == "en", "London").alias("location"),
+        F.lit(0).alias("page_index"), F.md5("text").alias("title"), F.when(F.col("lang") == "en", "London").alias("location"),
         F.concat(F.lit("https://x/"), F.col("doc_id").cast("string")).alias("url"), F.round(F.col("n_chars") / 1000).alias("score"),
     )
     return digest.top_items(docs, n)
@@ -216,7 +216,7 @@ _SUMMARY = """(SELECT s.source_id, upper(left(s.source_id, 1)) || substr(s.sourc
      FROM documents UNION ALL SELECT 'sup' || s_suppkey, NULL FROM supplier) s LEFT JOIN
     (SELECT source, count(*) AS n FROM documents GROUP BY 1) d ON d.source = s.source_id)"""
 _ITEMS = """(SELECT *, row_number() OVER (ORDER BY score DESC, source_id, doc_id) AS rank FROM (SELECT upper(left(source, 1)) || substr(source, 2) AS company, source AS source_id, doc_id,
-    array_to_string(string_split(text, ' ')[1:6], ' ') AS title, CASE WHEN lang = 'en' THEN 'London' ELSE 'Unknown location' END AS location,
+    md5(text) AS title, CASE WHEN lang = 'en' THEN 'London' ELSE 'Unknown location' END AS location,
     'https://x/' || doc_id AS url, round(n_chars / 1000) AS score FROM documents) ORDER BY rank LIMIT {n})"""
 _LINE = "rank || '. ' || company || ' | ' || title || ' | ' || location || ' | ' || url"
 _HEADER = "'ML Vacancy Digest | 2024-01-15 13:00' || chr(10) || 'New matched vacancies: ' || n || chr(10)"
@@ -267,8 +267,8 @@ QUERIES = {
     "suppression_history_hot_keys": (suppression_history_hot_keys, _history("event_type", 3)),
     "published_runs": (
         published_runs,
-        """SELECT event_type AS source_id, CASE event_type WHEN 'view' THEN 1 ELSE 2 END::BIGINT AS run_id, count(*) AS n,
-             strftime(max(ts) + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS last_until FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2""",
+        """SELECT event_type AS source_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 ELSE 5 END::BIGINT AS run_id, count(*) AS n,
+             strftime(max(ts) + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS last_until FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
     ),
     "source_summary": (source_summary, f"SELECT source_id, company_name, careers_url, jobs_fetched, error FROM {_SUMMARY}"),
     "run_counters": (

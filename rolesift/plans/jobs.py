@@ -13,7 +13,7 @@ from rolesift.operators import accounting, digest, matching, normalize, pages, r
 from rolesift.operators.extraction import PARSER_TYPES, explode_postings, extract_postings
 from rolesift.session import broadcast_if_small, materialize, release, spread_if_few
 from rolesift.sources.configs import config_violations, read_configs, shape_configs
-from rolesift.sources.store import RunStore
+from rolesift.sources.store import COMPACT_EVERY, RunStore
 
 RUN_ROW = (
     "run_id long, started_at timestamp, finished_at timestamp, status string, sources_total long, jobs_fetched long, "
@@ -147,6 +147,7 @@ def _run(store, fetches, configs, run_at, params, notify, run_id, trigger, stage
     }
     result = spark.createDataFrame([row], RUN_ROW)
     store.write("runs", run_id, result)
+    store.compact_vacancies(COMPACT_EVERY)
     return result
 
 

@@ -29,6 +29,9 @@ TABLES = {
     "jobs_matched long, jobs_sent long, error_summary string, trigger string",
 }
 TABLES["vacancy_base"] = TABLES["sightings"]
+TABLES["bases"] = "upto long"
+# runs after which the job renews the base of the vacancies: a day of half hours
+COMPACT_EVERY = 48
 
 
 @dataclass(frozen=True)
@@ -76,18 +79,26 @@ class RunStore:
         return self.of_run("sources", self.last_run())
 
     def vacancies(self) -> DataFrame:
-        bases = self.read("vacancy_base")
-        base_run = bases.agg(F.max("run_id")).first()[0] if self._exists(self._path("vacancy_base")) else None
+        version, upto = self._base()
         rows = self.read("sightings")
-        if base_run is not None:
-            rows = rows.filter(F.col("run_id") > base_run).unionByName(bases.filter(F.col("run_id") == base_run))
+        if version:
+            base = self.of_run("vacancy_base", version).withColumn("run_id", F.lit(upto).cast("long"))
+            rows = rows.filter(F.col("run_id") > upto).unionByName(base)
         return fold_sightings(rows).drop("run_id")
 
-    def compact_vacancies(self) -> None:
-        """Fold all sightings so far into a base under the latest run."""
-        last = self.last_run()
-        if last is not None:
-            self.write("vacancy_base", last, self.vacancies())
+    def _base(self) -> tuple[int, int]:
+        """Version of the published base, and the last run it holds; zeros without one."""
+        found = self._scan("bases").agg(F.max(F.struct("run_id", "upto"))).first()[0]
+        return (found[0], found[1]) if found else (0, 0)
+
+    def compact_vacancies(self, after: int = 1) -> None:
+        """Fold all sightings into a new version of the base once ``after`` runs have come since
+        the last. A version has a folder of its own and counts only when its row is there, so
+        a compaction that is lost or repeated changes nothing."""
+        last, (version, upto) = self.last_run() or 0, self._base()
+        if last - upto >= after:
+            self.write("vacancy_base", version + 1, self.vacancies())
+            self.write("bases", version + 1, self.spark.createDataFrame([(last,)], TABLES["bases"]))
 
     def write(self, table: str, run_id: int, rows: DataFrame) -> None:
         columns = StructType.fromDDL(TABLES[table]).fieldNames()

@@ -66,6 +66,9 @@ def test_runs_over_time(spark, tmp_path):
     seen = {r["source_id"]: (r["first_seen_at"], r["last_seen_at"]) for r in store.vacancies().collect()}
     assert set(seen.values()) == {(T0.replace(tzinfo=None), (T0 + timedelta(days=1)).replace(tzinfo=None))}
     store.compact_vacancies()
+    store.compact_vacancies()  # nothing new: no new version
+    assert store._base() == (1, 2)
+    store.write("vacancy_base", 2, store.vacancies().limit(0))  # a version that was never published
     assert {r["source_id"]: (r["first_seen_at"], r["last_seen_at"]) for r in store.vacancies().collect()} == seen
     # every notice and match belongs to a known vacancy
     assert store.read("matches").join(store.vacancies(), ["source_id", "canonical_hash"], "left_anti").count() == 0
