@@ -285,22 +285,23 @@ def _in_bucket(least: int):
         owner, ids, start, length, offset = (np.concatenate(c).astype(np.int64) for c in zip(*arrays))
         text, block = np.concatenate(tails), np.concatenate(of_block)
         begin = np.cumsum(length) - length
-        # minimisers that occur in one document only have nothing to offer
+        # a shared string holds the minimiser and at least ``side`` bytes on one side of it, so
+        # pieces whose either context occurs in one document only have nothing to offer
         words = _words(text)
-        at = begin + offset
-        gram = mix(words[at] ^ mix(words[at + 8] >> np.uint64(32)))
-        live = np.flatnonzero(_shared(gram, ids))
+        side = (least - GRAM + 1) // 2
+        live_ = np.zeros(len(begin), bool)
+        for back, enough in ((0, offset + GRAM + side <= length), (side, offset >= side)):
+            some = np.flatnonzero(enough)
+            if len(some):
+                live_[some] |= _shared(_context(words, (begin + offset)[some] - back, GRAM + side), ids[some])
+        live = np.flatnonzero(live_)
         if not len(live):
             return _table([])
         n_windows = length[live] - least + 1
         piece = np.repeat(live, n_windows)
         step = np.arange(len(piece)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         place = begin[piece] + step
-        same = mix(words[place])
-        for k in range(8, least - 7, 8):
-            same = mix(same + words[place + k])
-        same = mix(same + words[place + least - 8])
-        live = _shared(same, ids[piece])
+        live = _shared(_context(words, place, least), ids[piece])
         piece, step, place = piece[live], step[live], place[live]
         if not len(piece):
             return _table([])
@@ -325,6 +326,14 @@ def _in_bucket(least: int):
     return find
 
 
+def _context(words: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes (eight at least) at each place, from the words of all places."""
+    out = mix(words[places])
+    for k in [*range(8, width - 7, 8), width - 8]:
+        out = mix(out + words[places + k])
+    return out
+
+
 def _shared(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Whether each key occurs with more than one document."""
     order = np.argsort(keys, kind="stable")
