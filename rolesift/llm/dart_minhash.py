@@ -11,7 +11,7 @@ fill ``k`` coordinates, however long the text is.
 
 Coordinates are grouped in bands; texts that agree in a band are candidates. With 44
 bands of 7, a pair of similarity 0.8 is missed with probability 3e-5. Each bucket
-first compares its members with one pivot, so a large group of near copies costs one
+first compares its members with one pivot, the member that meets most others, so a large group of near copies costs one
 comparison a member. Members of different classes that share a bucket are then
 compared with each other, so that no link between classes is left out. A bucket of
 many, such as a passage brings together, is first split by a second band, and a third:
@@ -90,13 +90,15 @@ def shingles(texts: Sequence[Sequence[bytes]], width: int = SHINGLE) -> tuple[np
     out = np.zeros(len(hashed), np.uint64)
     for k in range(width):
         shifted = np.zeros(len(hashed), np.uint64)
-        shifted[: len(hashed) - k] = hashed[k:]
+        shifted[: max(0, len(hashed) - k)] = hashed[k:]
         out = np.where(k < count, mix(out * np.uint64(31) + shifted), out)
     return owner[kept], out[kept]
 
 
 def weighted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, hash, times) of each distinct shingle of each owner."""
+    if not len(owner):
+        return owner, hashes, np.zeros(0, np.int64)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))))
@@ -263,10 +265,19 @@ def near_duplicates(
     )
     nodes = signed.filter("n > 0").dropDuplicates(["node"])
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("of")).filter("of > 1")
-    members = materialize(buckets.join(shared, "bucket").select("bucket", "node", "n", "pivot"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("of")).filter("of > 1")
+    met = materialize(buckets.join(shared, "bucket").select("bucket", "node", "n", "of"))
+    # the member that meets most others is the likeliest to be near all of them: of many
+    # copies of one text, each changed elsewhere, it is that text
+    degree = met.groupBy("node").agg(F.sum("of").alias("degree"))
+    ranked = met.join(degree, "node").select("bucket", "node", "n", "degree")
+    pivots = ranked.groupBy("bucket").agg(F.max_by("node", "degree").alias("pivot"))
+    members = materialize(met.join(pivots, "bucket").select("bucket", "node", "n", "pivot"))
+    release(met)
     first = materialize(
-        members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        members.filter("node != pivot")
+        .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+        .distinct()
     )
     by_text = texts.select("node", "text")
     links = verified(first, by_text, least)
