@@ -43,7 +43,9 @@ NAMES = {
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Mme Monsieur Madame Доктор Господин Госпожа".split()
 _FIRST = {name: (pool.split(), pool.split().index(name)) for pool in NAMES.values() for name in pool.split()}
-_CUES = frozenset(_FIRST) | frozenset(TITLES) | frozenset(t + "." for t in TITLES)
+_CUES = frozenset(x.encode() for x in (*_FIRST, *TITLES))
+# ASCII marks as spaces, to find words that announce a person
+_BARE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 # letters that stand for each other: by script, case, and whether they are vowels
 _CLASSES = [
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
@@ -240,7 +242,7 @@ def entities(text: str) -> list[Entity]:
             start, end = m.span(kind)
             kind = "secret" if kind == "hex" else kind
             found.append(Entity(start, end, kind, normal_form(kind, text[start:end])))
-    if not _CUES.isdisjoint(text.split()):
+    if not _CUES.isdisjoint(text.encode("utf-8", "surrogatepass").translate(_BARE).split()):
         taken = [(e.start, e.end) for e in found]
         surnames = set()
         for m in _PERSON.finditer(text):
