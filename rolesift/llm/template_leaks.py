@@ -32,9 +32,9 @@ MIN_WORDS = 13
 # windows of items kept for a broadcast: a row is 4 numbers
 BROADCAST_WINDOWS = 400_000
 UNITS = (
-    "mm cm m km in ft mi mile miles inch inches foot feet yard yards mg g kg lb lbs oz ton tons ml l liter liters litre "
-    "litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp "
-    "dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz w kw volt volts"
+    "mm cm km ft mile miles inch inches feet yard yards mg kg lb lbs oz ton tons ml liter liters litre litres sec seconds "
+    "minutes hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents "
+    "percent degree degrees kmh mph hz khz mhz kw volt volts"
 ).split()
 
 
@@ -75,8 +75,8 @@ def windows(templates: Column, width: int) -> Column:
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, width, n, words, place, window): an item's windows.
 
-    Windows with few literal words say little and are left to their neighbours,
-    unless the item has no better ones.
+    Windows with fewer than two literal words say little and are left to their
+    neighbours, unless the item has no better ones.
     """
     rows = items.select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
     rows = rows.filter(F.size("words") > 0).withColumn("templates", F.transform("words", template))
@@ -87,7 +87,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     rows = rows.select(
         "item_id", "words", n.alias("n"), width.alias("width"), spans.alias("spans"), literal.alias("literal")
     )
-    enough = F.least(F.floor(F.col("width") / 2).cast("int"), F.array_max("literal"))
+    enough = F.least(F.lit(2), F.array_max("literal"))
     rows = rows.select("item_id", "words", "n", "width", "literal", enough.alias("enough"), F.posexplode("spans").alias("place", "span"))
     rows = rows.filter(F.element_at("literal", F.col("place") + 1) >= F.col("enough"))
     return rows.select("item_id", "words", "n", "width", "place", F.xxhash64("span").alias("window"))
