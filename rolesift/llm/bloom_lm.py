@@ -246,7 +246,8 @@ def _pass(texts: DataFrame, words, filters, totals, in_words, in_history, slices
         count = words.value.of(word)[back]
         share = (count + 1) / (n_all + v_all + 1)
         known = np.bincount(owner[mine], count > 0, len(sizes)).astype(np.int64)
-        base_sum = np.bincount(owner[mine], np.log10(share), len(sizes))
+        # without words of this shard the counts would be whole numbers
+        base_sum = np.bincount(owner[mine], np.log10(share), len(sizes)).astype(float)
         of_history = (keys[mine] >> shift).astype(np.int64)
         here = (of_history >= in_history[0]) & (of_history < in_history[1])
         pair, back = np.unique(keys[mine][here], return_inverse=True)
@@ -260,7 +261,7 @@ def _pass(texts: DataFrame, words, filters, totals, in_words, in_history, slices
         below = (seen + types)[of][back]
         p = np.where(below > 0, (both[back] + types[of][back] * p0) / np.maximum(below, 1e-300), p0)
         p = np.where(p > 0, p, p0)  # a false positive of a history without followers
-        total = np.bincount(owner[mine][here], np.log10(p), len(sizes))
+        total = np.bincount(owner[mine][here], np.log10(p), len(sizes)).astype(float)
         zero = np.zeros(len(sizes))
         return pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), rows.column("node"), rows.column("held_out"), pa.array(sizes),
