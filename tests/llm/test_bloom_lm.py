@@ -31,7 +31,7 @@ def test_base_and_shards(tricky, nothing, monkeypatch):
     model = m.train(docs.filter(~F.col("held_out")))
     one = m.score(docs, *model).collect()
     assert base(one) == brute([(r["doc_id"], r["text"]) for r in tricky.collect()])
-    monkeypatch.setattr(m, "MAX_BYTES", 300)
+    monkeypatch.setattr(m, "MAX_BYTES", 700)
     assert len(m._shards(model[0], 0)) > 1 and len(m._shards(model[0], 1)) > 1
     many = m.score(docs, *model).collect()
     key = lambda r: (repr(r["doc_id"]), r["n_tokens"])
