@@ -94,8 +94,13 @@ class WordIds:
             for part, one in zip(rest, found):
                 self.known[part] = np.array(one.ids, np.uint32).tobytes()
 
+    @staticmethod
+    def lowered(data: bytes) -> bytes:
+        """A-Z in lower case, as the tokenizer has them, unless a special token may be written there."""
+        return data if b"<|" in data else data.lower()
+
     def of(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        parts = [self.lowered((t or "").encode("utf-8", "replace")).split() for t in texts]
         if len(self.known) > _CACHE_WORDS:
             self.known = {}
         self.learn({p for one in parts for p in one}.difference(self.known))
@@ -121,8 +126,8 @@ def pieces(documents: DataFrame, json: str, length: int = LENGTH, end: int = END
         ids_of = _word_ids(sent.value)
         last = end.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                rows = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                rows = whole.slice(at, 1000)
                 out = []
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), ids_of.of(rows.column("text").to_pylist())):
                     ids += last
