@@ -311,19 +311,23 @@ def pack(documents: DataFrame, json: str, length: int = LENGTH, end: int = END)
     numbered = materialize(numbered.withColumn("mid", F.monotonically_increasing_id()))
     items = numbered.filter(F.col("length") < length).select("mid", "length")
     placed, level = None, 0
-    count = items.count()
+    measure = lambda x: x.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    count, tokens = measure(items)
     while count:
-        shards = max(1, math.ceil(count / SHARD))
+        # of tiny pieces a shard takes more, so that it fills some bins besides those passed on
+        shards = max(1, min(math.ceil(count / SHARD), tokens // (2 * REMNANT * length)))
         packed = materialize(pack_shards(items, level, shards, length))
         key = F.struct(F.lit(level).alias("level"), "shard", "bin").alias("sequence")
         done = packed
         if shards > 1:
             bins = packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
             worst = bins.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("fill", "bin"))).alias("bins"))
-            worst = materialize(worst.select("shard", F.explode(F.slice("bins", 1, REMNANT)).alias("b")).select("shard", "b.bin"))
+            # at most half of the bins, the emptiest: the tokens left halve at each level, so the levels end
+            passed = F.least(F.lit(REMNANT), (F.size("bins") / 2).cast("int"))
+            worst = materialize(worst.select("shard", F.explode(F.slice("bins", F.lit(1), passed)).alias("b")).select("shard", "b.bin"))
             items = materialize(packed.join(worst, ["shard", "bin"], "left_semi").select("mid", F.col("length").cast("long")))
             done = packed.join(worst, ["shard", "bin"], "left_anti")
-            count = items.count()
+            count, tokens = measure(items)
         else:
             count = 0
         done = done.select("mid", "length", key)

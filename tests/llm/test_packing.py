@@ -66,3 +66,21 @@ def test_crossover_keeps_every_item():
         a = m.crossover(a, b, sizes, 100, draw)
         assert sorted(i for x in a for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 100 for x in a)
     assert len(m.evolve([50, 50, 30, 70, 20, 80, 60, 40], [], 100, "s")[0]) == 4
+
+
+def test_tiny_pieces_end(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD", 60)
+    packed, levels = m.pack_shards, []
+
+    def counted(items, level, *rest):
+        assert level < 20, "the levels do not end"
+        levels.append(level)
+        return packed(items, level, *rest)
+
+    monkeypatch.setattr(m, "pack_shards", counted)
+    docs = spark.createDataFrame([(i, (None, "", "word")[i % 3]) for i in range(600)], "doc_id long, text string")
+    for length in (32, 2048):  # several bins a shard, less than one
+        rows = m.pack(docs, m.tokenizer_json(), length=length).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(600))
+        assert check(rows, length) <= 1.1 * sum(r["length"] for r in rows) / length + 1
+    assert len(levels) > 2
