@@ -21,8 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +58,46 @@ _CLASSES = [
 ]
 _CLASS_OF = {c: group for group in _CLASSES for c in group}
 _HEX = "0123456789abcdef"
+_MARKS = "!#$%&()*+-./:<=>?@[\\]^_`{|}~"
+
+
+def _sort_of(c: str) -> tuple:
+    """Script, category and, for letters with case, the block of 128 code points and whether case changes and returns."""
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        return kind, ord(c) - unicodedata.decimal(c)
+    if kind not in ("Lu", "Ll"):
+        return kind, unicodedata.name(c, "").split(" ")[0]
+    other = c.upper() if kind == "Ll" else c.lower()
+    returns = len(other) == 1 and other != c and (other.lower() if kind == "Ll" else other.upper()) == c
+    return kind, unicodedata.name(c, "").split(" ")[0], ord(c) >> 7, returns
+
+
+@cache
+def _other_classes() -> dict[str, str]:
+    """The class of each letter and number of Unicode that is in none of ``_CLASSES``."""
+    groups: dict[tuple, list[str]] = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c.isalnum() and c not in _CLASS_OF:
+            groups.setdefault(_sort_of(c), []).append(c)
+    few: dict[str, list[str]] = {}  # too few of a sort to stand for each other
+    for sort in [s for s, group in groups.items() if len(group) < 4]:
+        few.setdefault(sort[0], []).extend(groups.pop(sort))
+    return {c: group for some in (groups, few) for group in map("".join, some.values()) for c in group}
+
+
+def class_of(c: str) -> str | None:
+    """The characters that may stand for one: every letter and number has some."""
+    return _CLASS_OF.get(c) or (None if c.isascii() else _other_classes().get(c))
+
+
+def _mark(c: str) -> str | None:
+    """Classes for texts without any letter or number."""
+    if c in _MARKS:
+        return _MARKS
+    row = ord(c) & ~127
+    group = "".join(x for x in map(chr, range(row, row + 128)) if x.isprintable() and not x.isspace() and not x.isalnum())
+    return group if row and c in group else None
 
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
@@ -77,7 +120,7 @@ def permute(x: int, n: int, key: bytes, tweak: str) -> int:
             return x
 
 
-def recode(text: str, key: bytes, tweak: str, classes: Callable[[str], str | None] = _CLASS_OF.get) -> str:
+def recode(text: str, key: bytes, tweak: str, classes: Callable[[str], str | None] = class_of) -> str:
     """Permute all texts of one shape: characters of a class change, others stay."""
     groups = [classes(c) for c in text]
     x, n = 0, 1
@@ -160,7 +203,9 @@ def _iban(normal: str, key: bytes, tweak: str) -> str:
 
 
 def _secret(normal: str, key: bytes, tweak: str) -> str:
-    return recode(normal, key, tweak, _hex if all(c in _HEX for c in normal) else _CLASS_OF.get)
+    if all(c in _HEX for c in normal):
+        return recode(normal, key, tweak, _hex)
+    return recode(normal, key, tweak, class_of if any(map(class_of, normal)) else _mark)
 
 
 def _name(normal: str, key: bytes, tweak: str) -> str:
@@ -207,7 +252,14 @@ class Entity:
     normal: str
 
 
+def _plain_digits(text: str) -> str:
+    """Digits of every script as 0-9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def normal_form(kind: str, text: str) -> str:
+    if kind in ("number", "ssn", "phone", "iban"):
+        text = _plain_digits(text)
     if kind in ("number", "ssn"):
         return re.sub(r"\D", "", text)
     if kind == "phone":
@@ -220,14 +272,17 @@ def normal_form(kind: str, text: str) -> str:
 
 
 def like(text: str, surrogate: str) -> str:
-    """The surrogate with the case and the separators of a mention."""
-    if sum(map(str.isalnum, text)) != sum(map(str.isalnum, surrogate)):
+    """The surrogate with the case, the separators and the script of digits of a mention."""
+    n = sum(map(str.isalnum, text))
+    if not n or n != sum(map(str.isalnum, surrogate)):
         return surrogate
     chars = (c for c in surrogate if c.isalnum())
     out = []
     for c in text:
         if c.isalnum():
             new = next(chars)
+            if new in _HEX[:10] and c.isdecimal() and not c.isascii():
+                new = chr(ord(c) - unicodedata.decimal(c) + int(new))
             c = new.upper() if c.isupper() and len(new.upper()) == 1 else new
         out.append(c)
     return "".join(out)
