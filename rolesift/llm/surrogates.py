@@ -241,7 +241,8 @@ _PERSON = re.compile(
     rf"\b(?P<title>(?:{'|'.join(TITLES)})\.?[ ])?(?P<names>(?:(?:{'|'.join(_FIRST)})\b(?:[ ][^\W\d_a-zа-я]\w+)?)"
     r"|(?<=[ .] )?[^\W\d_a-zа-я]\w+(?:[ ][^\W\d_a-zа-я]\w+)?)"
 )
-_PREFIX = re.compile(r"[0-9@]")
+# what every match of _FOUND holds: a digit, an @, a word of a cue, or joined groups of hex digits
+_PREFIX = re.compile(r"[\d@]|[0-9A-Fa-f][:-][0-9A-Fa-f]{1,4}[:-]|(?i:key|secret|token|passw|pwd)")
 
 
 @dataclass(frozen=True)

@@ -91,3 +91,10 @@ def test_every_script_has_room(spark):
     assert "++++++++" not in got[200]
     # one phone in two scripts is one entity
     assert digits(got[201][5:-6], "٠") == got[0][5:-6]
+
+
+def test_secrets_in_texts_without_digits():
+    for text in ("password: correcthorse", "Api_Key=abcdefghij", "at aa:bb:cc:dd:ee:ff", "at AA-BB-CC-DD-EE-FF",
+                 "via a:b:c:d:e:f:a:b", "call +٤٩ ٣٠ ١٢٣٤٥٦٧"):
+        new, n = m.replaced(text, KEY, {})
+        assert n == 1 and new != text and text.split()[-1] not in new, text
