@@ -215,6 +215,14 @@ def _name(normal: str, key: bytes, tweak: str) -> str:
     return recode(normal, key, tweak)
 
 
+def _double_name(normal: str, key: bytes, tweak: str) -> str:
+    """Two other first names of the pool, joined: nobody's in the corpus, where a name ends at the hyphen."""
+    pool, at = _FIRST[normal]
+    order = sorted(range(len(pool)), key=lambda i: permute(i, len(pool), key, f"{tweak}|{pool[0]}"))
+    place = order.index(at)
+    return "-".join(pool[order[(place + k) % len(pool)]] for k in (1, 2))
+
+
 MAKERS = {
     "email": _email, "number": _number, "phone": _phone, "ssn": _ssn, "ip": _ip, "iban": _iban,
     "secret": _secret, "mac": lambda n, k, t: recode(n, k, t, _hex), "ip6": lambda n, k, t: recode(n, k, t, _hex),
@@ -321,8 +329,13 @@ def entities(text: str) -> list[Entity]:
 
 
 def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of a normal form. After many attempts in a crowded shape it grows by a character."""
-    if attempt >= 8 and kind in ("email", "name", "secret"):
+    """The surrogate of a normal form. First names that draw anew become double names of their gender
+    and script. After many attempts in a crowded shape other surrogates grow by characters."""
+    if attempt and kind == "name" and normal in _FIRST:
+        return _double_name(normal, key, f"{kind}|{attempt}")
+    if attempt >= 8 and kind == "name":
+        return _name(normal + normal[-1] * (attempt // 8), key, f"{kind}|{attempt}")
+    if attempt >= 8 and kind in ("email", "secret"):
         return MAKERS[kind](chr(ord("a") + attempt % 26) + normal, key, f"{kind}|{attempt}")
     return MAKERS[kind](normal, key, f"{kind}|{attempt}")
 
@@ -333,7 +346,7 @@ def replaced(text: str, key: bytes, exceptions: Mapping[tuple[str, str], str]) -
     for e in found:
         new = exceptions.get((e.kind, e.normal)) or surrogate(e.kind, e.normal, key)
         mention = text[e.start : e.end]
-        out += [text[last : e.start], new if e.kind == "ip" else like(mention, new)]
+        out += [text[last : e.start], new if e.kind == "ip" or mention in _FIRST else like(mention, new)]
         last = e.end
     return "".join([*out, text[last:]]), len(found)
 

@@ -98,3 +98,14 @@ def test_secrets_in_texts_without_digits():
                  "via a:b:c:d:e:f:a:b", "call +٤٩ ٣٠ ١٢٣٤٥٦٧"):
         new, n = m.replaced(text, KEY, {})
         assert n == 1 and new != text and text.split()[-1] not in new, text
+
+
+def test_full_pools_keep_names(spark):
+    names = [n for pool in m.NAMES.values() for n in pool.split()]
+    docs = spark.createDataFrame([(i, f"{n} came, and {n} left.") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in m.anonymise(docs).collect()}
+    new = [re.fullmatch(r"(\S+) came, and \1 left\.", got[i])[1] for i in range(len(names))]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+    for n, x in zip(names, new):
+        pool = next(pool.split() for pool in m.NAMES.values() if n in pool.split())
+        assert set(x.split("-")) <= set(pool) - {n}
