@@ -8,7 +8,9 @@ lie on one diagonal make a run. It counts when it covers ``MIN_WORDS`` words or
 of the item, and when its slots are consistent: each value the item has in its slots
 stands for one value of the document throughout, and the other way round. A copied
 item maps each value to itself; a re-parameterised one maps them all to new values;
-a chance likeness does neither.
+a chance likeness does neither. Slots count where windows match. A run that has
+``MIN_WORDS`` words or half of the item in a row word for word counts whatever its
+slots say.
 
 Everything is DataFrame functions. The windows of documents are narrow rows (hash of
 the text, place, hash of the window) and texts are not moved by the first join; only
@@ -128,22 +130,37 @@ def find_leaks(documents: DataFrame, items: DataFrame, keys: bool = False) -> Da
     item_words = broadcast_if_small(known.select("item_id", "n", "words").dropDuplicates(["item_id", "n", "words"]))
     both = run.join(suspects, ["k1", "k2"]).join(item_words, ["item_id", "n"])
     lo, hi = F.array_min("places"), F.array_max("places") + F.col("width") - 1
-    slots = F.filter(
-        F.transform(
-            F.sequence(lo, hi),
-            lambda i: F.struct(
-                template(F.get("words", i)).alias("kind"),
-                plain(F.get("words", i)).alias("theirs"),
-                plain(F.get("doc_words", i + F.col("shift"))).alias("ours"),
-            ),
+    words = F.transform(
+        F.sequence(lo, hi),
+        lambda i: F.struct(
+            i.alias("place"),
+            template(F.get("words", i)).alias("kind"),
+            plain(F.get("words", i)).alias("theirs"),
+            plain(F.get("doc_words", i + F.col("shift"))).alias("ours"),
         ),
-        lambda s: s["kind"].startswith("<") & s["ours"].isNotNull(),
     )
-    both = both.withColumn("slots", F.array_distinct(slots))
+    both = both.withColumn("pairs", words)
+    # the most words in a row that are the item's own
+    stretch = F.aggregate(
+        "pairs",
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, s: F.struct(
+            F.when(s["theirs"].eqNullSafe(s["ours"]), acc["now"] + 1).otherwise(0).alias("now"),
+            F.when(s["theirs"].eqNullSafe(s["ours"]), F.greatest(acc["most"], acc["now"] + 1)).otherwise(acc["most"]).alias("most"),
+        ),
+        lambda acc: acc["most"],
+    )
+    # slots of matched windows only: a word between them that differs says nothing against them
+    matched = lambda i: F.exists("places", lambda p: (i >= p) & (i < p + F.col("width")))
+    is_slot = lambda s: s["kind"].startswith("<") & s["ours"].isNotNull()
+    value = lambda s: F.struct(s["kind"].alias("kind"), s["theirs"].alias("theirs"), s["ours"].alias("ours"))
+    slots = F.array_distinct(F.transform(F.filter("pairs", lambda s: is_slot(s) & matched(s["place"])), value))
+    both = both.withColumn("slots", slots).withColumn("verbatim", stretch)
     distinct = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[name]))))
     consistent = (distinct("theirs") == F.size("slots")) & (distinct("ours") == F.size("slots"))
-    exact = ~F.exists("slots", lambda s: s["theirs"] != s["ours"])
-    leaks = both.filter(consistent).groupBy("k1", "k2", "item_id").agg(
+    exact = ~F.exists("pairs", lambda s: is_slot(s) & (s["theirs"] != s["ours"]))
+    copied = (F.col("verbatim") >= F.least(F.lit(MIN_WORDS), F.col("n"))) | (2 * F.col("verbatim") >= F.col("n"))
+    leaks = both.filter(consistent | copied).groupBy("k1", "k2", "item_id").agg(
         F.max("n_words").alias("n_words"), F.max(exact).alias("exact")
     )
     if keys:

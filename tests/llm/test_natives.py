@@ -132,3 +132,25 @@ def test_native_plans(spark):
         for name in ("op6_template_leaks", "op10_license_join"):
             plan = CATALOG[name][0](spark, SF)._jdf.queryExecution().toString()
             assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+PASSAGE = (
+    "the river was measured in 2010 by a group of surveyors who walked along its northern bank from the old mill to the "
+    "harbour and wrote down every depth they found, and once more in 2010 when the water had fallen below the lowest mark"
+)
+
+
+def test_copies_with_an_edited_mention(spark):
+    at = PASSAGE.rindex("2010")
+    one = PASSAGE[:at] + "2019" + PASSAGE[at + 4 :]
+    docs = spark.createDataFrame([(1, one), (2, one.replace("surveyors", "Romans")), (3, PASSAGE)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["exact"]) for r in template_leaks.find_leaks(docs, items).collect())
+    assert got == [(1, False), (2, False), (3, True)]
+    assert template_leaks.drop_leaks(docs, items).count() == 0
+    # half an item with one slot changed in both ways, and a gap word in the way of two windows
+    torn = "Ann paid 3 coins to Bob while the miller counted 3 sacks"
+    assert template_leaks.find_leaks(
+        spark.createDataFrame([(1, torn.replace("3 sacks", "5 sacks"))], "doc_id long, text string"),
+        spark.createDataFrame([(1, torn)], "item_id long, text string"),
+    ).count() == 1
