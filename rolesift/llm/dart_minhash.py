@@ -9,13 +9,15 @@ rank is the document's value there. Two documents agree in a coordinate with
 probability equal to their weighted Jaccard similarity. About ``k ln k + 2 k`` darts
 fill ``k`` coordinates, however long the text is.
 
-Coordinates are grouped in bands; texts that agree in a band are candidates. With 44
-bands of 7, a pair of similarity 0.8 is missed with probability 3e-5. Each bucket
+Coordinates are grouped in bands; texts that agree in a band are candidates. With 67
+bands of 7, a pair of similarity 0.8 shares none with probability 1.4e-7, fewer than
+two with 2.7e-6 and fewer than three with 2.5e-5. Each bucket
 first compares its members with one pivot, the member that meets most others, so a large group of near copies costs one
 comparison a member. Members of different classes that share a bucket are then
 compared with each other, so that no link between classes is left out. A bucket of
-many, such as a passage brings together, is first split by a second band, and a third:
-a pair of similarity 0.8 shares another one as surely as it shared the first.
+many, such as a passage brings together, is first split by a second band, and a third
+where that is large too, so a pair in the largest buckets is missed with probability
+2.5e-5 and any other with less.
 Candidates are verified on the whole texts, and classes are the connected components
 of the links. Equal texts are one node throughout (by a 64-bit hash).
 
@@ -41,7 +43,8 @@ from rolesift.session import broadcast_if_small, materialize, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 44, 7
+# three bands of 67 are shared but with probability 2.5e-5 at that similarity
+BANDS, ROWS = 67, 7
 # members of a bucket that are compared with each other at once; larger ones are split by further bands
 PAIR_UP = 32
 # shingles of the documents whose signatures are made at once

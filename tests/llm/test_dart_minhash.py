@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from samples import prose
@@ -87,3 +89,9 @@ def test_agreement_estimates_similarity():
     assert abs((signature[0] == signature[1]).mean() - expected) < 0.05
     alone = m.signatures(np.zeros(300, int), elements, a, 1, k)
     assert (alone[0] == signature[0]).all()
+
+
+def test_pairs_in_large_buckets_are_missed_rarely():
+    p = m.SIMILARITY**m.ROWS
+    fewer_than_three = sum(math.comb(m.BANDS, k) * p**k * (1 - p) ** (m.BANDS - k) for k in range(3))
+    assert fewer_than_three < 3.2e-5  # a large bucket is split by up to two bands more
