@@ -6,6 +6,7 @@ from rolesift.llm import (
     bloom_lm,
     dart_minhash,
     license_join,
+    mixing,
     packing,
     repeat_intervals,
     surrogates,
@@ -26,5 +27,6 @@ MODULES = (
     bloom_lm,
     packing,
     license_join,
+    mixing,
 )
 CATALOG = {name: query for module in MODULES for name, query in module.QUERIES.items()}
