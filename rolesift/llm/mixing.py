@@ -83,6 +83,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
     return sources.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _dealt(docs: DataFrame, weights: Sequence[int], share: float, cap: float, seed: str) -> DataFrame:
+    """The documents with a struct ``_mix`` of size, source_size, target and copies."""
+    size = n_words(F.col("text")).alias("size")
+    sized = materialize(docs.select("source", size).groupBy("source").agg(F.sum("size").alias("size")))
+    targets = source_targets(sized, weights, share, cap).select(
+        F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target")
+    )
+    held = docs.join(broadcast_if_small(targets), F.col("source").eqNullSafe(F.col("_source")))
+    release(sized)
+    rate = F.coalesce(F.try_divide("_target", "_size"), F.lit(0.0))
+    copies = F.floor(rate) + F.when(draw(seed) < rate - F.floor(rate), 1).otherwise(0)
+    named = [F.col("_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("long").alias("copies")]
+    return held.select(*docs.columns, F.struct(size, *named).alias("_mix"))
+
+
 def with_copies(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED
 ) -> DataFrame:
@@ -90,21 +105,17 @@ def with_copies(
 
     Columns of these names that the documents have already give way.
     """
-    own = docs.select([c for c in docs.columns if c not in ("size", "source_size", "target", "copies")])
-    sized = materialize(own.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
-    targets = broadcast_if_small(source_targets(sized, weights, share, cap).withColumnRenamed("source", "_source"))
-    release(sized)
-    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(seed) < rate - F.floor(rate), 1).otherwise(0)
-    held = own.withColumn("size", n_words(F.col("text"))).join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    return held.drop("_source").withColumn("copies", copies.cast("long"))
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    return _dealt(docs, weights, share, cap, seed).select(*own, "_mix.*")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as the mix holds it, with ``copy`` from 0; columns of the documents stay."""
-    counted = with_copies(docs, **options).filter(F.col("copies") > 0)
+def mix(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED
+) -> DataFrame:
+    """Every document as often as the mix holds it, with ``copy`` from 0; other columns of the documents stay."""
+    dealt = _dealt(docs, weights, share, cap, seed).filter(F.col("_mix.copies") > 0)
     kept = [c for c in docs.columns if c != "copy"]
-    return counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).cast("int").alias("copy"))
+    return dealt.select(*kept, F.explode(F.sequence(F.lit(0), F.col("_mix.copies").cast("int") - 1)).alias("copy"))
 
 
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
