@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,26 @@ def arrow_map(
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_best(slots: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int):
+    """Of every slot the ``k`` entries of highest value, ties by smaller id, in that order."""
+    order = np.lexsort((ids, -values, slots))
+    slots, values, ids = slots[order], values[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]]) if len(slots) else np.zeros(0, int)
+    place = np.arange(len(slots)) - np.repeat(starts, np.diff(np.r_[starts, len(slots)]))
+    return slots[place < k], values[place < k], ids[place < k]
+
+
+def best_of_slots(parts: Iterator, n_slots: int, k: int):
+    """The best of all parts; ``parts`` get the least value that still counts for each slot and give new entries."""
+    least = np.full(n_slots, np.iinfo(np.int64).min)
+    held = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for part in parts:
+        for found in part(least):
+            held = keep_best(*(np.concatenate(pair) for pair in zip(held, found)), k)
+            full = np.bincount(held[0], minlength=n_slots) >= k
+            lowest = np.full(n_slots, np.iinfo(np.int64).max)
+            np.minimum.at(lowest, held[0], held[1])
+            least[full] = lowest[full]
+    return held

@@ -5,10 +5,12 @@ from __future__ import annotations
 from rolesift.llm import (
     bloom_lm,
     dart_minhash,
+    hard_negatives,
     license_join,
     mixing,
     packing,
     repeat_intervals,
+    signature_search,
     surrogates,
     template_leaks,
     url_cascade,
@@ -27,6 +29,8 @@ MODULES = (
     bloom_lm,
     packing,
     license_join,
+    signature_search,
     mixing,
+    hard_negatives,
 )
 CATALOG = {name: query for module in MODULES for name, query in module.QUERIES.items()}
