@@ -80,23 +80,33 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     """``{name}`` placeholders replaced, with a fill and width as in ``{page:02d}``; ``{{`` and
     ``}}`` stand for braces. '' when any other brace is left or a number is asked of a text."""
     marked = F.replace(F.replace(template, F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002"))
+    spec = r"^\{(\w+)(?::([<>]?)(0?)(\d*)([ds]?))?\}$"
 
-    def part(token: Column) -> Column:
-        spec = lambda group: F.regexp_extract(token, r"^\{\w+(?::([<>]?)(0?)(\d*)([ds]?))?\}$", group)
-        out = F.when(~token.rlike(r"[{}]"), token)
-        for name, value in values.items():
-            number = value.rlike(r"^-?\d+$")
-            width = F.greatest(F.coalesce(spec(3).try_cast("int"), F.lit(0)), F.length(value))
-            fill = F.when(spec(2) == "0", "0").otherwise(" ")
-            left = (spec(1) == "<") | ((spec(1) == "") & (spec(4) != "d") & (spec(2) != "0") & F.lit(name not in NUMBERS))
-            padded = F.when(left, F.rpad(value, width, fill)).otherwise(F.lpad(value, width, fill))
-            wanted = token.rlike(r"^\{" + name + r"(:[<>]?0?\d*[ds]?)?\}$") & ((spec(4) != "d") | number)
-            out = out.when(wanted, padded)
-        return out
+    def padded(t: Column) -> Column:
+        value, side, zero, kind = t["value"], t["side"], t["zero"], t["kind"]
+        width = F.greatest(F.coalesce(t["width"].try_cast("int"), F.lit(0)), F.length(value))
+        left = (side == "<") | ((side == "") & (kind != "d") & (zero == "") & ~t["name"].isin(*NUMBERS))
+        fill = F.when(zero == "0", "0").otherwise(" ")
+        return F.when((kind != "d") | value.rlike(r"^-?\d+$"), F.when(left, F.rpad(value, width, fill)).otherwise(F.lpad(value, width, fill)))
 
-    parts = F.transform(F.regexp_extract_all(marked, F.lit(r"\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0)), part)
-    filled = F.replace(F.replace(F.array_join(parts, ""), F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
-    return F.when(F.exists(parts, lambda p: p.isNull()), F.lit("")).otherwise(filled)
+    def fill(v: Column) -> Column:
+        def part(token: Column) -> Column:
+            name, side, zero, width, kind = (F.regexp_extract(token, spec, i) for i in range(1, 6))
+            value = F.lit(None).cast("string")
+            for one in values:
+                value = F.when(name == one, v[one]).otherwise(value)
+            named = F.struct(
+                name.alias("name"), value.alias("value"), side.alias("side"), zero.alias("zero"), width.alias("width"), kind.alias("kind")
+            )
+            return F.when(~token.rlike(r"[{}]"), token).otherwise(let(named, padded))
+
+        return F.transform(F.regexp_extract_all(marked, F.lit(r"\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0)), part)
+
+    def join(parts: Column) -> Column:
+        filled = F.replace(F.replace(F.array_join(parts, ""), F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+        return F.when(F.exists(parts, lambda p: p.isNull()), F.lit("")).otherwise(filled)
+
+    return let(let(F.struct(*[v.cast("string").alias(n) for n, v in values.items()]), fill), join)
 
 
 def lenient_int(c: Column, default: int, minimum: int) -> Column:
@@ -175,7 +185,8 @@ def timestamp_of_text(c: Column) -> Column:
 
         return let(parts, build)
 
-    return F.when(c.rlike(_ISO), iso(c)).when(dashed.rlike(_ISO), iso(dashed)).when(c.rlike(_MAIL), mail(c))
+    shaped = F.when(c.rlike(_ISO), c).when(dashed.rlike(_ISO), dashed)
+    return F.coalesce(iso(shaped), F.when(shaped.isNull() & c.rlike(_MAIL), mail(c)))
 
 
 def parse_datetime(c: Column) -> Column:

@@ -47,13 +47,19 @@ def elements(v: Column) -> Column:
     return F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>"))
 
 
+# steps that Spark's path notation cannot hold: those with a quote or question mark, and empty ones
+_ODD_STEP = r'["?]|^$'
+_STEPWISE = r'(^|\.)\d+(\.|$)|["?]|\.\.|^\.|\.$'
+
+
 def path_pair(path: Column) -> Column:
-    """A dotted path in Spark's notation, or its steps where a step is a number."""
-    steps = F.split(path, r"\.")
+    """A dotted path in Spark's notation, or its steps where one is a number or cannot be written so."""
+    steps = F.split(path, r"\.", -1)
     named = F.transform(steps, lambda s: F.concat(F.lit('["'), s, F.lit('"]')))
+    stepwise = path.rlike(_STEPWISE)
     return F.struct(
-        F.concat(F.lit("$"), F.array_join(named, "")).alias("keys"),
-        F.when(path.rlike(r"(^|\.)\d+(\.|$)"), steps).alias("steps"),
+        F.when(~stepwise, F.concat(F.lit("$"), F.array_join(named, ""))).alias("keys"),
+        F.when(stepwise, steps).alias("steps"),
     )
 
 
@@ -61,10 +67,12 @@ def follow(v: Column, pair: Column) -> Column:
     """The value at a :func:`path_pair`; a miss is null. A number indexes a list, or names a key of an object."""
 
     def step(at: Column, s: Column) -> Column:
-        number = F.concat(F.lit("$["), s, F.lit("]"))
-        key = F.concat(F.lit('$["'), s, F.lit('"]'))
-        return F.when(is_array(at), F.when(s.rlike(r"^\d+$"), F.try_variant_get(at, number, "variant"))).otherwise(
-            F.try_variant_get(at, key, "variant")
+        number = F.when(s.rlike(r"^\d+$"), F.concat(F.lit("$["), s, F.lit("]")))
+        odd = s.rlike(_ODD_STEP)
+        key = F.when(~odd, F.concat(F.lit('$["'), s, F.lit('"]')))
+        members = F.when(odd, F.try_variant_get(at, "$", "map<string,variant>"))
+        return F.when(is_array(at), F.try_variant_get(at, number, "variant")).otherwise(
+            F.coalesce(F.try_variant_get(at, key, "variant"), F.try_element_at(members, s))
         )
 
     return F.when(pair["steps"].isNull(), F.try_variant_get(v, pair["keys"], "variant")).otherwise(

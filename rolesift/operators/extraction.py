@@ -47,7 +47,8 @@ from rolesift.functions.variants import (
     text_of,
     truthy_text,
 )
-from rolesift.operators.html_nodes import reachable_elements, readable_json
+from rolesift.operators.html_nodes import LINKS, reachable_elements, readable_json
+from rolesift.session import built_once
 
 # fixed values: the page families
 PARSER_TYPES = [
@@ -161,26 +162,27 @@ def _place_fallback(item: Column) -> Column:
     )
 
 
+_TEXT_FIELDS = ["url", "title", "location", "description", "posted_at", "slug"]
+
+
 def generic_json_rows(doc: Column, jobs_path: Column, paths: Column) -> Column:
     """Rows named by configured paths; ``paths`` holds :func:`path_pair` per field."""
 
-    def value(item: Column, name: str) -> Column:
-        return F.when(F.map_contains_key(paths, name), follow(item, F.try_element_at(paths, F.lit(name))))
+    def rows(pairs: Column) -> Column:
+        def row(item: Column) -> Column:
+            # one expression reads all text fields
+            def build(texts: Column) -> Column:
+                named = {name: F.get(texts, F.lit(i)) for i, name in enumerate(_TEXT_FIELDS)}
+                named["location"] = F.coalesce(blank_to_null(named["location"]), _place_fallback(item))
+                found = follow(item, F.try_element_at(paths, F.lit("external_id")))
+                return _row("json", external_id=identifier_of(found), **named)
 
-    def row(item: Column) -> Column:
-        text = lambda name: text_of(value(item, name))
-        return _row(
-            "json",
-            external_id=identifier_of(value(item, "external_id")),
-            url=text("url"),
-            title=text("title"),
-            location=F.coalesce(blank_to_null(text("location")), _place_fallback(item)),
-            description=text("description"),
-            posted_at=text("posted_at"),
-            slug=text("slug"),
-        )
+            return let(F.transform(pairs, lambda pair: text_of(follow(item, pair))), build)
+
+        return F.transform(_objects(elements(at_path(doc, F.trim(jobs_path)))), row)
 
-    return F.transform(_objects(elements(at_path(doc, F.trim(jobs_path)))), row)
+    named = F.array(*map(F.lit, _TEXT_FIELDS))
+    return let(F.transform(named, lambda name: F.try_element_at(paths, name)), rows)
 
 
 def smartrecruiters_rows(doc: Column) -> Column:
@@ -327,33 +329,51 @@ def _has_role(node: Column, role: str) -> Column:
     return F.array_contains(node["roles"], role)
 
 
-def _inside(nodes: Column, outer: Column, test) -> Column:
-    return F.filter(nodes, lambda n: (n["id"] > outer["id"]) & (n["id"] <= outer["last"]) & test(n))
-
-
 def _first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 
 
+def _is_link(node: Column) -> Column:
+    return (node["tag"] == "a") & F.map_contains_key(node["attrs"], "href")
+
+
+def _by_role(nodes: Column, roles: list[str]) -> Column:
+    """The elements of each role, and the links, in document order: what ``inside`` counts in."""
+
+    def of(role: str) -> Column:
+        return F.filter(nodes, lambda n: _has_role(n, role)).alias(role)
+
+    return F.struct(*map(of, roles), F.filter(nodes, _is_link).alias(LINKS))
+
+
+def _first_inside(lists: Column, outer: Column, role: str) -> Column:
+    return F.get(lists[role], F.try_element_at(outer["inside"], F.lit(role))["start"])
+
+
+def _all_inside(lists: Column, outer: Column, role: str) -> Column:
+    def stretch(at: Column) -> Column:
+        return F.slice(lists[role], F.coalesce(at["start"], F.lit(0)) + 1, F.coalesce(at["n"], F.lit(0)))
+
+    return let(F.try_element_at(outer["inside"], F.lit(role)), stretch)
+
+
 def family_link_rows(nodes: Column) -> Column:
     """Posting links of the six families, by the family's own rules."""
     family = F.col("parser_type")
     workable, teamtailor = family == "workable", family == "teamtailor"
     bare = family == "workday"
-    spots = F.filter(nodes, lambda n: _has_role(n, "posting"))
-
-    def gather(n: Column) -> Column:
-        inner = _first(_inside(nodes, n, lambda m: (m["tag"] == "a") & F.map_contains_key(m["attrs"], "href")))
-        parent = _first(F.filter(nodes, lambda m: m["id"] == n["parent"]))
-        outer = F.when(workable, n).otherwise(parent)
-        places = F.when(
-            workable | teamtailor,
-            F.transform(_inside(nodes, outer, lambda m: _has_role(m, "location")), lambda m: m["text"]),
-        )
-        return F.struct(
-            n.alias("spot"), F.when(workable, inner).otherwise(n).alias("link"), parent.alias("parent"),
-            clean(F.array_join(places, " ")).alias("places"),
-        )
+
+    def rows(lists: Column) -> Column:
+        def gather(n: Column) -> Column:
+            parent = F.get(nodes, n["up"])
+            outer = F.when(workable, n).otherwise(parent)
+            places = F.when(workable | teamtailor, F.transform(_all_inside(lists, outer, "location"), lambda m: m["text"]))
+            return F.struct(
+                n.alias("spot"), F.when(workable, _first_inside(lists, n, LINKS)).otherwise(n).alias("link"),
+                parent.alias("parent"), clean(F.array_join(places, " ")).alias("places"),
+            )
+
+        return F.transform(F.transform(lists["posting"], gather), read)
 
     def read(g: Column) -> Column:
         spot, link, parent = g["spot"], g["link"], g["parent"]
@@ -383,20 +403,19 @@ def family_link_rows(nodes: Column) -> Column:
             posted_at=F.when(workable | teamtailor, _attr(spot, "data-posted-at")),
         )
 
-    return F.transform(F.transform(spots, gather), read)
+    return let(_by_role(nodes, ["posting", "location"]), rows)
 
 
 def card_rows(nodes: Column) -> Column:
     """Postings of configured cards: each field by selector, else by attribute."""
-    cards = F.filter(nodes, lambda n: _has_role(n, "job_card"))
     roles = ["title", "link", "location", "description", "posted_at", "external_id"]
 
-    def gather(card: Column) -> Column:
-        found = {r: _first(_inside(nodes, card, lambda m, r=r: _has_role(m, r))) for r in roles}
-        anchor = _first(_inside(nodes, card, lambda m: (m["tag"] == "a") & F.map_contains_key(m["attrs"], "href")))
-        return F.struct(
-            card.alias("card"), *[node.alias(r) for r, node in found.items()], anchor.alias("anchor")
-        )
+    def rows(lists: Column) -> Column:
+        def gather(card: Column) -> Column:
+            found = [_first_inside(lists, card, r).alias(r) for r in roles]
+            return F.struct(card.alias("card"), *found, _first_inside(lists, card, LINKS).alias("anchor"))
+
+        return F.transform(F.transform(lists["job_card"], gather), read)
 
     def read(g: Column) -> Column:
         card = g["card"]
@@ -426,14 +445,13 @@ def card_rows(nodes: Column) -> Column:
             posted_at=text("posted_at"),
         )
 
-    return F.transform(F.transform(cards, gather), read)
+    return let(_by_role(nodes, ["job_card", *roles]), rows)
 
 
 def keyword_link_rows(nodes: Column) -> Column:
     """Every link; those without a posting word are dropped once joined."""
-    links = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
     return F.transform(
-        links,
+        F.filter(nodes, _is_link),
         lambda n: _row(
             "keyword",
             url=_attr(n, "href"),
@@ -446,6 +464,7 @@ def keyword_link_rows(nodes: Column) -> Column:
 # the whole step
 
 
+@built_once
 def page_selectors() -> Column:
     """Role to selector: the family's own, or the source's for generic HTML."""
     out = F.when(F.col("parser_type") == "generic_html", F.col("selectors"))
@@ -455,7 +474,7 @@ def page_selectors() -> Column:
     return out
 
 
-def _json_rows(doc: Column, families: list[str]) -> Column:
+def _json_rows(doc: Column, families: tuple[str, ...]) -> Column:
     family = F.col("parser_type")
     readers = {
         "smartrecruiters": smartrecruiters_rows,
@@ -472,8 +491,9 @@ def _json_rows(doc: Column, families: list[str]) -> Column:
     return out.otherwise(_none())
 
 
-def _with_document(pages: DataFrame) -> DataFrame:
-    """Adds the parsed document and the paths to read from it."""
+@built_once
+def _document_and_paths() -> Column:
+    """The parsed document and the paths to read from it."""
     family = F.col("parser_type")
     generic_html = family == "generic_html"
     own = F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>"))
@@ -483,14 +503,25 @@ def _with_document(pages: DataFrame) -> DataFrame:
     tuned = F.col("job_url_template").isNotNull() | (F.size(own) > 0)
     listed = F.coalesce(F.col("jobs_path"), F.when(generic_html, "data").otherwise(""))
     readable = family.isin("generic_json", "generic_html", "smartrecruiters", "teamtailor", "workable")
-    return pages.withColumns(
-        {
-            "_doc": F.when(readable, parse_document(F.col("content"))),
-            "_readable": readable,
-            "_jobs_path": F.when(generic_html & ~tuned, "data").otherwise(listed),
-            "_paths": F.transform_values(named, lambda _, v: path_pair(F.trim(v))),
-        }
-    )
+    named_here = {
+        "_doc": F.when(readable, parse_document(F.col("content"))),
+        "_readable": readable,
+        "_jobs_path": F.when(generic_html & ~tuned, "data").otherwise(listed),
+        "_paths": F.transform_values(named, lambda _, v: path_pair(F.trim(v))),
+    }
+    return F.array(F.struct(*[c.alias(n) for n, c in named_here.items()]))
+
+
+@built_once
+def _json_of_page(families: tuple[str, ...]) -> Column:
+    """The raw rows of the page's document, the one that Spark read or else the one written anew."""
+    document = F.coalesce("_doc", strict_json(F.col("_anew")))
+    return F.transform(F.array(document), lambda doc: F.struct(_json_rows(doc, families).alias("_json")))
+
+
+def _computed_once(rows: DataFrame, kept: list[str], one_struct: Column) -> DataFrame:
+    """Columns that leave through a one-row generator, so that later steps never copy their expressions."""
+    return rows.select(*kept, F.inline(one_struct))
 
 
 def _joined_rows() -> Column:
@@ -502,16 +533,20 @@ def _joined_rows() -> Column:
     templated = family.isin("generic_json", "generic_html") & F.col("job_url_template").isNotNull()
 
     def build(r: Column) -> Column:
-        title, ext = clean(r["title"]), blank_to_null(clean(r["external_id"]))
-        slug = F.coalesce(blank_to_null(clean(r["slug"])), slugify(title))
-        made = fill_template(F.col("job_url_template"), {"id": ext, "slug": slug, "title": title})
-        href = clean(r["url"])
-        url = F.when(href != "", urls.join_url(base, href)).when(templated & (r["source"] == "json"), made)
-        return F.struct(
-            r["source"].alias("source"), r["external_id"].alias("external_id"),
-            F.coalesce(url, F.lit("")).alias("url"), title.alias("title"),
-            *[r[n].alias(n) for n in ("location", "description", "posted_at")],
-        )
+        def made(c: Column) -> Column:
+            slug = F.coalesce(blank_to_null(clean(r["slug"])), slugify(c["title"]))
+            return fill_template(F.col("job_url_template"), {"id": c["ext"], "slug": slug, "title": c["title"]})
+
+        def whole(c: Column) -> Column:
+            url = F.when(c["href"] != "", urls.join_url(base, c["href"])).when(templated & (r["source"] == "json"), made(c))
+            return F.struct(
+                r["source"].alias("source"), r["external_id"].alias("external_id"),
+                F.coalesce(url, F.lit("")).alias("url"), c["title"].alias("title"),
+                *[r[n].alias(n) for n in ("location", "description", "posted_at")],
+            )
+
+        cleaned = [clean(r["title"]).alias("title"), blank_to_null(clean(r["external_id"])).alias("ext"), clean(r["url"]).alias("href")]
+        return let(F.struct(*cleaned), whole)
 
     return F.transform("_rows", build)
 
@@ -529,22 +564,28 @@ def _chosen_rows(rows: Column) -> Column:
     def speaks(r: Column) -> Column:
         return F.lower(F.concat_ws(" ", r["title"], r["url"])).rlike(POSTING_WORDS)
 
-    linked = F.filter(of("linked"), lambda r: r["title"] != "")
-    known = F.transform(linked, lambda r: r["url"])
-    sets = F.struct(
-        first_per_url(of("json")).alias("json"),
-        linked.alias("linked"),
-        first_per_url(of("card"), known).alias("cards"),
-        first_per_url(of("script", "link"), known).alias("links"),
-        first_per_url(F.filter(of("keyword"), speaks), known).alias("keywords"),
-    )
-    return let(
-        sets,
-        lambda s: F.when(F.size(s["json"]) > 0, s["json"])
-        .when(~generic_html, F.concat(s["linked"], s["links"]))
-        .when(F.size(s["cards"]) > 0, F.concat(s["linked"], s["cards"]))
-        .otherwise(F.concat(s["linked"], s["keywords"])),
-    )
+    def choose(linked: Column) -> Column:
+        known = F.transform(linked, lambda r: r["url"])
+        nothing = F.array().cast("array<string>")
+        asked = [
+            (of("json"), nothing),
+            (of("script", "link"), known),
+            (of("card"), known),
+            (F.filter(of("keyword"), speaks), known),
+        ]
+        sets = F.transform(
+            F.array(*[F.struct(some.alias("rows"), taken.alias("taken")) for some, taken in asked]),
+            lambda s: first_per_url(s["rows"], s["taken"]),
+        )
+        return let(
+            sets,
+            lambda s: F.when(F.size(s[0]) > 0, s[0])
+            .when(~generic_html, F.concat(linked, s[1]))
+            .when(F.size(s[2]) > 0, F.concat(linked, s[2]))
+            .otherwise(F.concat(linked, s[3])),
+        )
+
+    return let(F.filter(of("linked"), lambda r: r["title"] != ""), choose)
 
 
 def extract_postings(pages: DataFrame, families: list[str] | None = None) -> DataFrame:
@@ -554,16 +595,15 @@ def extract_postings(pages: DataFrame, families: list[str] | None = None) -> Dat
     those; pages of any other type give no postings. Location, description,
     time and id are still as found; :func:`explode_postings` cleans them.
     """
-    families = [f for f in PARSER_TYPES if families is None or f in families]
+    families = tuple(f for f in PARSER_TYPES if families is None or f in families)
     family = F.col("parser_type")
     kept = [c for c in pages.columns if c != "content"]
 
-    known = _with_document(pages)
+    known = _computed_once(pages, pages.columns, _document_and_paths())
     # documents with repeated keys or NaN, which Spark refuses, are written anew first
     refused = F.col("_readable") & F.col("_doc").isNull() & F.col("content").rlike(r"^\s*[\[{]")
     known = known.withColumn("_anew", readable_json(F.when(refused, F.col("content"))))
-    known = known.withColumn("_doc", F.coalesce("_doc", strict_json(F.col("_anew"))))
-    read = known.select(*kept, "content", _json_rows(F.col("_doc"), families).alias("_json"))
+    read = _computed_once(known, [*kept, "content"], _json_of_page(families))
     escaped = F.exists("_json", lambda r: F.contains(F.concat_ws(" ", *[r[n] for n in _FIELDS]), F.lit("&")))
     # a page whose JSON surely gives a posting needs no HTML walk
     settled = F.exists(
@@ -580,11 +620,19 @@ def extract_postings(pages: DataFrame, families: list[str] | None = None) -> Dat
         nodes = reachable_elements(
             F.when(F.col("_walk"), F.col("content")), F.when(F.col("_walk"), page_selectors())
         )
-        found = _walked_rows(gated.select(*kept, plain.alias("_json"), nodes.alias("_nodes")), kept, families)
-    return found.select(*kept, _joined_rows().alias("_rows")).select(*kept, _chosen_rows(F.col("_rows")).alias("postings"))
+        walked = gated.select(*kept, plain.alias("_json"), nodes.alias("_nodes"))
+        found = walked.select(*kept, _walked_rows(families).alias("_rows"))
+    return found.select(*kept, _postings().alias("postings"))
+
+
+@built_once
+def _postings() -> Column:
+    return let(_joined_rows(), _chosen_rows)
 
 
-def _walked_rows(parsed: DataFrame, kept: list[str], families: list[str]) -> DataFrame:
+@built_once
+def _walked_rows(families: tuple[str, ...]) -> Column:
+    """All raw rows of a page: those of its document and those of its elements."""
     family, nodes = F.col("parser_type"), F.col("_nodes")
     generic_html = family == "generic_html"
     scripts = F.filter(nodes, lambda n: n["tag"] == "script")
@@ -598,13 +646,11 @@ def _walked_rows(parsed: DataFrame, kept: list[str], families: list[str]) -> Dat
     if "generic_html" in families:
         parts.append(F.when(generic_html, card_rows(nodes)))
         parts.append(F.when(generic_html, keyword_link_rows(nodes)))
-    return parsed.select(
-        *kept, F.concat(F.col("_json"), *[F.coalesce(part, _none()) for part in parts]).alias("_rows")
-    )
+    return F.concat(F.col("_json"), *[F.coalesce(part, _none()) for part in parts])
 
 
-def explode_postings(pages: DataFrame, key: list[str]) -> DataFrame:
-    """One clean row per posting with its ordinal ``job_index`` in the page."""
+@built_once
+def _posting_columns() -> list[Column]:
     family, p, url = F.col("parser_type"), F.col("p"), F.col("p.url")
     source = F.col("p.source")
     given = blank_to_null(clean(F.col("p.external_id")))
@@ -615,16 +661,19 @@ def explode_postings(pages: DataFrame, key: list[str]) -> DataFrame:
         .when((family == "greenhouse") & (source == "link"), urls.long_number(url))
         .when(family == "smartrecruiters", urls.number_after_second_segment(url))
     )
-    # the outer form keeps Spark from inferring a filter on ``postings`` and
-    # pushing copies of its whole expression, Arrow calls included, below
-    rows = pages.select(*dict.fromkeys([*key, "parser_type"]), F.posexplode_outer("postings").alias("job_index", "p"))
-    return rows.filter(F.col("job_index").isNotNull()).select(
-        *key,
-        "job_index",
+    return [
         F.coalesce(given, made).alias("external_id"),
         url.alias("url"),
         F.col("p.title").alias("title"),
         clean(p["location"]).alias("location"),
         clean(p["description"]).alias("description"),
         timestamp_of_text(clean(p["posted_at"])).alias("posted_at"),
-    )
+    ]
+
+
+def explode_postings(pages: DataFrame, key: list[str]) -> DataFrame:
+    """One clean row per posting with its ordinal ``job_index`` in the page."""
+    # the outer form keeps Spark from inferring a filter on ``postings`` and
+    # pushing copies of its whole expression, Arrow calls included, below
+    rows = pages.select(*dict.fromkeys([*key, "parser_type"]), F.posexplode_outer("postings").alias("job_index", "p"))
+    return rows.filter(F.col("job_index").isNotNull()).select(*key, "job_index", *_posting_columns())

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,9 +33,21 @@ ELEMENT = T.StructType(
         T.StructField("own_text", T.StringType()),
         T.StructField("text", T.StringType()),
         T.StructField("raw", T.StringType()),
+        # of elements with a role and the parents of postings: where the parent stands in the array, and
+        # which of the elements of each role (and of LINKS) lie inside, as a stretch of those in order
+        T.StructField("up", T.IntegerType()),
+        T.StructField(
+            "inside",
+            T.MapType(
+                T.StringType(),
+                T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]),
+            ),
+        ),
     ]
 )
 ELEMENTS = T.ArrayType(ELEMENT)
+# the name under which ``inside`` counts links
+LINKS = "a[href]"
 
 # fixed values of the HTML standard
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,8 +263,8 @@ def _selected(walker: _Walker, element: _Element, steps, at: int) -> bool:
     if at == 0:
         return True
     if link in "+~":
-        before = walker.children[element.parent][: element.child - 1]
-        before = before[-1:] if link == "+" else before
+        first = max(0, element.child - 2) if link == "+" else 0
+        before = walker.children[element.parent][first : element.child - 1]
         return any(_selected(walker, walker.elements[i], steps, at - 1) for i in before)
     parent = element.parent
     while parent >= 0:
@@ -361,9 +374,29 @@ def read_elements(content: str, selectors: dict[str, str], keep_all: bool, compi
                 "raw": _unescaped_json(raw) if data_script else raw if keep_all else None,
             }
         )
+    if not keep_all:
+        _add_stretches(out, parents)
     return out
 
 
+def _add_stretches(out: list[dict], parents: set[int]) -> None:
+    """``up`` and ``inside``; elements inside another are a stretch of document order, so two searches find them."""
+    ids = [e["id"] for e in out]
+    of_role: dict[str, list[int]] = {}
+    for e in out:
+        for role in [*e["roles"], *([LINKS] if e["tag"] == "a" and any(k == "href" for k, _ in e["attrs"]) else [])]:
+            of_role.setdefault(role, []).append(e["id"])
+    for e in out:
+        if e["roles"] or e["id"] in parents:
+            at = bisect_left(ids, e["parent"])
+            e["up"] = at if at < len(ids) and ids[at] == e["parent"] else None
+            e["inside"] = []
+            for role, members in of_role.items():
+                start, end = bisect_right(members, e["id"]), bisect_right(members, e["last"])
+                if end > start:
+                    e["inside"].append((role, {"start": start, "n": end - start}))
+
+
 def _parse_pages(contents: pa.Array, selectors: pa.Array, keep_all: bool) -> pa.Array:
     compiled: dict = {}  # the selectors of this batch, each compiled once
     pages = [
@@ -410,6 +443,7 @@ def html_nodes(pages: DataFrame, key: list[str], content: str = "content", selec
         .select(*key, F.explode_outer("elements").alias("e"))
         .filter(F.col("e").isNotNull())
         .select(*key, "e.*")
+        .drop("up", "inside")
         .withColumnRenamed("id", "node_id")
         .withColumnRenamed("parent", "parent_id")
         .withColumnRenamed("last", "last_id")

@@ -114,12 +114,12 @@ def json_sniff(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", vx.kind(doc).alias("kind"))
 
 
-_DOC = '{"job": {"id": %d, "places": ["A", " ", "B", null, 3], "7": {"n": null}, "who": {"@id": "w%d"}}, "loc": {"value": " v  x ", "y": 1}, "on": true, "at": "2024-02-03T04:05:06Z"}'
-_PATHS = ["job.id", "job.places", "job.places.2", "job.places.9", "job.7", "job.7.n", "job.who", "loc", "on", "no.where", "at"]
+_DOC = '{"job": {"id": %d, "places": ["A", " ", "B", null, 3], "7": {"n": null}, "who": {"@id": "w%d"}}, "loc": {"value": " v  x ", "y": 1}, "on": true, "at": "2024-02-03T04:05:06Z", "so \\"x\\"": {"why?": {"": "q%d"}}}'
+_PATHS = ["job.id", "job.places", "job.places.2", "job.places.9", "job.7", "job.7.n", "job.who", "loc", "on", "no.where", "at", 'so "x".why?.', 'so "x".why', ".", "job..id"]
 
 
 def json_paths(spark, sf) -> DataFrame:
-    """One document per order read at eleven paths: as text, identifier and time."""
+    """One document per order read at fifteen paths, some with odd or empty keys: as text, identifier and time."""
     key = F.col("o_orderkey").cast("string")
     doc = F.try_parse_json(F.replace(F.lit(_DOC), F.lit("%d"), key))
     docs = texts(spark, sf, "orders", "o_orderkey").select("o_orderkey", doc.alias("doc"))
@@ -438,11 +438,12 @@ QUERIES = {
     "json_paths": (
         json_paths,
         """SELECT o_orderkey, path, CASE path WHEN 'job.id' THEN CAST(o_orderkey AS VARCHAR) WHEN 'job.places' THEN 'A, B, 3'
-             WHEN 'job.places.2' THEN 'B' WHEN 'loc' THEN 'v x' WHEN 'on' THEN 'True' WHEN 'at' THEN '2024-02-03T04:05:06Z' ELSE '' END AS text,
+             WHEN 'job.places.2' THEN 'B' WHEN 'loc' THEN 'v x' WHEN 'on' THEN 'True' WHEN 'at' THEN '2024-02-03T04:05:06Z'
+             WHEN 'so "x".why?.' THEN 'q' || o_orderkey ELSE '' END AS text,
              CASE path WHEN 'job.id' THEN CAST(o_orderkey AS VARCHAR) WHEN 'job.who' THEN 'w' || o_orderkey WHEN 'loc' THEN 'v x' END AS identifier,
              CASE path WHEN 'at' THEN '2024-02-03 04:05:06' END AS time
            FROM orders, (SELECT unnest(['job.id', 'job.places', 'job.places.2', 'job.places.9', 'job.7', 'job.7.n', 'job.who', 'loc', 'on',
-             'no.where', 'at']) AS path)""",
+             'no.where', 'at', 'so "x".why?.', 'so "x".why', '.', 'job..id']) AS path)""",
     ),
     "html_elements": (
         html_elements,

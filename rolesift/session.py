@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,23 @@ def local_session(cpus: int = 8, name: str = "rolesift") -> SparkSession:
     )
 
 
+def built_once(make: Callable) -> Callable:
+    """Expressions over columns of fixed names are built in the JVM once and shared by all later plans.
+
+    A large expression is tens of thousands of calls to the JVM; the arguments and the JVM are the key.
+    """
+    made: dict = {}
+
+    @wraps(make)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = make(*args)
+        return made[key]
+
+    return get
+
+
 def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a bounded count proves the side small.
 

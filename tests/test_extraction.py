@@ -107,3 +107,24 @@ def test_nothing_from_unknown_or_empty_pages(found):
 def test_only_named_families_are_read(spark):
     some = extract_postings(spark.createDataFrame(PAGES, SCHEMA), ["lever"])
     assert {r["source_id"] for r in explode_postings(some, ["source_id"]).collect()} == {"kiln"}
+
+
+def test_a_page_of_many_cards_and_links(spark):
+    """Fields stay with their card, nested cards see what is inside them, and a large page takes no square of time."""
+    n = 5000
+    cards = "".join(f"<div class=card><a class=t href='/j/{i}'>Job {i}</a><div class=card><i class=loc>Town {i}</i><a href='/k/{i}'>x</a></div></div>" for i in range(n))
+    listed = "".join(f"<li><a href='/jobs/{i}' data-job-title='J{i}'>x</a><b class=location>P{i}</b><b class=location>Q</b></li>" for i in range(n))
+    own = "".join(f"<div class=job>J{i} <a>no</a><a href='/w/{i}'>J{i}</a><i class=location>L{i}</i></div>" for i in range(n))
+    pages = [
+        page("cards", "generic_html", cards, selectors={"job_card": ".card", "title": ".t", "location": ".loc"}),
+        page("team", "teamtailor", f"<ul>{listed}</ul>"), page("work", "workable", own),
+    ]
+    rows = explode_postings(extract_postings(spark.createDataFrame(pages, SCHEMA)), ["source_id"]).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["source_id"], []).append((r["job_index"], r["title"], r["url"].rsplit("/", 2)[1:], r["location"]))
+    every = {k: sorted(v) for k, v in got.items()}
+    inner = [(f"Job {i}", ["j", str(i)], f"Town {i}") for i in range(n)]
+    assert [x[1:] for x in every["cards"]][::2] == inner and [x[1:] for x in every["cards"]][1] == ("Town 0 x", ["k", "0"], "Town 0")
+    assert [x[1:] for x in every["team"]] == [(f"J{i}", ["jobs", str(i)], f"P{i} Q") for i in range(n)]
+    assert [x[1:] for x in every["work"]] == [(f"J{i}", ["w", str(i)], f"L{i}") for i in range(n)]

@@ -95,7 +95,7 @@ def test_hash_keeps_a_missing_id_as_blank(spark):
 def test_json_reading(spark):
     texts = ['{"a": 1}', ' [1]', '{"a": 1}}', '{"a": 1}]', '[1]}', '[1] x', '{"a"', 'x{"a": 1}', '"s"']
     assert one_by_one(spark, texts, lambda c: kind(parse_document(c))) == ["OBJECT", "ARRAY"] + [None] * 7
-    doc = '{"a": {"0": "key", "l": ["x", null, " ", "y"]}, "l": [{"n": 1.50}, 2], "o": {"value": "v"}, "t": true, "z": null, "m": {"l": [{"7": "deep"}]}}'
-    paths = {"a.0": "key", "a.l": "x, y", "a.l.3": "y", "l.0.n": "1.5", "l.5": "", "a.0.1": "", "m.l.0.7": "deep", "m.l.0.7.x": "", "o": "v", "t": "True", "z": "", "no.way": ""}
+    doc = '{"a": {"0": "key", "l": ["x", null, " ", "y"]}, "l": [{"n": 1.50}, 2], "o": {"value": "v"}, "": {"": "blank"}, "k\\"e\'y": {"w?": [7, {"\\"": 8}]}, "t": true, "z": null, "m": {"l": [{"7": "deep"}]}}'
+    paths = {"a.0": "key", "a.l": "x, y", "a.l.3": "y", "l.0.n": "1.5", "l.5": "", "a.0.1": "", "m.l.0.7": "deep", "m.l.0.7.x": "", "o": "v", "t": "True", "z": "", "no.way": "", ".": "blank", "k\"e'y.w?.0": "7", "k\"e'y.w?.1.\"": "8", "k\"e'y.w": "", "a..l": "", "l.\"": ""}
     read = lambda p: text_of(at_path(strict_json(F.lit(doc)), p))
     assert one_by_one(spark, list(paths), read) == list(paths.values())
