@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import blank_to_null
+from rolesift.functions.urls import canonical_url
 from rolesift.operators.extraction import PARSER_TYPES
 from rolesift.session import broadcast_if_small
 
@@ -58,6 +59,26 @@ def blocked_reason(content: Column, status: Column) -> Column:
     return F.coalesce(by_status, blocked_by_content(content))
 
 
+def of_frontier(fetches: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Landed pages that their source's frontier still names, numbered as it numbers them.
+
+    A page is known by its canonical URL, one landed without a URL by its number. What
+    an earlier frontier named, before ``max_pages`` or the numbering changed, counts no
+    longer. The frontier is a few rows a source; contents stay where they are unless it
+    outgrows the checked broadcast.
+    """
+    by_number = lambda n: F.concat(F.lit("page:"), n.cast("string"))
+    by_url = F.concat(F.lit("url:"), canonical_url(F.col("url")))
+    named = frontier.select(
+        "source_id", F.col("page_index").alias("_place"), F.explode(F.array(by_url, by_number(F.col("page_index")))).alias("_at")
+    )
+    places = named.groupBy("source_id", "_at").agg(F.min("_place").cast("int").alias("_place"))
+    blank = F.trim(F.coalesce("url", F.lit(""))) == ""
+    landed = fetches.withColumn("_at", F.when(blank, by_number(F.col("page_index"))).otherwise(by_url))
+    found = landed.join(broadcast_if_small(places, BROADCAST_PAGES), ["source_id", "_at"])
+    return found.select(*[F.col("_place").alias(c) if c == "page_index" else c for c in fetches.columns])
+
+
 def current_copies(fetches: DataFrame, run_at: Column) -> DataFrame:
     """Copies of each page's latest crawl at ``run_at``, contents in place.
 

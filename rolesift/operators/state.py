@@ -67,17 +67,18 @@ def upsert_vacancies(snapshot: DataFrame, batch: DataFrame, run_at: Column) -> D
     )
 
 
-def fold_sightings(sightings: DataFrame) -> DataFrame:
+def fold_sightings(sightings: DataFrame, first_run: str = "run_id", last_run: str = "run_id") -> DataFrame:
     """Many runs of sightings to one vacancy row per key.
 
     ``run_id`` orders the runs; ``first_seen_at`` comes from a key's first run
-    and everything else from its last.
+    and everything else from its last. Rows folded before name both runs.
     """
-    last = F.max_by(F.struct(*VACANCY_FIELDS, "last_seen_at"), "run_id")
+    last = F.max_by(F.struct(*VACANCY_FIELDS, "last_seen_at"), last_run)
+    first = [F.min(first_run).alias(first_run)] if first_run != last_run else []
     return (
         sightings.groupBy(*VACANCY_KEY)
-        .agg(last.alias("_row"), F.min_by("first_seen_at", "run_id").alias("first_seen_at"), F.max("run_id").alias("run_id"))
-        .select(*VACANCY_KEY, *[f"_row.{c}" for c in VACANCY_FIELDS], "first_seen_at", "_row.last_seen_at", "run_id")
+        .agg(last.alias("_row"), F.min_by("first_seen_at", first_run).alias("first_seen_at"), F.max(last_run).alias("run_id"), *first)
+        .select(*VACANCY_KEY, *[f"_row.{c}" for c in VACANCY_FIELDS], "first_seen_at", "_row.last_seen_at", "run_id", *[first_run for _ in first])
     )
 
 

@@ -103,22 +103,32 @@ _RULES = rules.profile_of(
 )
 
 
+_CAREERS = "https://menu.example.com/x/"
+
+
+def _site_url(page: Column) -> Column:
+    """Where a site's pages lie, as its frontier names them."""
+    return F.when(page == 0, _CAREERS).otherwise(F.concat(F.lit(_CAREERS + "?page="), (page + 1).cast("string")))
+
+
 def _site_fetches(spark, sf) -> DataFrame:
     """Pages as landed copies of ten sites, some failed, some blocked."""
     site, page = F.col("page_id") % 10, F.floor(F.col("page_id") / 10).cast("int")
     blocked = (page % 9 == 8) & (site % 3 == 1) | (F.col("page_id") == 4)
     return table(spark, sf, "pages").select(
-        F.concat(F.lit("site"), site.cast("string")).alias("source_id"), page.alias("page_index"), "url", F.lit(0).alias("attempt"),
+        F.concat(F.lit("site"), site.cast("string")).alias("source_id"), page.alias("page_index"), _site_url(page).alias("url"), F.lit(0).alias("attempt"),
         F.lit("http").alias("channel"), F.when((F.col("page_id") % 17 == 5), 500).otherwise(200).alias("status_code"),
         F.when(blocked, F.concat("html", F.lit("unusual traffic"))).otherwise(F.col("html")).alias("content"),
         F.lit(None).cast("string").alias("error"), F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)).alias("fetched_at"),
     )
 
 
-def _site_configs(spark, sf) -> DataFrame:
-    sites = table(spark, sf, "pages").select((F.col("page_id") % 10).cast("string").alias("n")).distinct()
+def _site_configs(spark, sf, max_pages: int | None = None) -> DataFrame:
+    """The ten sites with as many pages as landed, or as told."""
+    numbers = table(spark, sf, "pages").select((F.col("page_id") % 10).cast("string").alias("n"), F.floor(F.col("page_id") / 10).alias("page"))
+    sites = numbers.groupBy("n").agg((F.max("page") + 1 if max_pages is None else F.lit(max_pages)).cast("string").alias("pages"))
     text = F.concat(
-        F.lit('{"id": "site'), "n", F.lit('", "company_name": "Site '), "n", F.lit('", "careers_url": "https://menu.example.com/x/", "parser_type": "generic_html", "country_hint": "'),
+        F.lit('{"id": "site'), "n", F.lit('", "company_name": "Site '), "n", F.lit('", "careers_url": "%s", "parser_type": "generic_html", "pagination": {"strategy": "query_param", "max_pages": ' % _CAREERS), "pages", F.lit('}, "country_hint": "'),
         F.when(F.col("n").isin("1", "2", "3"), "Paris").otherwise("London"), F.lit('", "enabled": '), F.when(F.col("n") == "9", "false").otherwise("true"),
         F.lit(', "selectors": {"job_card": "nav li", "title": "a", "link": "a"}}'),
     )
@@ -132,6 +142,28 @@ def site_run(spark, sf) -> DataFrame:
     return row.select("status", "sources_total", "jobs_fetched", "jobs_matched", "jobs_sent", "error_summary")
 
 
+_FEWER = 3
+
+
+def frontier_pages(spark, sf) -> DataFrame:
+    """Landed pages that still count once the sites have three pages each; every fourth landed under an older URL,
+    every fifth without one."""
+    fetches, number = _site_fetches(spark, sf), F.col("page_index")
+    older = F.concat(F.lit(_CAREERS + "?p="), number.cast("string"))
+    url = F.when(number % 5 == 4, F.lit(None)).when(number % 4 == 1, older).otherwise(F.concat(F.col("url"), F.lit("#top")))
+    kept = pg.of_frontier(fetches.withColumn("url", url), page_frontier(_site_configs(spark, sf, _FEWER + 3)))
+    return kept.select("source_id", F.col("page_index").cast("long").alias("page_index"), F.length("content").cast("long").alias("size"))
+
+
+def site_run_of_fewer_pages(spark, sf) -> DataFrame:
+    """The second of two runs, between which ``max_pages`` fell to three."""
+    store = RunStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    params = RunParams(min_score=0.4, profile=_RULES)
+    for hour, pages in enumerate((None, _FEWER)):
+        row = run_once(store, _site_fetches(spark, sf), _site_configs(spark, sf, pages), _START + timedelta(hours=hour), params, notify=False)
+    return row.select(F.col("run_id").cast("long").alias("run_id"), "status", "sources_total", "jobs_fetched", "jobs_matched")
+
+
 def hourly_reads(spark, sf) -> DataFrame:
     """What each of 24 backfill runs, an hour apart, would read."""
     copies = event_copies(spark, sf).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
@@ -181,6 +213,23 @@ _MENU = f"""(SELECT page_id % 10 AS site, page_id // 10 AS page, url, title FROM
 _SITES = """(SELECT page_id % 10 AS site, page_id // 10 AS page, page_id % 17 = 5 AS failed,
     ((page_id // 10) % 9 = 8 AND page_id % 10 % 3 = 1) OR page_id = 4 AS blocked FROM pages WHERE page_id % 10 < 9)"""
 
+def _site_sql(pages: str = "") -> str:
+    """A run over the sites' pages, or those that a condition names."""
+    return f"""WITH p AS (SELECT * FROM {_SITES} {pages}),
+              e AS (SELECT site, CASE WHEN failed THEN 'fetch failed for site' || site || ': HTTP status 500' ELSE 'blocked by anti-bot policy: unusual traffic' END AS error
+                    FROM p WHERE page = 0 AND (failed OR blocked)),
+              stop AS (SELECT site, min(page) AS last_page FROM p WHERE page > 0 AND blocked AND NOT failed GROUP BY 1),
+              ok AS (SELECT site, page FROM p LEFT JOIN stop USING (site) WHERE NOT failed AND NOT blocked AND (last_page IS NULL OR page < last_page)
+                     AND site NOT IN (SELECT site FROM e)),
+              jobs AS (SELECT DISTINCT site, url, title FROM {_MENU} JOIN ok USING (site, page)),
+              m AS (SELECT *, 0.65 * least(1.0, (CASE WHEN contains(lower(title), 'th') THEN 0.7 ELSE 0 END + CASE WHEN contains(lower(title), 'en') OR contains(lower(title), 'er') THEN 0.6 ELSE 0 END))
+                      - CASE WHEN contains(lower(title), 'on') THEN 0.2 ELSE 0 END AS score FROM jobs),
+              c AS (SELECT count(*) AS matched FROM m WHERE score >= 0.4 AND site NOT IN (1, 2, 3))
+            SELECT CASE WHEN (SELECT count(*) FROM e) = 0 THEN 'success' ELSE 'partial_failure' END AS status, 9 AS sources_total,
+              (SELECT count(*) FROM jobs) AS jobs_fetched, matched AS jobs_matched, least(matched, 20) AS jobs_sent,
+              (SELECT '{{' || string_agg('"site' || site || '":"' || error || '"', ',' ORDER BY site) || '}}' FROM e) AS error_summary FROM c"""
+
+
 QUERIES = {
     "config_shape": (
         config_shape,
@@ -219,21 +268,16 @@ QUERIES = {
         set_query_param,
         "SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || '?cat=C%26D&page=' || page_id || '&q=&new=x+y' AS url FROM pages",
     ),
-    "site_run": (
-        site_run,
-        f"""WITH p AS (SELECT * FROM {_SITES}),
-              e AS (SELECT site, CASE WHEN failed THEN 'fetch failed for site' || site || ': HTTP status 500' ELSE 'blocked by anti-bot policy: unusual traffic' END AS error
-                    FROM p WHERE page = 0 AND (failed OR blocked)),
-              stop AS (SELECT site, min(page) AS last_page FROM p WHERE page > 0 AND blocked AND NOT failed GROUP BY 1),
-              ok AS (SELECT site, page FROM p LEFT JOIN stop USING (site) WHERE NOT failed AND NOT blocked AND (last_page IS NULL OR page < last_page)
-                     AND site NOT IN (SELECT site FROM e)),
-              jobs AS (SELECT DISTINCT site, url, title FROM {_MENU} JOIN ok USING (site, page)),
-              m AS (SELECT *, 0.65 * least(1.0, (CASE WHEN contains(lower(title), 'th') THEN 0.7 ELSE 0 END + CASE WHEN contains(lower(title), 'en') OR contains(lower(title), 'er') THEN 0.6 ELSE 0 END))
-                      - CASE WHEN contains(lower(title), 'on') THEN 0.2 ELSE 0 END AS score FROM jobs),
-              c AS (SELECT count(*) AS matched FROM m WHERE score >= 0.4 AND site NOT IN (1, 2, 3))
-            SELECT CASE WHEN (SELECT count(*) FROM e) = 0 THEN 'success' ELSE 'partial_failure' END AS status, 9 AS sources_total,
-              (SELECT count(*) FROM jobs) AS jobs_fetched, matched AS jobs_matched, least(matched, 20) AS jobs_sent,
-              (SELECT '{{' || string_agg('"site' || site || '":"' || error || '"', ',' ORDER BY site) || '}}' FROM e) AS error_summary FROM c""",
+    "site_run": (site_run, _site_sql()),
+    "site_run_of_fewer_pages": (
+        site_run_of_fewer_pages,
+        f"SELECT 2 AS run_id, status, sources_total, jobs_fetched, jobs_matched FROM ({_site_sql(f'WHERE page < {_FEWER}')})",
+    ),
+    "frontier_pages": (
+        frontier_pages,
+        f"""SELECT 'site' || (page_id % 10) AS source_id, page_id // 10 AS page_index,
+              length(html) + CASE WHEN (page_id // 10) % 9 = 8 AND (page_id % 10) % 3 = 1 OR page_id = 4 THEN 15 ELSE 0 END AS size
+            FROM pages WHERE page_id // 10 < {_FEWER + 3} AND (page_id // 10) % 4 <> 1""",
     ),
     "hourly_reads": (
         hourly_reads,

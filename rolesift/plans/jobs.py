@@ -13,6 +13,7 @@ from rolesift.operators import accounting, digest, matching, normalize, pages, r
 from rolesift.operators.extraction import PARSER_TYPES, explode_postings, extract_postings
 from rolesift.session import broadcast_if_small, materialize, release, spread_if_few
 from rolesift.sources.configs import config_violations, read_configs, shape_configs
+from rolesift.sources.frontier import page_frontier
 from rolesift.sources.store import COMPACT_EVERY, RunStore
 
 RUN_ROW = (
@@ -35,12 +36,15 @@ class RunParams:
     profile: rules.MatchProfile = field(default_factory=rules.profile_of)
 
 
-def read_pages(fetches: DataFrame, sources: DataFrame, run_at: datetime, max_attempts: int = 3) -> DataFrame:
-    """Landed copies to page outcomes with their postings, as of ``run_at``."""
+def read_pages(
+    fetches: DataFrame, sources: DataFrame, frontier: DataFrame, run_at: datetime, max_attempts: int = 3
+) -> DataFrame:
+    """Landed copies of the frontier's pages to page outcomes with their postings, as of ``run_at``."""
     known = sources.filter(F.col("parser_type").isin(PARSER_TYPES))
     families = [r["parser_type"] for r in known.select("parser_type").distinct().collect()]  # eight at most
     options = ["careers_url", "parser_type", "selectors", "jobs_path", "url_base", "fields", "job_url_template"]
-    copies = pages.current_copies(spread_if_few(fetches), F.lit(run_at)).join(
+    landed = pages.of_frontier(spread_if_few(fetches), frontier)
+    copies = pages.current_copies(landed, F.lit(run_at)).join(
         broadcast_if_small(sources.select("source_id", *options)), "source_id"
     )
     judged = pages.classify_copies(copies)
@@ -76,7 +80,8 @@ def run_once(
 
     ``configs`` are shaped and valid. A run id already published is not run
     again: its stored row comes back; so for a ``trigger``, the name of what started
-    the run, which gets a run id of its own. Without ``notify`` there is no digest and
+    the run, which gets a run id of its own. Ids are claimed, so runs started at the same
+    time have two; a trigger that was lost on the way comes back to the id it claimed. Without ``notify`` there is no digest and
     nothing is recorded as sent.
     """
     params = params or RunParams()
@@ -84,7 +89,7 @@ def run_once(
         done = store.of_trigger(trigger)
         if done.limit(1).count():
             return done
-    run_id = (store.last_run() or 0) + 1 if run_id is None else run_id
+    run_id = store.claim_run(trigger) if run_id is None else run_id
     if store.is_published(run_id):
         return store.runs().filter(F.col("run_id") == run_id)
     staged: list[DataFrame] = []
@@ -109,7 +114,8 @@ def _run(store, fetches, configs, run_at, params, notify, run_id, trigger, stage
     stored = store.of_run("sources", run_id)
     sources = stage(state.active_sources(stored, configs.drop("file", "pagination", "parser_options", "extra")))
 
-    page_rows = stage(read_pages(fetches, sources, run_at, params.max_attempts))
+    frontier = page_frontier(configs)
+    page_rows = stage(read_pages(fetches, sources, frontier, run_at, params.max_attempts))
     outcomes = pages.source_outcomes(page_rows, sources)
     raw = explode_postings(pages.usable_pages(page_rows, outcomes), ["source_id", "page_index"])
     # five consumers below

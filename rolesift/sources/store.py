@@ -5,12 +5,18 @@ Every run writes its own ``run_id=N`` folder under each table, and its row in
 nothing visible and writing it again replaces its folders. A run's cost follows
 its own rows: vacancies are kept as per-run sightings over a base, folded when
 read, and :meth:`RunStore.compact_vacancies` renews the base.
+
+Run ids and versions of the base are claimed by the exclusive create of a file, which
+file systems of a cluster and of one machine do in one step (object stores where
+conditional writes are switched on). A claim is never given back; ids of lost runs stay unused.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,8 +34,9 @@ TABLES = {
     "runs": "started_at timestamp, finished_at timestamp, status string, sources_total long, jobs_fetched long, "
     "jobs_matched long, jobs_sent long, error_summary string, trigger string",
 }
-TABLES["vacancy_base"] = TABLES["sightings"]
-TABLES["bases"] = "upto long"
+TABLES["vacancy_base"] = TABLES["sightings"] + ", first_run long, last_run long"
+# the last run a base holds, and earlier ones it does not as they were not published yet
+TABLES["bases"] = "upto long, open array<long>"
 # runs after which the job renews the base of the vacancies: a day of half hours
 COMPACT_EVERY = 48
 
@@ -46,6 +53,50 @@ class RunStore:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
+    def _claim(self, name: str, content: str = "") -> bool:
+        """Whether the file of this name is ours: created just now, by us alone."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('claims')}/{name}")
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(target.getParent())
+        if files.getUri().getScheme() == "file":
+            try:
+                with open(target.toUri().getPath(), "x") as out:
+                    out.write(content)
+            except FileExistsError:
+                return False
+            return True
+        try:
+            out = files.create(target, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(content.encode())
+        out.close()
+        return True
+
+    def _claimed(self, name: str) -> str:
+        path = f"{self._path('claims')}/{name}"
+        return self.spark.read.text(path, wholetext=True).first()[0] if self._exists(path) else ""
+
+    def _next(self, kind: str, last: int) -> int:
+        """The first number after ``last`` that nobody has claimed."""
+        number = last + 1
+        while not self._claim(f"{kind}-{number}"):
+            number += 1
+        return number
+
+    def claim_run(self, trigger: str | None = None) -> int:
+        """A run id that no other run has; of a trigger the one it claimed first."""
+        if trigger is None:
+            return self._next("run", self.last_run() or 0)
+        name = "trigger-" + hashlib.sha256(trigger.encode()).hexdigest()
+        known = self._claimed(name)
+        if not known:
+            mine = self._next("run", self.last_run() or 0)
+            known = str(mine) if self._claim(name, str(mine)) else self._claimed(name) or str(mine)
+        return int(known)
+
     def _scan(self, table: str) -> DataFrame:
         schema = TABLES[table] + ", run_id long"
         if not self._exists(self._path(table)):
@@ -79,26 +130,35 @@ class RunStore:
         return self.of_run("sources", self.last_run())
 
     def vacancies(self) -> DataFrame:
-        version, upto = self._base()
-        rows = self.read("sightings")
+        return self._folded().drop("run_id", "first_run")
+
+    def _folded(self) -> DataFrame:
+        """Vacancies with the first and the last run that saw each."""
+        version, upto, late = self._base()
+        rows = self.read("sightings").withColumns({"first_run": F.col("run_id"), "last_run": F.col("run_id")})
         if version:
-            base = self.of_run("vacancy_base", version).withColumn("run_id", F.lit(upto).cast("long"))
-            rows = rows.filter(F.col("run_id") > upto).unionByName(base)
-        return fold_sightings(rows).drop("run_id")
+            since = (F.col("run_id") > upto) | F.col("run_id").isin(late)
+            rows = rows.filter(since).drop("run_id").unionByName(self.of_run("vacancy_base", version))
+        return fold_sightings(rows, "first_run", "last_run")
 
-    def _base(self) -> tuple[int, int]:
-        """Version of the published base, and the last run it holds; zeros without one."""
-        found = self._scan("bases").agg(F.max(F.struct("run_id", "upto"))).first()[0]
-        return (found[0], found[1]) if found else (0, 0)
+    def _base(self) -> tuple[int, int, list[int]]:
+        """Version of the published base, the last run it holds and the earlier ones it does not; zeros without one."""
+        found = self._scan("bases").agg(F.max(F.struct("run_id", "upto", "open"))).first()[0]
+        return (found[0], found[1], found[2] or []) if found else (0, 0, [])
 
     def compact_vacancies(self, after: int = 1) -> None:
         """Fold all sightings into a new version of the base once ``after`` runs have come since
-        the last. A version has a folder of its own and counts only when its row is there, so
-        a compaction that is lost or repeated changes nothing."""
-        last, (version, upto) = self.last_run() or 0, self._base()
+        the last. A version has a number and folder of its own and counts only when its row is
+        there, so a compaction that is lost, repeated or done by two changes nothing. Runs
+        with a lower id that are not published yet are noted and read beside the base later."""
+        last, (version, upto, _) = self.last_run() or 0, self._base()
         if last - upto >= after:
-            self.write("vacancy_base", version + 1, self.vacancies())
-            self.write("bases", version + 1, self.spark.createDataFrame([(last,)], TABLES["bases"]))
+            every = self.spark.range(1, last + 1).toDF("run_id")
+            late = [r[0] for r in every.join(self.runs().select("run_id"), "run_id", "left_anti").collect()]  # few
+            # a run published from here on may be in the base and read beside it: folding it twice changes nothing
+            mine = self._next("base", version)
+            self.write("vacancy_base", mine, self._folded().withColumnRenamed("run_id", "last_run"))
+            self.write("bases", mine, self.spark.createDataFrame([(last, late)], TABLES["bases"]))
 
     def write(self, table: str, run_id: int, rows: DataFrame) -> None:
         columns = StructType.fromDDL(TABLES[table]).fieldNames()

@@ -28,8 +28,8 @@ def configs(spark, *names):
     return shape_configs(spark.createDataFrame([(n, json.dumps(CONFIGS[n])) for n in names], "file string, config_text string"))
 
 
-def fetch(source, content, status=200, at=T0, page=0):
-    return (source, page, "u", 0, "http", status, content, None, at)
+def fetch(source, content, status=200, at=T0, page=0, url=None):
+    return (source, page, url or CONFIGS[source]["careers_url"], 0, "http", status, content, None, at)
 
 
 def fetches(spark, *rows):
@@ -67,8 +67,8 @@ def test_runs_over_time(spark, tmp_path):
     assert set(seen.values()) == {(T0.replace(tzinfo=None), (T0 + timedelta(days=1)).replace(tzinfo=None))}
     store.compact_vacancies()
     store.compact_vacancies()  # nothing new: no new version
-    assert store._base() == (1, 2)
-    store.write("vacancy_base", 2, store.vacancies().limit(0))  # a version that was never published
+    assert store._base() == (1, 2, [])
+    store.write("vacancy_base", 2, store.of_run("vacancy_base", 1).limit(0))  # a version that was never published
     assert {r["source_id"]: (r["first_seen_at"], r["last_seen_at"]) for r in store.vacancies().collect()} == seen
     # every notice and match belongs to a known vacancy
     assert store.read("matches").join(store.vacancies(), ["source_id", "canonical_hash"], "left_anti").count() == 0
@@ -111,6 +111,43 @@ def test_recurring_runs_lose_no_page(spark, tmp_path):
     assert again["run_id"] == 3 and store.last_run() == 3
 
 
+def test_concurrent_runs_have_rows_of_their_own(spark, tmp_path):
+    """Ids are claimed: neither run writes over the other, and what a base missed is read beside it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = RunStore(spark, str(tmp_path / "state"))
+    pages, every = fetches(spark, fetch("mill", MILL)), configs(spark, "mill")
+    with ThreadPoolExecutor(2) as pool:
+        rows = list(pool.map(lambda h: run_once(store, pages, every, T0 + timedelta(hours=h), PARAMS).first(), (0, 1)))
+    assert sorted(r["run_id"] for r in rows) == [1, 2] and store.runs().count() == 2
+    assert store.read("sightings").count() == 4
+    # ids 3 and 4 are claimed; 4 ends first and a base is made, 3 comes later
+    claimed = [store.claim_run(), store.claim_run("stream/7"), store.claim_run("stream/7")]
+    assert claimed == [3, 4, 4]
+    grown = fetches(spark, fetch("mill", MILL.replace("Miller", "Baker"), at=T0 + timedelta(hours=3)))
+    run_once(store, grown, every, T0 + timedelta(hours=4), PARAMS, run_id=4)
+    store.compact_vacancies()
+    assert store._base()[1:] == (4, [3])
+    first_seen = lambda: {r["title"]: r["first_seen_at"].hour for r in store.vacancies().collect()}
+    before = first_seen()
+    run_once(store, pages, every, T0 + timedelta(hours=3), PARAMS, run_id=3)
+    assert first_seen() == before and set(before) == {"Data Scientist, Flour Quality", "Miller", "Baker"}
+    store.compact_vacancies(0)
+    assert first_seen() == before and store._base()[1:] == (4, [])
+
+
+def test_pages_that_left_the_frontier_do_not_count(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "state"))
+    config = lambda n: {**CONFIGS["mill"], "pagination": {"strategy": "query_param", "max_pages": n}}
+    posting = lambda i: json.dumps({"content": [{"id": f"p{i}", "name": f"Miller {i}", "ref": f"https://mill.test/{i}"}]})
+    at = CONFIGS["mill"]["careers_url"]
+    landed = fetches(spark, fetch("mill", posting(0)), *[fetch("mill", posting(i), page=i, url=f"{at}?page={i + 1}") for i in range(1, 4)],
+                     fetch("mill", posting(9), page=1, url=f"{at}?start=15"))
+    shaped = lambda n: shape_configs(spark.createDataFrame([("f", json.dumps(config(n)))], "file string, config_text string"))
+    counts = [run_once(store, landed, shaped(n), T0 + timedelta(hours=n), PARAMS, notify=False).first()["jobs_fetched"] for n in (4, 2)]
+    assert counts == [4, 2]
+
+
 def test_staged_tables_go_even_after_a_failure(spark, tmp_path):
     import os
 
