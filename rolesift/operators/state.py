@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.session import broadcast_if_small, materialize
+from rolesift.session import broadcast_if_small, materialize, release
 
 VACANCY_KEY = ["source_id", "canonical_hash"]
 VACANCY_FIELDS = ["external_id", "url", "title", "location", "description", "posted_at"]
@@ -150,26 +150,63 @@ def sent_in_history(events: DataFrame, key: list[str], at: str, days: int, limit
 T_ARRAY = {"timestamp": "array<timestamp>", "timestamp_ntz": "array<timestamp_ntz>"}
 
 
+# stretches of a history in which successors are looked for by themselves, to a window of suppression
+SLOTS = 168
+
+
 def _sent_of_long_keys(times: DataFrame, key: list[str], at: str, days: int) -> DataFrame:
-    """Sends of keys too long for an array, one window of ``days`` at a time.
+    """Sends of keys too long for an array: a successor table and pointer doubling.
 
-    A half-open window of ``days`` holds at most one send per key, and only the
-    send of the window before can hold an event back. So each window needs its
-    own events, that window's sends (one row per key) and a minimum per key,
-    which combines on the map side: no task ever holds a key's events.
+    An event's successor is the key's first event at least ``days`` later; the sends are
+    the orbit of the first event. Each round the events known to be sent follow pointers of
+    twice the length, so a history of n sends takes log n rounds of equal joins, and no
+    task, nor the driver, ever holds a key's events.
     """
     span = days * 86_400 * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    windows = materialize(times.withColumns({"_us": micros, "_w": F.floor(micros / span)}), partition_by="_w")
-    present = [r["_w"] for r in windows.select("_w").distinct().sort("_w").collect()]  # one number per window
-    parts, before, last = [], None, None
-    for w in present:
-        here = windows.filter(F.col("_w") == w)
-        if before is not None and last == w - 1:
-            here = here.join(broadcast_if_small(before), key, "left").filter(
-                F.col("_last").isNull() | (F.col("_us") >= F.col("_last") + span)
-            )
-        sent = materialize(here.groupBy(*key).agg(F.min("_us").alias("_last"), F.min(at).alias(at)))
-        parts.append(sent.select(*key, at))
-        before, last = sent.select(*key, "_last"), w
-    return reduce(DataFrame.unionByName, parts)
+    events = materialize(times.select(*key, F.col(at), micros.alias("us")))
+    jumps = materialize(_successors(events.select(*key, "us"), key, span))
+    sent = materialize(events.groupBy(*key).agg(F.min("us").alias("us")))
+    while True:
+        fresh = sent.join(jumps, [*key, "us"]).select(*key, F.col("next").alias("us"))
+        grown = materialize(sent.union(fresh).distinct())
+        more = grown.count() > sent.count()
+        release(sent)
+        sent = grown
+        if not more:
+            break
+        on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+        twice = jumps.alias("a").join(jumps.alias("b"), reduce(lambda x, y: x & y, on, F.col("a.next") == F.col("b.us")))
+        longer = materialize(twice.select(*[F.col(f"a.{k}") for k in key], F.col("a.us"), F.col("b.next").alias("next")))
+        release(jumps)
+        jumps = longer
+    release(jumps)
+    return events.join(sent, [*key, "us"], "left_semi").select(*key, at)
+
+
+def _successors(events: DataFrame, key: list[str], span: int) -> DataFrame:
+    """``us`` and ``next``, the key's first event at least ``span`` later, of events that have one.
+
+    An event asks at ``us + span``. The asked moment's own slot is searched first: events
+    and questions of a slot in falling order, each question taking the event last seen.
+    Where the slot has none, the first event of the key's next slot with any is it; slots
+    are as many as the history is long, however many events it has.
+    """
+    slot = lambda c: F.floor(c / (span // SLOTS or 1))
+    asked = events.select(*key, (F.col("us") + span).alias("moment"), F.col("us").alias("asker"))
+    both = events.select(*key, F.col("us").alias("moment"), F.lit(None).cast("long").alias("asker")).union(asked)
+    both = both.withColumn("slot", slot(F.col("moment")))
+    falling = Window.partitionBy(*key, "slot").orderBy(F.desc("moment"), F.col("asker").asc_nulls_first())
+    event = F.when(F.col("asker").isNull(), F.col("moment"))
+    seen = both.withColumn("next", F.last(event, ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0)))
+    answered = materialize(seen.filter("asker IS NOT NULL").select(*key, "slot", F.col("asker").alias("us"), "next"))
+    # of each slot that is asked about in vain, the first event of a later slot
+    firsts = events.groupBy(*key, slot(F.col("us")).alias("slot")).agg(F.min("us").alias("first"))
+    unmet = answered.filter("next IS NULL").select(*key, "slot").distinct().withColumn("first", F.lit(None).cast("long"))
+    later = Window.partitionBy(*key).orderBy(F.desc("slot"), F.col("first").asc_nulls_first())
+    found = firsts.union(unmet).withColumn(
+        "after", F.last("first", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    found = found.filter("first IS NULL AND after IS NOT NULL").select(*key, "slot", F.col("after").alias("next"))
+    rest = answered.filter("next IS NULL").drop("next").join(found, [*key, "slot"]).select(*key, "us", "next")
+    return answered.filter("next IS NOT NULL").select(*key, "us", "next").union(rest)
