@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import blank_to_null
@@ -100,6 +100,30 @@ def current_copies(fetches: DataFrame, run_at: Column) -> DataFrame:
     return crawl.filter(F.col("fetched_at") >= F.col("_from")).drop("_from")
 
 
+def copies_of_runs(fetches: DataFrame, first_run: Column, hours: int, kept: list[str]) -> DataFrame:
+    """The copies that each of ``hours`` runs an hour apart reads: ``run``, counted from 0, the page and ``kept`` columns.
+
+    What :func:`current_copies` reads at any time, for all runs in one pass. A copy counts
+    from its landing until a new crawl of its page begins: a plain first attempt, or before
+    the first of those any first attempt. That end is a running minimum over the page's
+    own few copies, and the copy is dealt to the runs inside with one range of numbers.
+    """
+    page = ["source_id", "page_index"]
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    hour = 3_600_000_000
+    narrow = fetches.select(*dict.fromkeys([*page, *kept]), "attempt", "channel", micros(F.col("fetched_at")).alias("_us"))
+    first = F.col("attempt") == 0
+    plain = F.min(F.when(first & (F.col("channel") == "http"), F.col("_us"))).over(Window.partitionBy(*page))
+    starts = first & ((F.col("channel") == "http") | plain.isNull() | (F.col("_us") < plain))
+    falling = Window.partitionBy(*page).orderBy(F.desc("_us"))
+    marked = narrow.withColumn("_start", F.when(starts, F.col("_us")))
+    ended = marked.withColumn("_end", F.min("_start").over(falling.rangeBetween(Window.unboundedPreceding, -1)))
+    since = lambda c: F.greatest(F.ceil((c - micros(first_run)) / hour).cast("int"), F.lit(0))
+    runs = ended.withColumns({"_from": since(F.col("_us")), "_to": F.least(F.coalesce(since(F.col("_end")), F.lit(hours)), F.lit(hours))})
+    inside = runs.filter(F.col("_from") < F.col("_to"))
+    return inside.select(F.explode(F.sequence("_from", F.col("_to") - 1)).alias("run"), *dict.fromkeys([*page, *kept]))
+
+
 def classify_copies(copies: DataFrame, status_errors: bool = True) -> DataFrame:
     """Adds ``state`` (failed, blocked or read) and ``reason`` to each copy.
 

@@ -61,3 +61,20 @@ def test_status_rule(spark):
     states = lambda **kw: [(r["state"], r["reason"]) for r in pg.classify_copies(rows, **kw).collect()]
     assert states() == [("failed", "HTTP status 403"), ("failed", "timeout"), ("blocked", "unusual traffic"), ("read", None)]
     assert states(status_errors=False)[0] == ("blocked", "http_403")
+
+
+def test_copies_of_runs_are_those_each_run_would_read(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [
+        ("s", draw.randrange(6), "u", draw.randrange(3), draw.choice(("http", "rendered")), 200, f"c{i}", None, NOON + timedelta(minutes=30 * draw.randrange(20)))
+        for i in range(150)
+    ]
+    fetches = spark.createDataFrame(rows, pg.PAGE_FETCHES).cache()
+    got = sorted((r["run"], r["page_index"], r["content"]) for r in pg.copies_of_runs(fetches, F.lit(NOON), 8, ["content"]).collect())
+    want = []
+    for run in range(8):
+        seen = pg.current_copies(fetches, F.lit(NOON + timedelta(hours=run))).collect()
+        want += [(run, r["page_index"], r["content"]) for r in seen]
+    assert got == sorted(want) and len(want) > 150
