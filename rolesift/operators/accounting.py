@@ -22,20 +22,39 @@ def run_status(errors: Column, jobs_fetched: Column) -> Column:
     return F.when(errors == 0, "success").when(jobs_fetched > 0, "partial_failure").otherwise("failure")
 
 
-def run_counters(summaries: DataFrame) -> DataFrame:
-    """sources_total, jobs_fetched, errors and the error map as JSON with sorted keys."""
-    failed = F.col("error").isNotNull()
-    entries = F.array_sort(F.collect_list(F.when(failed, F.struct("source_id", "error"))))
+# failed sources that the summary names; all of them stand in the run's table of errors
+SUMMARY_ERRORS = 5000
+
+
+def run_errors(summaries: DataFrame) -> DataFrame:
+    """The failed sources of a run: a table like any other, however many they are."""
+    return summaries.filter(F.col("error").isNotNull()).select("source_id", "error")
+
+
+def run_counters(summaries: DataFrame, named: int = SUMMARY_ERRORS) -> DataFrame:
+    """sources_total, jobs_fetched, errors and the error map as JSON with sorted keys.
+
+    The map names the first ``named`` failed sources in order and counts the others
+    under a last key ``...``.
+    """
     totals = summaries.agg(
         F.count("*").alias("sources_total"),
         F.coalesce(F.sum("jobs_fetched"), F.lit(0)).alias("jobs_fetched"),
-        F.count_if(failed).alias("errors_total"),
-        entries.alias("_errors"),
+        F.count("error").alias("errors_total"),
+    )
+    first = run_errors(summaries).orderBy("source_id").limit(named)  # a top-k: no sort of all
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("source_id", "error"))).alias("_errors"))
+    one = totals.unionByName(listed, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("sources_total", "jobs_fetched", "errors_total")],
+        F.first("_errors", ignorenulls=True).alias("_errors"),
     )
-    return totals.select(
+    more = F.col("errors_total") - F.size("_errors")
+    rest = F.when(more > 0, F.array(F.struct(F.lit("...").alias("source_id"), F.concat(more.cast("string"), F.lit(" more")).alias("error"))))
+    entries = F.concat("_errors", F.coalesce(rest, F.array().cast("array<struct<source_id:string,error:string>>")))
+    return one.select(
         "sources_total",
         "jobs_fetched",
         "errors_total",
         run_status(F.col("errors_total"), F.col("jobs_fetched")).alias("status"),
-        F.when(F.size("_errors") > 0, F.to_json(F.map_from_entries("_errors"))).alias("error_summary"),
+        F.when(F.size("_errors") > 0, F.to_json(F.map_from_entries(entries))).alias("error_summary"),
     )

@@ -125,13 +125,14 @@ def _run(store, fetches, configs, run_at, params, notify, run_id, trigger, stage
     store.write("sightings", run_id, sightings)
     store.write("matches", run_id, scored.withColumn("created_at", now))
     summaries = stage(accounting.source_summaries(scored, outcomes))
+    store.write("errors", run_id, accounting.run_errors(summaries))
     account = accounting.run_counters(summaries).first()
     matched = matching.to_send(scored)
     matched_total = matched.count()
 
     report = sent = None
     if notify:
-        fresh = state.drop_suppressed(matched, store.read("notifications"), now)
+        fresh = state.drop_suppressed(matched, store.live_notices(run_at), now)
         items = stage(digest.top_items(fresh, params.max_items))
         store.write("notifications", run_id, state.new_notifications(items, now, params.dedupe_days))
         sent = digest.digest_text(items, now, F.lit(account["sources_total"]), F.lit(matched_total), params.zone).first()

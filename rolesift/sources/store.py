@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ TABLES = {
     "jobs_matched long, jobs_sent long, error_summary string, trigger string",
 }
 TABLES["vacancy_base"] = TABLES["sightings"] + ", first_run long, last_run long"
+TABLES["errors"] = "source_id string, error string"
 # the last run a base holds, and earlier ones it does not as they were not published yet
 TABLES["bases"] = "upto long, open array<long>"
 # runs after which the job renews the base of the vacancies: a day of half hours
@@ -101,7 +103,8 @@ class RunStore:
         schema = TABLES[table] + ", run_id long"
         if not self._exists(self._path(table)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(table))
+        rows = self.spark.read.schema(schema + ", until_day int" if table == "notifications" else schema)
+        return rows.parquet(self._path(table)).drop("until_day")
 
     def runs(self) -> DataFrame:
         return self._scan("runs")
@@ -160,6 +163,41 @@ class RunStore:
             self.write("vacancy_base", mine, self._folded().withColumnRenamed("run_id", "last_run"))
             self.write("bases", mine, self.spark.createDataFrame([(last, late)], TABLES["bases"]))
 
+    def _notice_days(self) -> list[int]:
+        """The days, counted from 1970, on which notices end: folders of their own, listed without opening one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("notifications"))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("until_day="))
+
+    def live_notices(self, now: datetime) -> DataFrame:
+        """Notices of published runs that end on the day of ``now`` or later; no older folder is opened."""
+        root = self._path("notifications")
+        today = int(now.timestamp() // 86_400)
+        paths = [f"{root}/until_day={d}" for d in self._notice_days() if d >= today]
+        schema = TABLES["notifications"] + ", run_id long"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema + ", until_day int").option("basePath", root).parquet(*paths)
+        return rows.drop("until_day").join(self.runs().select("run_id"), "run_id", "left_semi")
+
+    def retire_notices(self, before: datetime) -> None:
+        """Delete the notices that ended on a day before that of ``before``; no later run can be held back by them."""
+        for day in self._notice_days():
+            if day < int(before.timestamp() // 86_400):
+                self._delete(f"{self._path('notifications')}/until_day={day}")
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
     def write(self, table: str, run_id: int, rows: DataFrame) -> None:
         columns = StructType.fromDDL(TABLES[table]).fieldNames()
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self._path(table)}/run_id={run_id}")
+        if table == "notifications":
+            for day in self._notice_days():  # what a lost attempt of this run left, maybe under other days
+                self._delete(f"{self._path(table)}/until_day={day}/run_id={run_id}")
+            day = F.floor(F.unix_micros("dedupe_until") / 86_400_000_000).cast("int")
+            dated = rows.select(*columns, day.alias("until_day"), F.lit(run_id).alias("run_id"))
+            dated.write.mode("append").partitionBy("until_day", "run_id").parquet(self._path(table))
+        else:
+            rows.select(*columns).write.mode("overwrite").parquet(f"{self._path(table)}/run_id={run_id}")

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +89,10 @@ def test_report_and_counters(spark):
     clean = accounting.run_counters(summaries.filter("error IS NULL")).first()
     assert (clean["status"], clean["error_summary"]) == ("success", None)
     assert accounting.run_counters(summaries.filter("error IS NOT NULL")).first()["status"] == "failure"
+    broken = spark.createDataFrame([(f"s{i:05d}", "C", "https://x", 0, f"e{i}") for i in range(300)], SUMMARY)
+    some = accounting.run_counters(broken, named=2).first()
+    assert (some["errors_total"], some["error_summary"]) == (300, '{"s00000":"e0","s00001":"e1","...":"298 more"}')
+    assert accounting.run_errors(broken).count() == 300
     many = spark.createDataFrame([(f"s{i:05d}", f"Company {i:05d}", "https://x", i, None) for i in range(2000)], SUMMARY)
     long = digest.run_report(many, F.lit(NOW), "Europe/Berlin").first()[0]
     assert len(long) == 3900 and long.endswith("\n...(truncated)") and "2000/2000" in long and "14:00 Europe/Berlin" in long
@@ -107,3 +111,27 @@ def test_digest_fits_and_counts_what_is_left_out(spark):
     assert len("\n".join(lines[: 3 + len(shown)])) <= 3900 < len("\n".join(lines[: 3 + len(shown)])) + 1 + len(shown[-1])
     assert lines[-1] == "Sources scanned: 3 | Matched before dedupe: 30 | Timezone: UTC"
     assert digest.digest_text(top.limit(0), F.lit(NOW), F.lit(3), F.lit(0)).count() == 0
+
+
+def noon(day):
+    return datetime(2026, 4, 1, 12, tzinfo=timezone.utc) + timedelta(days=day)
+
+
+def test_only_live_notices_are_opened(spark, tmp_path):
+    from rolesift.sources.store import RunStore
+
+    store = RunStore(spark, str(tmp_path / "state"))
+    assert store.live_notices(noon(0)).count() == 0
+    runs = spark.createDataFrame([(noon(0), None, "success", 1, 1, 1, 1, None, None)], "started_at timestamp, finished_at timestamp, status string, "
+                                 "sources_total long, jobs_fetched long, jobs_matched long, jobs_sent long, error_summary string, trigger string")
+    for run_id, day in ((1, 0), (2, 5), (3, 9)):
+        items = spark.createDataFrame([("s", f"h{run_id}")], "source_id string, canonical_hash string")
+        store.write("notifications", run_id, state.new_notifications(items, F.lit(noon(day + 1))))  # a lost attempt, a day later
+        store.write("notifications", run_id, state.new_notifications(items, F.lit(noon(day))))
+        store.write("runs", run_id, runs)
+    assert [r["n"] for r in store.read("notifications").groupBy("run_id").count().toDF("run_id", "n").collect()] == [1, 1, 1]
+    live = store.live_notices(noon(8))
+    assert sorted(r["run_id"] for r in live.collect()) == [2, 3]
+    assert not [f for f in live.inputFiles() if "notifications" in f and "run_id=1" in f]
+    store.retire_notices(noon(13))
+    assert sorted(r["run_id"] for r in store.read("notifications").collect()) == [3]
