@@ -13,11 +13,12 @@ from rolesift.operators import pages as pg
 from rolesift.operators import rules
 from rolesift.plans.catalog_base import table
 from rolesift.plans.catalog_pages import _sql_links, event_copies
-from rolesift.plans.jobs import RunParams, run_once
+from rolesift.plans.jobs import RunParams, load_sources, run_once
 from rolesift.session import shared_folder
 from rolesift.sources.configs import config_violations, shape_configs
 from rolesift.sources.frontier import page_frontier
 from rolesift.sources.store import RunStore
+from rolesift.streaming.recurring import recurring_run
 
 # one config text per remainder of the supplier key
 _CONFIGS = {
@@ -164,6 +165,51 @@ def site_run_of_fewer_pages(spark, sf) -> DataFrame:
     return row.select(F.col("run_id").cast("long").alias("run_id"), "status", "sources_total", "jobs_fetched", "jobs_matched")
 
 
+def site_matches(spark, sf) -> DataFrame:
+    """The matches that a run appends, read back: how many of each site, score and decision."""
+    store = RunStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    run_once(store, _site_fetches(spark, sf), _site_configs(spark, sf), _START, RunParams(min_score=0.4, profile=_RULES), notify=False)
+    found = store.read("matches").groupBy("source_id", F.round("score", 6).alias("score"), "geo_pass", "decision", F.size("matched_terms").alias("terms"))
+    return found.agg(F.count("*").alias("n"), F.count_distinct("canonical_hash").alias("keys"))
+
+
+_LANDED_FIRST = 4
+
+
+def recurring_site_runs(spark, sf) -> DataFrame:
+    """Runs of a recurring job: the sites' first pages land, then the others, then nothing; a replay finds its run."""
+    folder = f"{shared_folder(spark)}/recurring-{uuid.uuid4().hex}"
+    store, params = RunStore(spark, f"{folder}/store"), RunParams(min_score=0.4, profile=_RULES)
+    fetches = _site_fetches(spark, sf)
+    for part in (F.col("page_index") < _LANDED_FIRST, F.col("page_index") >= _LANDED_FIRST, None):
+        if part is not None:
+            fetches.filter(part).write.mode("append").parquet(f"{folder}/landed")
+        job = recurring_run(
+            spark, f"{folder}/landed", store, lambda: _site_configs(spark, sf), f"{folder}/checkpoint", params, False,
+            {"availableNow": True}, lambda: _START,
+        )
+        job.awaitTermination()
+    last = store.runs().orderBy(F.desc("run_id")).first()
+    run_once(store, fetches, _site_configs(spark, sf), _START, params, trigger=last["trigger"])
+    return store.runs().select("run_id", "status", "sources_total", "jobs_fetched", "jobs_matched")
+
+
+def config_folder(spark, sf) -> DataFrame:
+    """Sources of a folder of JSON files, one a supplier, written and read back, with their number of pages."""
+    key = F.col("s_suppkey").cast("string")
+    folder = f"{shared_folder(spark)}/configs-{uuid.uuid4().hex}"
+    families = F.array(*map(F.lit, ["lever", "greenhouse", "workday"]))
+    table(spark, sf, "supplier").select(
+        F.concat(F.lit(" c"), key).alias("id"), F.col("s_name").alias("company_name"), F.concat(F.lit("https://x.org/"), key).alias("careers_url"),
+        F.element_at(families, (F.col("s_suppkey") % 3 + 1).cast("int")).alias("parser_type"), F.when(F.col("s_nationkey") > 9, "DE").alias("country_hint"),
+        (F.col("s_suppkey") % 7 != 0).alias("enabled"),
+        F.struct(F.lit("query_param").alias("strategy"), (F.col("s_nationkey") % 4 + 1).alias("max_pages")).alias("pagination"),
+    ).write.option("maxRecordsPerFile", 1).json(folder)
+    sources = load_sources(spark, folder)
+    pages = page_frontier(sources).groupBy("source_id").agg(F.count("*").alias("pages"))
+    return sources.join(pages, "source_id").select("source_id", "company_name", "parser_type", "country_hint", "enabled", "pages")
+
+
 def hourly_reads(spark, sf) -> DataFrame:
     """What each of 24 backfill runs, an hour apart, would read."""
     copies = event_copies(spark, sf).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
@@ -268,6 +314,23 @@ QUERIES = {
         site_run_of_fewer_pages,
         f"SELECT 2 AS run_id, status, sources_total, jobs_fetched, jobs_matched FROM ({_site_sql(f'WHERE page < {_FEWER}')})",
     ),
+    "site_matches": (
+        site_matches,
+        _site_sql().split("c AS (SELECT count(*)")[0] + """x AS (SELECT *, round(greatest(score, 0), 6)::DOUBLE AS s, site NOT IN (1, 2, 3) AS geo_pass,
+              contains(lower(title), 'th')::INT + (contains(lower(title), 'en') OR contains(lower(title), 'er'))::INT AS terms FROM m)
+            SELECT 'site' || site AS source_id, s AS score, geo_pass, CASE WHEN NOT geo_pass THEN 'reject_geo' WHEN score < 0.4 THEN 'reject_score' ELSE 'send' END AS decision,
+              terms, count(*) AS n, count(*) AS keys FROM x GROUP BY ALL""",
+    ),
+    "recurring_site_runs": (
+        recurring_site_runs,
+        f"""SELECT 1 AS run_id, status, sources_total, jobs_fetched, jobs_matched FROM ({_site_sql(f'WHERE page < {_LANDED_FIRST}')})
+            UNION ALL SELECT 2, status, sources_total, jobs_fetched, jobs_matched FROM ({_site_sql()})""",
+    ),
+    "config_folder": (
+        config_folder,
+        """SELECT 'c' || s_suppkey AS source_id, s_name AS company_name, ['lever', 'greenhouse', 'workday'][s_suppkey % 3 + 1] AS parser_type,
+             CASE WHEN s_nationkey > 9 THEN 'DE' END AS country_hint, s_suppkey % 7 <> 0 AS enabled, s_nationkey % 4 + 1 AS pages FROM supplier""",
+    ),
     "frontier_pages": (
         frontier_pages,
         f"""SELECT 'site' || (page_id % 10) AS source_id, page_id // 10 AS page_index,
