@@ -43,15 +43,15 @@ def test_scores_by_hand(spark):
 
 
 def test_settings():
-    profile = profile_of(positive={"head_baker": 2, "Y ": {"weight": 0.5, "terms": [" Rye", "rye", ""]}, "none": {"terms": ["x"]}, "text": "y", "": 1, "minus": -1})
-    assert [(r.family, r.weight, r.terms) for r in profile.positive] == [("head_baker", 2.0, ("head baker",)), ("y", 0.5, ("rye",))]
+    profile = profile_of(positive={"head_baker": 2, "Y ": {"weight": 0.5, "terms": [" Rye", "rye", ""]}, "none": {"terms": ["x"]}, "as_text": {"weight": " 0.9", "terms": ["z"]}, "odd": {"weight": "much", "terms": ["o"]}, "text": "y", "": 1, "minus": -1})
+    assert [(r.family, r.weight, r.terms) for r in profile.positive] == [("head_baker", 2.0, ("head baker",)), ("y", 0.5, ("rye",)), ("as_text", 0.9, ("z",))]
     assert len(profile_of(positive={}, places=[]).positive) == 12
     assert profile_of(places=[" Faro ", "faro", ""]).places == ("faro",)
 
 
 def test_overrides_of_sources(spark):
     override = {
-        "positive_terms": {"bread": {"weight": 0}, "waiter": {"weight": 0.9, "terms": ["Waiter "]}, "oven": {"terms": ["kiln"]}, "z": 0.2, "b": 0.1, "no": {"terms": ["q"]}},
+        "positive_terms": {"bread": {"weight": 0}, "waiter": {"weight": 0.9, "terms": ["Waiter "]}, "oven": {"terms": ["kiln"]}, "z": 0.2, "b": 0.1, "no": {"terms": ["q"]}, 'so "x"?': {"weight": 0.0, "terms": ["u"]}},
         "geo_terms": ["Lyon"], "remote_terms": 5,
     }
     rows = [(p[0], json.dumps(override) if p[0] in "lo" else None) for p in POSTINGS]
