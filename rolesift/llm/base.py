@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,27 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+class Shared:
+    """A broadcast value whose class travels with it, so that executors need no copy of this package.
+
+    A plain broadcast names the class of an instance and leaves its import to the worker.
+    The value is opened once a task.
+    """
+
+    def __init__(self, context: SparkContext, value):
+        self.sent = context.broadcast(cloudpickle.dumps(value))
+        self.opened = None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "opened": None}
+
+    @property
+    def value(self):
+        if self.opened is None:
+            self.opened = cloudpickle.loads(self.sent.value)
+        return self.opened
+
+
 def arrow_map(
     rows: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str
 ) -> DataFrame:

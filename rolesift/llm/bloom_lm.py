@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import table
+from rolesift.llm.base import Shared, table
 from rolesift.llm.dart_minhash import mix
 from rolesift.session import materialize
 
@@ -284,11 +284,11 @@ def score(documents: DataFrame, model: DataFrame, slices: int) -> DataFrame:
     filters = []
     for lo, hi in _shards(model, 1):
         rows = model.filter((F.col("kind") == 1) & (F.col("slice") >= lo) & (F.col("slice") < hi))
-        filters.append(((lo, hi), context.broadcast(Filter(rows.select("slice", "size", "bits").toArrow(), slices))))
+        filters.append(((lo, hi), Shared(context, Filter(rows.select("slice", "size", "bits").toArrow(), slices))))
     passes = None
     for lo, hi in word_shards:
         rows = model.filter((F.col("kind") == 0) & (F.col("slice") >= lo) & (F.col("slice") < hi))
-        words = context.broadcast(Words(rows.select("slice", "keys", "counts").toArrow()))
+        words = Shared(context, Words(rows.select("slice", "keys", "counts").toArrow()))
         for number, (of_history, sent) in enumerate(filters):
             one = _pass(texts, words, sent, (of_words[0], of_words[1]), (lo, hi), of_history, slices, number == 0)
             passes = one if passes is None else passes.union(one)

@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,12 +107,17 @@ def weighted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[first], hashes[first], np.diff(np.append(first, len(owner)))
 
 
-@cache
+# a plain table, not a cache of functools, which workers could only import
+_POISSON: dict[float, np.ndarray] = {}
+
+
 def _poisson(mean: float) -> np.ndarray:
     """The distribution function of a Poisson number, as far as it matters."""
-    top = int(mean + 12 * math.sqrt(mean) + 20)
-    logs = [i * math.log(mean) - mean - math.lgamma(i + 1) for i in range(top)]
-    return np.cumsum(np.exp(logs))
+    if mean not in _POISSON:
+        top = int(mean + 12 * math.sqrt(mean) + 20)
+        logs = [i * math.log(mean) - mean - math.lgamma(i + 1) for i in range(top)]
+        _POISSON[mean] = np.cumsum(np.exp(logs))
+    return _POISSON[mean]
 
 
 def signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int, k: int) -> np.ndarray:

@@ -25,7 +25,6 @@ import sys
 import unicodedata
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,9 +72,14 @@ def _sort_of(c: str) -> tuple:
     return kind, unicodedata.name(c, "").split(" ")[0], ord(c) >> 7, returns
 
 
-@cache
+# filled once by the driver and sent with the functions; a cache of functools workers could only import
+_OTHERS: dict[str, str] = {}
+
+
 def _other_classes() -> dict[str, str]:
     """The class of each letter and number of Unicode that is in none of ``_CLASSES``."""
+    if _OTHERS:
+        return _OTHERS
     groups: dict[tuple, list[str]] = {}
     for c in map(chr, range(sys.maxunicode + 1)):
         if c.isalnum() and c not in _CLASS_OF:
@@ -83,7 +87,8 @@ def _other_classes() -> dict[str, str]:
     few: dict[str, list[str]] = {}  # too few of a sort to stand for each other
     for sort in [s for s, group in groups.items() if len(group) < 4]:
         few.setdefault(sort[0], []).extend(groups.pop(sort))
-    return {c: group for some in (groups, few) for group in map("".join, some.values()) for c in group}
+    _OTHERS.update({c: group for some in (groups, few) for group in map("".join, some.values()) for c in group})
+    return _OTHERS
 
 
 def class_of(c: str) -> str | None:
@@ -400,6 +405,7 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame:
 
 def anonymise(documents: DataFrame, key: bytes = KEY, text: str = "text", counted: bool = False) -> DataFrame:
     """The documents with surrogates in their text; with ``counted`` also ``n_entities``."""
+    _other_classes()
     texts = documents.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
     found = materialize(find(texts, key).distinct())
     known = materialize(found.select("kind", "normal", "drawn").distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolesift.llm.base import arrow_map, ascii_lower, table
+from rolesift.llm.base import Shared, arrow_map, ascii_lower, table
 from rolesift.session import materialize, release
 
 # bits of all levels of one shard: 16 MB
@@ -168,7 +168,7 @@ def probe(rows: DataFrame, cascades: Sequence[Cascade], name: str) -> DataFrame:
     context = rows.sparkSession.sparkContext
     kind = rows.schema
     for shard, cascade in enumerate(cascades):
-        sent = context.broadcast(cascade)
+        sent = Shared(context, cascade)
         columns = rows.columns
 
         def batch(part: pa.RecordBatch, shard=shard, sent=sent, n=len(cascades), columns=columns) -> dict:
