@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import Shared, table
+from rolesift.llm.base import table
 from rolesift.llm.dart_minhash import mix
 from rolesift.session import materialize
 
@@ -166,13 +166,18 @@ def train(texts: DataFrame) -> tuple[DataFrame, int]:
     return materialize(parts.groupBy("kind", "slice").applyInArrow(_slice_model, _MODEL)), slices
 
 
+def word_arrays(rows: pa.Table) -> tuple:
+    """Keys and counts of a shard of the words: plain arrays, which any worker can read."""
+    parts = rows.sort_by("slice")
+    keys = np.frombuffer(b"".join(x.as_py() for x in parts.column("keys")), np.uint64)
+    return keys, np.frombuffer(b"".join(x.as_py() for x in parts.column("counts")), np.uint32)
+
+
 class Words:
     """Exact counts of a shard of the words."""
 
-    def __init__(self, rows: pa.Table):
-        parts = rows.sort_by("slice")
-        self.keys = np.frombuffer(b"".join(x.as_py() for x in parts.column("keys")), np.uint64)
-        self.counts = np.frombuffer(b"".join(x.as_py() for x in parts.column("counts")), np.uint32)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -181,19 +186,22 @@ class Words:
         return np.where(self.keys[at] == tokens, self.counts[at], 0).astype(np.int64)
 
 
+def filter_arrays(rows: pa.Table, slices: int) -> tuple:
+    """Shift, sizes, starts and bits of a shard of the histories: plain arrays, which any worker can read."""
+    size, start = np.zeros(slices, np.uint64), np.zeros(slices, np.int64)
+    parts, at = [], 0
+    for s, n, bits in zip(*(rows.column(c).to_pylist() for c in ("slice", "size", "bits"))):
+        size[s], start[s] = n, at
+        parts.append(bits)
+        at += len(bits)
+    return np.uint64(65 - slices.bit_length()), size, start, np.frombuffer(b"".join(parts) or b"\0", np.uint8)
+
+
 class Filter:
     """The filters of a shard of the histories, one a slice."""
 
-    def __init__(self, rows: pa.Table, slices: int):
-        self.shift = np.uint64(65 - slices.bit_length())
-        self.size = np.zeros(slices, np.uint64)
-        self.start = np.zeros(slices, np.int64)
-        parts, at = [], 0
-        for s, size, bits in zip(*(rows.column(c).to_pylist() for c in ("slice", "size", "bits"))):
-            self.size[s], self.start[s] = size, at
-            parts.append(bits)
-            at += len(bits)
-        self.bits = np.frombuffer(b"".join(parts) or b"\0", np.uint8)
+    def __init__(self, shift: np.uint64, size: np.ndarray, start: np.ndarray, bits: np.ndarray):
+        self.shift, self.size, self.start, self.bits = shift, size, start, bits
 
     def levels(self, histories: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The level of each key, stored with its history (the upper 32 bits of a bigram's key)."""
@@ -243,7 +251,7 @@ def _pass(texts: DataFrame, words, filters, totals, in_words, in_history, slices
         of_word = (tokens >> shift).astype(np.int64)
         mine = np.flatnonzero((of_word >= in_words[0]) & (of_word < in_words[1]))
         word, back = np.unique(tokens[mine], return_inverse=True)
-        count = words.value.of(word)[back]
+        count = Words(*words.value).of(word)[back]
         share = (count + 1) / (n_all + v_all + 1)
         known = np.bincount(owner[mine], count > 0, len(sizes)).astype(np.int64)
         # without words of this shard the counts would be whole numbers
@@ -252,7 +260,7 @@ def _pass(texts: DataFrame, words, filters, totals, in_words, in_history, slices
         here = (of_history >= in_history[0]) & (of_history < in_history[1])
         pair, back = np.unique(keys[mine][here], return_inverse=True)
         history, of = np.unique(pair >> np.uint64(32), return_inverse=True)
-        lookup = filters.value.levels
+        lookup = Filter(*filters.value).levels
         at = history << np.uint64(32)
         seen = count_of(lookup(at, mix(history ^ _HISTORY)))
         types = np.where(seen > 0, count_of(lookup(at, mix(history ^ _TYPES))), 0)
@@ -284,11 +292,11 @@ def score(documents: DataFrame, model: DataFrame, slices: int) -> DataFrame:
     filters = []
     for lo, hi in _shards(model, 1):
         rows = model.filter((F.col("kind") == 1) & (F.col("slice") >= lo) & (F.col("slice") < hi))
-        filters.append(((lo, hi), Shared(context, Filter(rows.select("slice", "size", "bits").toArrow(), slices))))
+        filters.append(((lo, hi), context.broadcast(filter_arrays(rows.select("slice", "size", "bits").toArrow(), slices))))
     passes = None
     for lo, hi in word_shards:
         rows = model.filter((F.col("kind") == 0) & (F.col("slice") >= lo) & (F.col("slice") < hi))
-        words = Shared(context, Words(rows.select("slice", "keys", "counts").toArrow()))
+        words = context.broadcast(word_arrays(rows.select("slice", "keys", "counts").toArrow()))
         for number, (of_history, sent) in enumerate(filters):
             one = _pass(texts, words, sent, (of_words[0], of_words[1]), (lo, hi), of_history, slices, number == 0)
             passes = one if passes is None else passes.union(one)
