@@ -191,13 +191,28 @@ class RunStore:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
+    def _write_notices(self, run_id: int, rows: DataFrame) -> None:
+        """Notices under the days they end. They are written to a folder of the run's own, as writers of one
+        folder would clear each other's unfinished files, and each day's part then takes its place."""
+        root = self._path("notifications")
+        for day in self._notice_days():  # what a lost attempt of this run left, maybe under other days
+            self._delete(f"{root}/until_day={day}/run_id={run_id}")
+        day = F.floor(F.unix_micros("dedupe_until") / 86_400_000_000).cast("int")
+        rows.withColumn("until_day", day).write.mode("overwrite").partitionBy("until_day").parquet(f"{root}/_run-{run_id}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        own = at(f"{root}/_run-{run_id}")
+        files = own.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for part in files.listStatus(own):
+            name = part.getPath().getName()
+            if name.startswith("until_day="):
+                files.mkdirs(at(f"{root}/{name}"))
+                if not files.rename(part.getPath(), at(f"{root}/{name}/run_id={run_id}")):
+                    raise OSError(f"notices of run {run_id} could not be moved to {name}")
+        files.delete(own, True)
+
     def write(self, table: str, run_id: int, rows: DataFrame) -> None:
         columns = StructType.fromDDL(TABLES[table]).fieldNames()
         if table == "notifications":
-            for day in self._notice_days():  # what a lost attempt of this run left, maybe under other days
-                self._delete(f"{self._path(table)}/until_day={day}/run_id={run_id}")
-            day = F.floor(F.unix_micros("dedupe_until") / 86_400_000_000).cast("int")
-            dated = rows.select(*columns, day.alias("until_day"), F.lit(run_id).alias("run_id"))
-            dated.write.mode("append").partitionBy("until_day", "run_id").parquet(self._path(table))
+            self._write_notices(run_id, rows.select(*columns))
         else:
             rows.select(*columns).write.mode("overwrite").parquet(f"{self._path(table)}/run_id={run_id}")
