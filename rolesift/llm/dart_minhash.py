@@ -10,14 +10,15 @@ probability equal to their weighted Jaccard similarity. About ``k ln k + 2 k`` d
 fill ``k`` coordinates, however long the text is.
 
 Coordinates are grouped in bands; texts that agree in a band are candidates. With 67
-bands of 7, a pair of similarity 0.8 shares none with probability 1.4e-7, fewer than
-two with 2.7e-6 and fewer than three with 2.5e-5. Each bucket
-first compares its members with one pivot, the member that meets most others, so a large group of near copies costs one
-comparison a member. Members of different classes that share a bucket are then
-compared with each other, so that no link between classes is left out. A bucket of
-many, such as a passage brings together, is first split by a second band, and a third
-where that is large too, so a pair in the largest buckets is missed with probability
-2.5e-5 and any other with less.
+bands of 7, a pair of similarity 0.8 shares none with probability 1.4e-7. Each bucket
+first compares its members with one pivot, the member that meets most others, so a
+large group of near copies costs one comparison a member. Members that still share a
+bucket with another class may be linked to it by a text other than the pivot. They are
+joined exactly, whatever the size of the bucket: shingles are ordered by how few of
+these texts hold them, similar texts must share one of their rarest fifth, and its
+places in the two orders bound what they share in all. A passage that many texts quote
+comes last in this order, and a copy with many changes of its own has nothing but them
+among its rarest, so neither brings near misses together.
 Candidates are verified on the whole texts, and classes are the connected components
 of the links. Equal texts are one node throughout (by a 64-bit hash).
 
@@ -29,11 +30,11 @@ but with its exact copies. Null text counts as empty. Every row gets a class;
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolesift.llm.base import arrow_map, table
@@ -42,10 +43,8 @@ from rolesift.session import broadcast_if_small, materialize, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# three bands of 67 are shared but with probability 2.5e-5 at that similarity
+# no band of 67 is shared with probability 1.4e-7 at that similarity
 BANDS, ROWS = 67, 7
-# members of a bucket that are compared with each other at once; larger ones are split by further bands
-PAIR_UP = 32
 # shingles of the documents whose signatures are made at once
 _CHUNK = 300_000
 # two numbers a row: 16 MB
@@ -216,8 +215,13 @@ def similarity(a: Sequence[bytes], b: Sequence[bytes]) -> float:
     return shared / max(1, int(times.sum()) - shared)
 
 
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, text)`` of the nodes, once each, staged."""
+    return materialize(texts.join(broadcast_if_small(nodes), "node", "left_semi").dropDuplicates(["node"]))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose texts ``(node, text)`` are similar enough."""
+    """The pairs ``(a, b)`` of nodes whose texts ``(node, text)`` are similar enough, staged."""
 
     def batch(rows: pa.RecordBatch) -> dict:
         keep, last, words = [], None, []
@@ -229,8 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         mask = pa.array(keep, pa.bool_())
         return {"a": rows.column("a").filter(mask), "b": rows.column("b").filter(mask)}
 
-    needed = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"))
-    mine = materialize(texts.join(broadcast_if_small(needed), "node", "left_semi").dropDuplicates(["node"]))
+    mine = _texts_of(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), texts)
     joined = pairs.join(mine.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
         mine.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a"
     )
@@ -239,32 +242,71 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return links
 
 
-def _across(placed: DataFrame, bands: DataFrame, least: float, level: int = 0) -> DataFrame:
-    """Pairs of nodes that share a bucket but no class, and whose sizes allow the similarity."""
-    sizes = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"))
-    placed = materialize(placed.join(sizes.filter("lo < hi").select("bucket", "of"), "bucket"))
-    small = placed.filter(F.col("of") <= PAIR_UP) if level < 2 else placed
-    other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = small.join(other, "bucket").filter(
-        (F.col("root") < F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+def _elements(texts: DataFrame) -> DataFrame:
+    """``(node, element)`` of each shingle of the texts; each further copy of a shingle is an element of its own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            owner, hashed, times = weighted(*shingles(chunk))
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            element = mix(np.repeat(hashed, times) + nth.astype(np.uint64) * _GOLDEN)
+            node = np.array(of, np.int64)[np.repeat(owner, times)]
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(element.view(np.int64))], ["node", "element"])
+
+        for rows in batches:
+            chunk, of, held = [], [], 0
+            for node, text in zip(rows.column("node"), rows.column("text")):
+                of.append(node.as_py())
+                chunk.append(words_of(text.as_py()))
+                held += len(chunk[-1])
+                if held > _CHUNK:
+                    yield flush()
+                    chunk, of, held = [], [], 0
+            if chunk:
+                yield flush()
+
+    return texts.mapInArrow(run, "node long, element long")
+
+
+def _across(unsettled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs of nodes of different classes that can be similar enough, from ``(node, n, root)``, staged.
+
+    The elements of two such texts, in any one order, have a first one in common. It
+    is among the first ``n - least * n + 1`` of both, and no more follow it in either
+    than the similarity needs. In order of frequency few texts share it.
+    """
+    mine = _texts_of(unsettled.select("node"), texts)
+    elements = _elements(mine)
+    frequent = elements.groupBy("element").agg(F.count("*").alias("of")).filter("of > 1")
+    common = materialize(elements.join(frequent, "element"))
+    release(mine)
+    # elements of one text only come first and match nothing
+    order = Window.partitionBy("node").orderBy("of", "element")
+    ranked = common.withColumn("nth", F.row_number().over(order)).withColumn(
+        "common", F.count("*").over(Window.partitionBy("node"))
     )
-    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    large = placed.filter(F.col("of") > PAIR_UP)
-    if level == 2 or not large.limit(1).count():
-        return pairs
-    split = large.join(bands, "node").select(
-        "bucket", "node", "n", "root", "used", F.explode(F.array_except("bands", "used")).alias("band")
+    prefix = ranked.join(unsettled, "node").select(
+        "element", "node", "n", "root", (F.col("n") - F.col("common") + F.col("nth") - 1).alias("at")
+    ).filter(F.col("n") - F.col("at") >= F.lit(least) * F.col("n") - 1e-6)
+    prefix = materialize(prefix)
+    release(common)
+    mixed = prefix.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    placed = materialize(prefix.join(mixed.select("element"), "element"))
+    release(prefix)
+    other = placed.select(
+        "element", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("at").alias("bt")
     )
-    deeper = split.select(
-        F.xxhash64("bucket", "band").alias("bucket"), "node", "n", "root", F.concat("used", F.array("band")).alias("used")
+    needed = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-6
+    pairs = placed.join(other, "element").filter(
+        (F.col("root") < F.col("other")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= needed)
     )
-    return pairs.union(_across(deeper, bands, least, level + 1))
+    pairs = materialize(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+    release(placed)
+    return pairs
 
 
-def near_duplicates(
-    documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """``doc_id, class_id, class_size`` of every document, with the hash of its text and that naming its class."""
+def _classes(documents: DataFrame, least: float, bands: int, rows: int) -> DataFrame:
+    """``(doc_id, node, root)`` of every document, staged."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("node"), "text")
     signed = materialize(
@@ -278,29 +320,41 @@ def near_duplicates(
     # copies of one text, each changed elsewhere, it is that text
     degree = met.groupBy("node").agg(F.sum("of").alias("degree"))
     ranked = met.join(degree, "node").select("bucket", "node", "n", "degree")
-    pivots = ranked.groupBy("bucket").agg(F.max_by("node", "degree").alias("pivot"))
-    members = materialize(met.join(pivots, "bucket").select("bucket", "node", "n", "pivot"))
-    release(met)
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p"))
+    pivots = pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"))
     first = materialize(
-        members.filter("node != pivot")
+        met.join(pivots, "bucket")
+        .filter((F.col("node") != F.col("pivot")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
         .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
         .distinct()
     )
     by_text = texts.select("node", "text")
     links = verified(first, by_text, least)
     roots = components(links)
-    # what shares a bucket and not a class: compared too, unless it was, or their sizes forbid it
-    placed = members.filter("node != pivot").join(roots, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("root", "node").alias("root"), F.array("bucket").alias("used")
-    )
-    rest = materialize(_across(placed, nodes.select("node", "bands"), least).distinct())
+    placed = met.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    unsettled = materialize(placed.join(open_buckets.select("bucket"), "bucket").select("node", "n", "root").distinct())
+    release(met, first)
+    rest = _across(unsettled, by_text, least)
     more = verified(rest, by_text, least)
+    release(unsettled, rest)
     if more.limit(1).count():
+        release(roots)
         roots = components(links.union(more))
-    release(members, first, rest)
     labelled = signed.select("doc_id", "node").join(roots, "node", "left")
-    labelled = labelled.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    labelled = materialize(labelled)
+    labelled = materialize(labelled.select("doc_id", "node", F.coalesce("root", "node").alias("root")))
+    release(signed, links, more, roots)
+    return labelled
+
+
+def near_duplicates(
+    documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``doc_id, class_id, class_size`` of every document, with the hash of its text and that naming its class."""
+    return _sized(_classes(documents, least, bands, rows))
+
+
+def _sized(labelled: DataFrame) -> DataFrame:
     classes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(classes, "root").select(
         "doc_id", "class_id", "class_size", "node", F.col("root").alias("class_node")
@@ -313,7 +367,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Documents without words have nothing in common and stay. Of rows that repeat
     both id and text one stays.
     """
-    classes = near_duplicates(documents)
+    labelled = _classes(documents, SIMILARITY, BANDS, ROWS)
+    classes = labelled.withColumnRenamed("root", "class_node")
     first = classes.groupBy("class_node").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "node")).alias("first")
     )
@@ -323,6 +378,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
         counted.join(first, "class_node").select("doc_id", "node", "times", (place == F.col("first")).alias("stays"))
         .filter("times > 1 or not stays")
     )
+    release(labelled)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64(text).alias("h"))
 
