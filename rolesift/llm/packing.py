@@ -4,8 +4,10 @@ A chromosome is a packing, its genes are whole sequences ("bins"). Crossover inj
 well-filled bins of one parent into the other, takes out the bins that hold any of
 their documents again, and places the displaced documents by best fit. The documents
 are dealt at random to shards of about ``SHARD`` pieces, each a problem of its own
-size wherever the corpus grows to; several islands evolve every shard in tasks of
-their own and pass their elite on to the next island between epochs. The emptiest
+size wherever the corpus grows to. Best fit makes each shard's first packing. Where it
+needs more bins than the tokens do, several islands evolve the shard in tasks of their
+own and pass their elite on to the next island between epochs; ``generations`` says how
+many children the winning island had, 0 where best fit was proved the best. The emptiest
 bins of all shards are dissolved and packed again together, level by level, until
 one shard is left, so little room is lost at the borders of shards.
 
@@ -225,27 +227,38 @@ def crossover(mother, father, sizes: Sequence[int], capacity: int, draw: random.
     return child.packing()
 
 
-def evolve(sizes: Sequence[int], elite: list, capacity: int, seed: str) -> list[list[list[int]]]:
-    """Some generations of one island; its best packings come first."""
+def bound(sizes: Sequence[int], capacity: int) -> int:
+    """No packing has fewer bins."""
+    return math.ceil(sum(sizes) / capacity)
+
+
+def breed(sizes: Sequence[int], elite: list, capacity: int, seed: str) -> tuple[list[list[list[int]]], int]:
+    """Some generations of one island, the best packings first, and how many children they had."""
     draw = random.Random(seed)
-    least = math.ceil(sum(sizes) / capacity)
+    least = bound(sizes, capacity)
     rank = lambda p: fitness(p, sizes, capacity)
-    people = list(elite)
-    while len(people) < POPULATION:
-        people.append(first_packing(sizes, capacity, draw, 0.0 if not people else 0.02 * len(people)))
-    people.sort(key=rank, reverse=True)
-    for _ in range(CHILDREN):
+    people = sorted(elite or [first_packing(sizes, capacity, draw, 0.0)], key=rank, reverse=True)
+    if len(people[0]) > least:
+        while len(people) < POPULATION:
+            people.append(first_packing(sizes, capacity, draw, 0.02 * len(people)))
+        people.sort(key=rank, reverse=True)
+    for bred in range(CHILDREN):
         if len(people[0]) <= least:
-            break
+            return people[:2], bred
         mother, father = draw.sample(people[: max(2, len(people) // 2 + 1)], 2)
         child = crossover(mother, father, sizes, capacity, draw)
         if rank(child) > rank(people[-1]):
             people[-1] = child
             people.sort(key=rank, reverse=True)
-    return people[:2]
+    return people[:2], CHILDREN
 
 
-_STATE = "shard long, island int, sizes array<int>, ids array<long>, elite array<array<int>>, bins int"
+def evolve(sizes: Sequence[int], elite: list, capacity: int, seed: str) -> list[list[list[int]]]:
+    """Some generations of one island; its best packings come first."""
+    return breed(sizes, elite, capacity, seed)[0]
+
+
+_STATE = "shard long, island int, sizes array<int>, ids array<long>, elite array<array<int>>, bins int, generations int"
 
 
 def _labels(packing: Sequence[Sequence[int]], n: int) -> list[int]:
@@ -268,41 +281,71 @@ def _epoch(state: DataFrame, level: int, epoch: int, capacity: int) -> DataFrame
         out = []
         for row in rows.to_pylist():
             elite = [_unlabelled(labels) for labels in row["elite"]]
-            best = evolve(row["sizes"], elite, capacity, f"{level}/{row['shard']}/{row['island']}/{epoch}")
-            out.append(row | {"elite": [_labels(p, len(row["sizes"])) for p in best], "bins": len(best[0])})
+            best, bred = breed(row["sizes"], elite, capacity, f"{level}/{row['shard']}/{row['island']}/{epoch}")
+            elite = [_labels(p, len(row["sizes"])) for p in best]
+            out.append(row | {"elite": elite, "bins": len(best[0]), "generations": row["generations"] + bred})
         return pa.RecordBatch.from_pylist(out, schema=rows.schema)
 
     return arrow_map(state, batch, _STATE)
 
 
+def _best_fit(lists: DataFrame, capacity: int) -> DataFrame:
+    """Each shard's best fit as the first of its elite, and the bound on its bins."""
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for row in rows.to_pylist():
+            sizes = row["sizes"]
+            packing = first_packing(sizes, capacity, random.Random(0), 0.0)
+            out.append(row | {"elite": [_labels(packing, len(sizes))], "bins": len(packing), "least": bound(sizes, capacity)})
+        return pa.RecordBatch.from_pylist(out, schema=schema)
+
+    fields = [("shard", pa.int64()), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))]
+    fields += [("elite", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("least", pa.int32())]
+    schema = pa.schema(fields)
+    return arrow_map(
+        lists, batch, "shard long, sizes array<int>, ids array<long>, elite array<array<int>>, bins int, least int"
+    )
+
+
 def pack_shards(items: DataFrame, level: int, shards: int, capacity: int) -> DataFrame:
-    """``mid, length, shard, bin, fill``: the items ``(mid, length)`` packed shard by shard."""
+    """``mid, length, shard, bin, generations``: the items ``(mid, length)`` packed shard by shard.
+
+    Only shards whose best fit has more bins than their tokens need get islands.
+    """
     of = F.pmod(F.xxhash64("mid", F.lit(level)), F.lit(shards))
     # a shard has about SHARD items, whatever the number of documents
     lists = items.groupBy(of.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("length", "mid"))).alias("all"))
-    none = F.array().cast("array<array<int>>")
-    state = lists.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
-        F.transform("all", lambda x: x["length"].cast("int")).alias("sizes"),
-        F.transform("all", lambda x: x["mid"]).alias("ids"), none.alias("elite"), F.lit(0).alias("bins"),
+    lists = lists.select(
+        "shard", F.transform("all", lambda x: x["length"].cast("int")).alias("sizes"),
+        F.transform("all", lambda x: x["mid"]).alias("ids"),
     )
-    for epoch in range(EPOCHS):
-        # islands are tasks of their own
-        state = _epoch(state.repartition("shard", "island"), level, epoch, capacity)
-        state = materialize(state)
-        if epoch < EPOCHS - 1:  # each island takes in the best of the one before it
-            guests = state.select(
-                "shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("elite", 1).alias("guest")
-            )
-            state = state.join(guests, ["shard", "island"]).select(
-                "shard", "island", "sizes", "ids", F.concat("elite", F.array("guest")).alias("elite"), "bins"
-            )
-    best = state.groupBy("shard").agg(F.min_by(F.struct("sizes", "ids", "elite"), F.struct("bins", "island")).alias("best"))
+    first = materialize(_best_fit(lists, capacity))
+    best = first.filter("bins <= least").select("shard", "sizes", "ids", "elite", F.lit(0).alias("generations"))
+    wanting = first.filter("bins > least")
+    if wanting.limit(1).count():
+        state = wanting.select(
+            "shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", "ids", "elite", "bins",
+            F.lit(0).alias("generations"),
+        )
+        for epoch in range(EPOCHS):
+            # islands are tasks of their own
+            state = materialize(_epoch(state.repartition("shard", "island"), level, epoch, capacity))
+            if epoch < EPOCHS - 1:  # each island takes in the best of the one before it
+                guests = state.select(
+                    "shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("elite", 1).alias("guest")
+                )
+                state = state.join(guests, ["shard", "island"]).withColumn("elite", F.concat("elite", F.array("guest")))
+                state = state.drop("guest")
+        won = F.struct("sizes", "ids", "elite", "generations")
+        evolved = state.groupBy("shard").agg(F.min_by(won, F.struct("bins", "island")).alias("best"))
+        best = best.union(evolved.select("shard", "best.*"))
     rows = best.select(
-        "shard",
-        F.explode(F.arrays_zip("best.ids", "best.sizes", F.element_at("best.elite", 1).alias("bin"))).alias("x"),
+        "shard", "generations", F.explode(F.arrays_zip("ids", "sizes", F.element_at("elite", 1).alias("bin"))).alias("x")
+    )
+    return rows.select(
+        F.col("x.ids").alias("mid"), F.col("x.sizes").alias("length"), "shard", F.col("x.bin").alias("bin"), "generations"
     )
-    return rows.select("shard", F.col("x.ids").alias("mid"), F.col("x.sizes").alias("length"), F.col("x.bin").alias("bin"))
 
 
 def pack(documents: DataFrame, json: str, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -317,7 +360,7 @@ def pack(documents: DataFrame, json: str, length: int = LENGTH, end: int = END)
         # of tiny pieces a shard takes more, so that it fills some bins besides those passed on
         shards = max(1, min(math.ceil(count / SHARD), tokens // (2 * REMNANT * length)))
         packed = materialize(pack_shards(items, level, shards, length))
-        key = F.struct(F.lit(level).alias("level"), "shard", "bin").alias("sequence")
+        key = F.struct(F.lit(level).alias("level"), "shard", "bin", "generations").alias("sequence")
         done = packed
         if shards > 1:
             bins = packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
@@ -334,7 +377,8 @@ def pack(documents: DataFrame, json: str, length: int = LENGTH, end: int = END)
         placed = done if placed is None else placed.union(done)
         level += 1
     whole = numbered.filter(F.col("length") == length).select(
-        *numbered.columns, (-1 - F.col("mid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *numbered.columns, (-1 - F.col("mid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        F.lit(0).alias("generations"),
     )
     if placed is not None:
         # a sequence holds at most as many pieces as tokens
@@ -344,9 +388,9 @@ def pack(documents: DataFrame, json: str, length: int = LENGTH, end: int = END)
         )
         offsets = lists.select(
             (F.col("sequence.level") * (1 << 58) + F.col("sequence.shard") * (1 << 16) + F.col("sequence.bin")).alias("sequence_id"),
-            F.explode(F.transform("all", lambda x, i: F.struct(x["mid"].alias("mid"), before(i).alias("offset")))).alias("x"),
+            "sequence.generations", F.explode(F.transform("all", lambda x, i: F.struct(x["mid"].alias("mid"), before(i).alias("offset")))).alias("x"),
         )
-        rest = numbered.join(offsets.select("sequence_id", "x.mid", "x.offset"), "mid")
+        rest = numbered.join(offsets.select("sequence_id", "x.mid", "x.offset", "generations"), "mid")
         whole = whole.unionByName(rest.select(*whole.columns))
     return whole.drop("mid")
 

@@ -68,6 +68,27 @@ def test_crossover_keeps_every_item():
     assert len(m.evolve([50, 50, 30, 70, 20, 80, 60, 40], [], 100, "s")[0]) == 4
 
 
+def test_evolution_beats_best_fit(spark):
+    wins = 0
+    for seed in (0, 19, 23):
+        draw, sizes = random.Random(seed), []
+        for _ in range(20):  # sizes near a third of the room, three of which fill it
+            a, b = draw.randint(60, 110), draw.randint(60, 120)
+            sizes += [a, b, 256 - a - b]
+        best_fit = len(m.first_packing(sorted(sizes), 256, random.Random(0), 0.0))
+        items = spark.createDataFrame(list(enumerate(sizes)), "mid long, length long")
+        rows = m.pack_shards(items, 0, 1, 256).collect()
+        bins = {}
+        for r in rows:
+            bins[r["bin"]] = bins.get(r["bin"], 0) + r["length"]
+        assert sorted(r["mid"] for r in rows) == list(range(60)) and max(bins.values()) <= 256
+        assert len(bins) <= best_fit and all((r["generations"] > 0) == (best_fit > 20) for r in rows)
+        wins += len(bins) < best_fit
+    assert wins
+    easy = spark.createDataFrame([(i, 128) for i in range(40)], "mid long, length long")
+    assert {r["generations"] for r in m.pack_shards(easy, 0, 1, 256).collect()} == {0}
+
+
 def test_tiny_pieces_end(spark, monkeypatch):
     monkeypatch.setattr(m, "SHARD", 60)
     packed, levels = m.pack_shards, []
