@@ -1,8 +1,11 @@
 """Licence notices by an exact set-similarity join of text blocks with templates.
 
-A block is a line, a template a notice; both are sets of words. A block meets a
-template when it holds at least ``threshold`` of the template's words. Template
-words are ordered by how many blocks of the whole corpus hold them, rarest first:
+A block is a line with those after it, as far as ``WRAPPED`` lines have at most
+``WIDTH`` characters together, so a notice wrapped over lines is one block; a longer
+line is a block by itself. A template is a notice; both are sets of words. A block meets
+a template when it holds at least ``threshold`` of the template's words. Texts and blocks
+in which none of a template's few longest words occurs anywhere cannot meet it, and are
+left out before any words are taken from them. Template words are ordered by how many blocks of the whole corpus hold them, rarest first:
 
 - prefix filter: a block with enough of a template's words holds one of its first
   ``size - need + 1``, so blocks join templates on those few rare words only;
@@ -22,6 +25,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +52,8 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 THRESHOLD = 0.85
+# lines of a block of several lines, and their characters at most, line ends included
+WRAPPED, WIDTH = 8, 640
 
 
 def lowered(text: Column) -> Column:
@@ -60,7 +67,7 @@ def words_of(text: Column) -> Column:
 
 
 def _key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
 def word_sets(templates) -> list[tuple[str, list[str]]]:
@@ -69,11 +76,36 @@ def word_sets(templates) -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(re.findall(WORD, text.lower())))) for label, text in templates]
 
 
-def blocks(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Each line that holds a word of the vocabulary: key of its text, and those words as a set."""
-    line = F.explode(F.split(lowered(F.col("text")), "\n")).alias("line")
-    kept = F.array_intersect(words_of(F.col("line")), F.array(*map(F.lit, vocabulary)))
-    return documents.select(*_key(F.col("text")), line).select("k1", "k2", kept.alias("held")).filter(F.size("held") > 0)
+def _needed(size: int, threshold: float) -> int:
+    return max(1, math.ceil(threshold * size - 1e-9))
+
+
+def may_meet(text: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """Whether a text can hold enough of any template: one of the ``size - need + 1`` longest words must occur."""
+    hints = set()
+    for _, words in sets:
+        longest = sorted(words, key=lambda w: (-len(w), w))
+        hints.update(longest[: len(words) - _needed(len(words), threshold) + 1])
+    return reduce(or_, [text.contains(w) for w in sorted(hints)], F.lit(False))
+
+
+def _from_line(lines: Column, i: Column) -> Column:
+    """The block that starts with the ``i``-th line, from 1."""
+    upto = lambda k: F.array_join(F.slice(lines, i, k), "\n")
+    counts = F.sequence(F.lit(1), F.least(F.lit(WRAPPED), F.size(lines) - i + 1))
+    return upto(F.array_max(F.filter(counts, lambda k: (k == 1) | (F.length(upto(k)) <= WIDTH))))
+
+
+def blocks(documents: DataFrame, sets: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> DataFrame:
+    """Each block that may meet a template: key of its text, and its words of the templates' vocabulary as a set."""
+    vocabulary = sorted({w for _, words in sets for w in words})
+    low = documents.select(*_key(F.col("text")), lowered(F.col("text")).alias("low"))
+    lines = low.filter(may_meet(F.col("low"), sets, threshold)).select("k1", "k2", F.split("low", "\n").alias("lines"))
+    starts = F.sequence(F.lit(1), F.size("lines"))
+    rows = lines.select("k1", "k2", F.explode(F.transform(starts, lambda i: _from_line(F.col("lines"), i))).alias("block"))
+    kept = F.array_intersect(words_of(F.col("block")), F.array(*map(F.lit, vocabulary)))
+    rows = rows.filter(may_meet(F.col("block"), sets, threshold)).select("k1", "k2", kept.alias("held"))
+    return rows.filter(F.size("held") > 0).distinct()
 
 
 def find_blocks(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -81,14 +113,14 @@ def find_blocks(documents: DataFrame, templates=TEMPLATES, threshold: float = TH
     spark = documents.sparkSession
     sets = word_sets(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
-    held = materialize(blocks(documents, vocabulary))  # read twice; a line's few words of the vocabulary
+    held = materialize(blocks(documents, sets, threshold))  # read twice; a block's few words of the vocabulary
     # how many blocks hold each word of the vocabulary: one row a word
     counts = dict(held.select(F.explode("held").alias("word")).groupBy("word").count().collect())
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     rows, least = [], len(vocabulary)
     for number, (label, words) in enumerate(sets):
         ordered = sorted(rank[w] for w in words)
-        need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
+        need = _needed(len(ordered), threshold)
         least = min(least, need)
         for place, r in enumerate(ordered[: len(ordered) - need + 1]):
             rows.append((r, number, label, place, len(ordered), need, ordered))
@@ -165,10 +197,10 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Brute force: every line against every template, every word against every phrase."""
+    """Brute force: every block against every template, every word against every phrase."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     templates = ", ".join(
-        f"('{label}', {quoted(ws)}, {max(1, math.ceil(THRESHOLD * len(ws) - 1e-9))})" for label, ws in word_sets(TEMPLATES)
+        f"('{label}', {quoted(ws)}, {_needed(len(ws), THRESHOLD)})" for label, ws in word_sets(TEMPLATES)
     )
     places = " || ".join(
         f"[{{'at': i - 1, 'label': '{label}'}} for i in generate_series(1, len(w) - {len(p.split()) - 1}) "
@@ -181,8 +213,11 @@ def _sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
 w AS (SELECT r, doc_id, regexp_extract_all(low, '{word}') AS w FROM d),
 p AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, {places} AS p FROM w),
-b AS (SELECT r, list_distinct(regexp_extract_all(line, '{word}')) AS held
-      FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
+l AS (SELECT r, string_split(low, chr(10)) AS l FROM d),
+i AS (SELECT r, l, unnest(generate_series(1, len(l))) AS i FROM l),
+k AS (SELECT r, l, i, list_max([k for k in generate_series(i, least(i + {WRAPPED - 1}, len(l)))
+        if k = i or len(array_to_string(l[i:k], chr(10))) <= {WIDTH}]) AS k FROM i),
+b AS (SELECT r, list_distinct(regexp_extract_all(array_to_string(l[i:k], chr(10)), '{word}')) AS held FROM k),
 t(label, ws, need) AS (VALUES {templates}),
 m AS (SELECT r, label, len(list_intersect(held, ws)) / len(ws) AS score FROM b JOIN t
       ON len(held) >= need AND len(list_intersect(held, ws)) >= need),

@@ -127,6 +127,20 @@ def test_licences(spark):
     assert license_join.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    mit = license_join.TEMPLATES[1][1]
+    half, words = len(mit) // 2, mit.split()
+    cut = mit.index(" ", half)
+    long = "x" * 700
+    rows = [(1, "a\n" + mit[:cut] + "\n" + mit[cut + 1 :] + "\nb"), (2, mit[:cut] + "\n" + long + "\n" + mit[cut + 1 :]),
+            (3, "\n".join(words)), (4, "\n".join(words[i] + " " + words[i + 1] for i in range(0, len(words) - 1, 2))),
+            (5, " ".join(words[::-1]) + long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_join.scan(docs).collect()}
+    # blocks end after eight lines or 640 characters
+    assert got == {1: "mit", 2: "", 3: "", 4: "", 5: "mit"}
+
+
 def test_native_plans(spark):
     if os.path.isdir(SF):
         for name in ("op6_template_leaks", "op10_license_join"):
