@@ -1,7 +1,8 @@
 """Benchmark items in documents, also with other numbers, names or units.
 
-Words become templates: numbers, units and names (capitalised words that do not
-begin a sentence) turn into typed placeholders, the rest is lower-cased. Windows of
+Words become templates: numbers (``1,200`` and ``2.5`` are one each), units and names
+(capitalised words but for ``COMMON``, wherever they stand, so a sentence may begin with
+one) turn into typed placeholders, the rest is lower-cased. Windows of
 ``WINDOW`` template words are hashed and joined with the windows of the items; a
 shorter item is one window of its own length. Windows of a document and an item that
 lie on one diagonal make a run. It counts when it covers ``MIN_WORDS`` words or half
@@ -33,21 +34,33 @@ WINDOW = 8
 MIN_WORDS = 13
 # windows of items kept for a broadcast: a row is 4 numbers
 BROADCAST_WINDOWS = 400_000
+# fixed values: units of measure
 UNITS = (
-    "mm cm km ft mile miles inch inches feet yard yards mg kg lb lbs oz ton tons ml liter liters litre litres sec seconds "
-    "minutes hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents "
-    "percent degree degrees kmh mph hz khz mhz kw volt volts"
+    "mm cm km ft mile miles inch inches feet yard yards meter meters metre metres kilometer kilometers kilometre "
+    "kilometres centimeter centimeters centimetre centimetres millimeter millimeters mg kg lb lbs oz ton tons tonne tonnes "
+    "gram grams kilogram kilograms pound pounds ounce ounces ml liter liters litre litres gallon gallons pint pints cup cups "
+    "ms sec seconds min minute minutes hour hours day days week weeks month months year years decade decades century "
+    "centuries usd eur gbp dollar dollars euro euros cent cents pence percent degree degrees celsius fahrenheit kelvin kmh mph "
+    "hz khz mhz ghz kw watt watts kilowatt kilowatts volt volts amp amps ampere amperes ohm ohms joule joules newton newtons "
+    "calorie calories horsepower byte bytes kb mb gb tb acre acres hectare hectares"
+).split()
+# fixed values: words that begin sentences and are no names
+COMMON = (
+    "a about after all also although an and any are as at because been before but by can compute consider could describe did "
+    "do does each every explain find for from given had has have he her here his how however i if in is it its let many may "
+    "more most must my no not now of on once one or other our out over she should show since so some such suppose than that "
+    "the their then there these they this those though to under until up was we were what when where whether which while who "
+    "whom whose why will with would you your"
 ).split()
 
 
 def tokens(text: Column) -> Column:
-    """Words as they stand; one that begins a sentence is led by U+0001."""
-    marked = F.regexp_replace(text, r"(^|[.!?\n])([\s\"'(]*)(\p{Lu})", "$1$2\u0001$3")
-    return F.regexp_extract_all(marked, F.lit("\u0001?[\\p{L}\\p{N}]+"), F.lit(0))
+    """Words as they stand; a number with points or commas between its digits is one."""
+    return F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)+(?![\p{L}\p{N}])|[\p{L}\p{N}]+"), F.lit(0))
 
 
 def plain(word: Column) -> Column:
-    return F.lower(F.ltrim(word, F.lit("\u0001")))
+    return F.lower(word)
 
 
 def template(word: Column) -> Column:
@@ -55,15 +68,14 @@ def template(word: Column) -> Column:
     code, first, low = F.ascii(word), F.substring(word, 1, 1), F.lower(word)
     return (
         F.when((code >= 48) & (code <= 57), "<num>")
-        .when(code == 1, plain(word))
-        .when(first != F.lower(first), "<name>")
+        .when((first != F.lower(first)) & ~low.isin(COMMON), "<name>")
         .when(low.isin(UNITS), "<unit>")
         .otherwise(low)
     )
 
 
 def _key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2")]
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2")]
 
 
 def windows(templates: Column, width: int) -> Column:
