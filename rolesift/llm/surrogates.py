@@ -27,7 +27,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolesift.llm.base import arrow_map, table
@@ -57,6 +57,8 @@ _CLASSES = [
 ]
 _CLASS_OF = {c: group for group in _CLASSES for c in group}
 _HEX = "0123456789abcdef"
+# draws for an entity whose surrogate is somebody's value; from the eighth on, those that can grow do
+ROUNDS = 12
 _MARKS = "!#$%&()*+-./:<=>?@[\\]^_`{|}~"
 
 
@@ -374,9 +376,31 @@ def find(texts: DataFrame, key: bytes) -> DataFrame:
     return arrow_map(texts, batch, "node long, kind string, normal string, drawn string")
 
 
+def _of_full_shapes(known: DataFrame) -> DataFrame:
+    """(kind, normal, drawn) for entities of shapes in which (nearly) every value occurs.
+
+    Their first surrogates are one to one, and no other entity has them, so they are
+    kept; the few that stand for themselves change places with each other and one more.
+    """
+    known = materialize(known.select("kind", "normal", "drawn"))
+    alone = known.filter("drawn = normal")
+    one = known.filter("drawn != normal").groupBy("kind").agg(F.min(F.struct("normal", "drawn")).alias("x"))
+    circle = alone.union(one.join(alone.select("kind").distinct(), "kind").select("kind", "x.*"))
+    # about one value of a shape stands for itself
+    order = Window.partitionBy("kind").orderBy("normal")
+    ends = Window.partitionBy("kind")
+    turned = circle.select(
+        "kind", "normal", F.coalesce(F.lead("drawn").over(order), F.min_by("drawn", "normal").over(ends)).alias("drawn")
+    )
+    turned = materialize(turned)
+    return known.join(turned.select("kind", "normal"), ["kind", "normal"], "left_anti").union(turned)
+
+
 def redrawn(known: DataFrame, key: bytes) -> DataFrame:
     """(kind, normal, drawn): new surrogates for the entities ``(kind, normal, drawn)`` whose
-    own is an original of the corpus or another one's surrogate."""
+    own is an original of the corpus or another one's surrogate. Where a finite shape (all of
+    one private network) occurs so fully that ``ROUNDS`` draws find nothing free, surrogates
+    are distinct still but may be values of others."""
     originals = known.select("kind", F.col("normal").alias("drawn"))
     clashing = materialize(known.join(originals, ["kind", "drawn"], "left_semi").select("kind", "normal"))
     done = None
@@ -398,8 +422,10 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame:
         taken = taken.union(won.select("kind", "drawn"))
         done = won if done is None else done.union(won)
         attempt += 1
-        if attempt > 200:
-            raise ValueError("a shape of personal data has no surrogates left")
+        if attempt > ROUNDS:
+            full = _of_full_shapes(known.join(clashing, ["kind", "normal"], "left_semi"))
+            done = full if done is None else done.union(full)
+            break
     return known.limit(0).select("kind", "normal", "drawn") if done is None else done
 
 

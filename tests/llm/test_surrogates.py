@@ -109,3 +109,14 @@ def test_full_pools_keep_names(spark):
     for n, x in zip(names, new):
         pool = next(pool.split() for pool in m.NAMES.values() if n in pool.split())
         assert set(x.split("-")) <= set(pool) - {n}
+
+
+def test_full_shapes_keep_distinct_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(m, "ROUNDS", 2)
+    values = [f"+1{i:04d}" for i in range(30)]
+    drawn = values[:3] + values[4:] + values[3:4]  # three stand for themselves, the others take turns
+    known = spark.createDataFrame(list(zip(["phone"] * 30, values, drawn)), "kind string, normal string, drawn string")
+    monkeypatch.setattr(m, "surrogate", lambda kind, normal, key, attempt=0: values[(int(normal[2:]) + attempt) % 30])
+    got = {r["normal"]: r["drawn"] for r in m.redrawn(known, KEY).collect()}
+    assert sorted(got) == sorted(got.values()) == values
+    assert all(a != b for a, b in got.items())
