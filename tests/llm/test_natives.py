@@ -168,3 +168,19 @@ def test_copies_with_an_edited_mention(spark):
         spark.createDataFrame([(1, torn.replace("3 sacks", "5 sacks"))], "doc_id long, text string"),
         spark.createDataFrame([(1, torn)], "item_id long, text string"),
     ).count() == 1
+
+
+def test_changed_names_numbers_and_units(spark):
+    items = [(1, "Tom has 5 apples in his basket. Tom buys 3 more at the market before he walks 12 miles home with them all."),
+             (2, "A shop sells pens at 3 dollars for each box of ten and the school pays 450 dollars in all this year.")]
+    other = items[0][1].replace("Tom", "Ann").replace("5", "7").replace("3", "1,200").replace("12 miles", "40 kilometers")
+    docs = [
+        (1, other),
+        (2, items[1][1].replace("3 d", "2.5 d").replace("450", "1,375")),
+        (3, other.replace("Ann buys", "Bob buys")),
+    ]
+    got = template_leaks.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).select("doc_id", "item_id", "exact").collect()
+    # the third has two names for one
+    assert sorted(map(tuple, got)) == [(1, 1, False), (2, 2, False)]
