@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.llm.base import arrow_map, table
-from rolesift.session import materialize
+from rolesift.session import materialize, release
 
 LENGTH = 4096
 END = 1
@@ -350,8 +350,9 @@ def pack_shards(items: DataFrame, level: int, shards: int, capacity: int) -> Dat
 
 def pack(documents: DataFrame, json: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    numbered = materialize(pieces(documents, json, length, end))
-    numbered = materialize(numbered.withColumn("mid", F.monotonically_increasing_id()))
+    tokenised = materialize(pieces(documents, json, length, end))
+    numbered = materialize(tokenised.withColumn("mid", F.monotonically_increasing_id()))
+    release(tokenised)
     items = numbered.filter(F.col("length") < length).select("mid", "length")
     placed, level = None, 0
     measure = lambda x: x.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
