@@ -15,6 +15,7 @@ and ``job_url_template``.
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rolesift.functions import urls
+from rolesift.functions.slices import in_slices
 from rolesift.functions.text import (
     blank_to_null,
     clean,
@@ -41,7 +43,7 @@ from rolesift.functions.variants import (
     joined,
     member,
     parse_document,
-    path_pair,
+    path_steps,
     scalar_text,
     strict_json,
     text_of,
@@ -90,14 +92,11 @@ ROWS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _FIEL
 
 
 @F.arrow_udf(ROWS)
-def _unescape_rows(rows: pa.Array) -> pa.Array:
-    return pa.array(
-        [
-            None if page is None else [{k: v and html.unescape(v) for k, v in row.items()} for row in page]
-            for page in rows.to_pylist()
-        ],
-        to_arrow_type(ROWS),
-    )
+def _unescape_rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def unescaped(pages: list) -> list:
+        return [None if page is None else [{k: v and html.unescape(v) for k, v in row.items()} for row in page] for page in pages]
+
+    return in_slices(batches, unescaped, to_arrow_type(ROWS))
 
 
 def _row(source: str, **fields: Column) -> Column:
@@ -166,7 +165,7 @@ _TEXT_FIELDS = ["url", "title", "location", "description", "posted_at", "slug"]
 
 
 def generic_json_rows(doc: Column, jobs_path: Column, paths: Column) -> Column:
-    """Rows named by configured paths; ``paths`` holds :func:`path_pair` per field."""
+    """Rows named by configured paths; ``paths`` holds :func:`path_steps` per field."""
 
     def rows(pairs: Column) -> Column:
         def row(item: Column) -> Column:
@@ -507,7 +506,7 @@ def _document_and_paths() -> Column:
         "_doc": F.when(readable, parse_document(F.col("content"))),
         "_readable": readable,
         "_jobs_path": F.when(generic_html & ~tuned, "data").otherwise(listed),
-        "_paths": F.transform_values(named, lambda _, v: path_pair(F.trim(v))),
+        "_paths": F.transform_values(named, lambda _, v: path_steps(F.trim(v))),
     }
     return F.array(F.struct(*[c.alias(n) for n, c in named_here.items()]))
 

@@ -1,4 +1,6 @@
-from rolesift.operators.html_nodes import compile_selector, read_elements
+import pyarrow as pa
+
+from rolesift.operators.html_nodes import _parse_pages, compile_selector, read_elements
 
 
 def tags(html):
@@ -48,3 +50,11 @@ def test_positions_siblings_and_negation():
     assert hits(page, "li.k + li") == [2, 4] and hits(page, "li.k ~ li") == [2, 3, 4] and hits(page, "ul ~ p") == [5, 6] and hits(page, "p+b") == [7]
     assert hits(page, "p:empty") == [5] and hits(page, "[lang|=en]") == [6] and hits(page, ":is(p, b):last-of-type") == [6, 7] and hits(page, "b:only-of-type") == [7]
     assert compile_selector("a::before") is None and compile_selector("li:not(") is None and compile_selector("a:has(b)") is None
+
+
+def test_a_batch_of_pages_is_walked_in_slices():
+    pages = ["<p>%d %s</p>" % (i, "x" * 3000) for i in range(2000)] + [None]
+    got = list(_parse_pages(iter([(pa.array(pages), pa.nulls(2001, pa.map_(pa.string(), pa.string())))]), True))
+    assert len(got) > 4 and max(a.nbytes for a in got) < 5 << 20
+    whole = [page for a in got for page in a.to_pylist()]
+    assert [p and int(p[0]["text"].split()[0]) for p in whole] == [*range(2000), None]
