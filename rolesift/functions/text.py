@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolesift.functions.slices import in_slices
+
 # Unicode white space plus the four ASCII separator controls that Java's
 # White_Space property leaves out.
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
@@ -29,10 +32,8 @@ def clean(c: Column) -> Column:
 
 
 @F.arrow_udf(T.StringType())
-def _unescape(texts: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string()
-    )
+def _unescape(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return in_slices(batches, lambda texts: [None if t is None else html.unescape(t) for t in texts], pa.string())
 
 
 def unescape(c: Column) -> Column:
@@ -185,9 +186,11 @@ def timestamp_of_text(c: Column) -> Column:
 
         return let(parts, build)
 
+    # texts of no shape stop here: a time made of their missing parts would be an exception for each
     shaped = F.when(c.rlike(_ISO), c).when(dashed.rlike(_ISO), dashed)
-    return F.coalesce(iso(shaped), F.when(shaped.isNull() & c.rlike(_MAIL), mail(c)))
+    return let(shaped, lambda s: F.when(s.isNotNull(), iso(s)).when(c.rlike(_MAIL), mail(c)))
 
 
 def parse_datetime(c: Column) -> Column:
-    return timestamp_of_text(compact(c))
+    # bound once: the shapes ask for the text a dozen times
+    return let(compact(c), timestamp_of_text)
