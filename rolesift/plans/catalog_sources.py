@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rolesift.functions import urls
 from rolesift.operators import pages as pg
 from rolesift.operators import rules
-from rolesift.plans.catalog_base import table
+from rolesift.plans.catalog_base import table, texts
 from rolesift.plans.catalog_pages import _sql_links, event_copies
 from rolesift.plans.jobs import RunParams, load_sources, run_once
 from rolesift.session import shared_folder
@@ -199,7 +199,8 @@ def config_folder(spark, sf) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     folder = f"{shared_folder(spark)}/configs-{uuid.uuid4().hex}"
     families = F.array(*map(F.lit, ["lever", "greenhouse", "workday"]))
-    table(spark, sf, "supplier").select(
+    # a file a supplier: spread over the cores, as a small table would be written by one task
+    texts(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey").select(
         F.concat(F.lit(" c"), key).alias("id"), F.col("s_name").alias("company_name"), F.concat(F.lit("https://x.org/"), key).alias("careers_url"),
         F.element_at(families, (F.col("s_suppkey") % 3 + 1).cast("int")).alias("parser_type"), F.when(F.col("s_nationkey") > 9, "DE").alias("country_hint"),
         (F.col("s_suppkey") % 7 != 0).alias("enabled"),

@@ -190,3 +190,15 @@ def test_config_folder(spark, tmp_path):
     assert [(r["rule"], r["message"]) for r in found] == [("selector_forms", "selectors that cannot be matched: a:hover")]
     with pytest.raises(ValueError):
         load_sources(spark, str(folder))
+
+
+def test_config_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from rolesift.plans import catalog_sources
+
+    monkeypatch.setattr(catalog_sources, "shared_folder", lambda _: str(tmp_path))
+    rows = [(i, f"S {i}", i % 25) for i in range(40)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog_sources.config_folder(spark, str(tmp_path)).collect()
+    assert {r["source_id"]: r["pages"] for r in got} == {f"c{i}": i % 25 % 4 + 1 for i, _, _ in rows}
+    files = [f.name for f in tmp_path.glob("configs-*/*.json")]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
