@@ -206,21 +206,34 @@ def _words(data: np.ndarray) -> np.ndarray:
     return w
 
 
-def suffix_array(data: np.ndarray, places: np.ndarray, room: np.ndarray, least: int):
+def suffix_array(data: np.ndarray, places: np.ndarray, room: np.ndarray, least: int, words: np.ndarray | None = None):
     """(order, lcp) of the suffixes at some places, each ``room`` bytes long and no less than ``least``.
 
-    ``lcp[i]`` is the length of the prefix that suffix i shares with the one before it.
+    ``lcp[i]`` is the length of the prefix that suffix i shares with the one before it, or less
+    than ``least`` as that is. Suffixes with a common prefix of ``least`` bytes are in order and together.
     """
-    words, keys = _words(data), []
+    words, keys = _words(data) if words is None else words, []
     for k in range((int(room.max(initial=least)) + 7) // 8):
-        left = np.clip(room - 8 * k, 0, 8).astype(np.uint64)
         word = words[np.minimum(places + 8 * k, len(words) - 1)]
-        mask = np.where(left > 0, np.uint64(_M64) << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1)))), np.uint64(0))
-        keys.append(word & mask)
-    order = np.lexsort((room, *reversed(keys)))
+        if 8 * k + 8 > least:
+            left = np.clip(room - 8 * k, 0, 8).astype(np.uint64)
+            mask = np.where(left > 0, np.uint64(_M64) << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1)))), np.uint64(0))
+            word = word & mask
+        keys.append(word)
+    # every suffix has these words; suffixes that share them meet by one hash of them
+    whole = least // 8
+    head = np.zeros(len(places), np.uint64)
+    for key in keys[:whole]:
+        head = mix(head * np.uint64(31) + key)
+    order = np.lexsort((room, *reversed(keys[whole:]), head))
+    a, b = order[:-1], order[1:]
+    open_ = np.flatnonzero(head[a] == head[b]) + 1
+    if any((key[order[open_ - 1]] != key[order[open_]]).any() for key in keys[:whole]):  # two heads of one hash
+        order, whole = np.lexsort((room, *reversed(keys))), 0
+        open_ = np.arange(1, len(order))
     lcp = np.zeros(len(order), np.int64)
-    open_ = np.arange(1, len(order))
-    for key in keys:
+    lcp[open_] = 8 * whole
+    for key in keys[whole:]:
         a, b = key[order[open_ - 1]], key[order[open_]]
         differ = a ^ b
         some = differ != 0
@@ -233,14 +246,38 @@ def suffix_array(data: np.ndarray, places: np.ndarray, room: np.ndarray, least:
     return order, lcp
 
 
+def even_runs(lcp: np.ndarray, before: np.ndarray, docs: np.ndarray, least: int):
+    """Runs of neighbours that share at least ``least`` bytes: the maximal repeats, as arrays ``(first, last,
+    length, least document)``, among those that are one interval of the tree, and the starts of the others."""
+    high = np.concatenate((lcp >= least, [False]))
+    starts = np.flatnonzero(high & ~np.concatenate(([False], high[:-1])))
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return (none, none, none, none), none
+    ends = np.flatnonzero(~high & np.concatenate(([False], high[:-1])))
+    over = lambda f, values, first: f.reduceat(np.append(values, 0), np.stack((first, ends), 1).ravel())[::2]
+    length = over(np.minimum, lcp, starts)
+    even = length == over(np.maximum, lcp, starts)
+    first = starts - 1
+    low, byte = over(np.minimum, docs, first), over(np.minimum, before, first)
+    maximal = even & (low < over(np.maximum, docs, first)) & ((byte < 0) | (byte != over(np.maximum, before, first)))
+    return (first[maximal], ends[maximal] - 1, length[maximal], low[maximal]), starts[~even]
+
+
 def maximal_repeats(lcp: np.ndarray, before: np.ndarray, docs: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
     """(first, last, length, least document) of the intervals of the tree that are maximal repeats
     and lie in more than one document. ``before`` is the byte before each suffix, or a number of
     its own (below 0) where none is known. Inner intervals come first."""
+    even, uneven = even_runs(lcp, before, docs, least)
+    return [*zip(*(c.tolist() for c in even)), *_scanned(uneven, lcp, before, docs, least)]
+
+
+def _scanned(starts: np.ndarray, lcp: np.ndarray, before: np.ndarray, docs: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """The maximal repeats of the runs that start there, by a stack of open intervals."""
     found = []
     n = len(lcp)
     values, left, doc = lcp.tolist(), before.tolist(), docs.tolist()
-    for run_first in np.flatnonzero((lcp >= least) & (np.concatenate(([0], lcp[:-1])) < least)).tolist():
+    for run_first in starts.tolist():
         # suffixes run_first - 1 .. run_last share at least ``least`` bytes
         stack: list[list] = []  # [length, first, byte before or None if they differ, least id, greatest id]
         i = run_first
@@ -305,12 +342,17 @@ def _in_bucket(least: int):
         piece, step, place = piece[live], step[live], place[live]
         if not len(piece):
             return _table([])
-        order, lcp = suffix_array(text, place, length[piece] - step, least)
+        order, lcp = suffix_array(text, place, length[piece] - step, least, words)
         piece, step, place = piece[order], step[order], place[order]
         before = np.where(step > 0, text[np.maximum(place - 1, 0)].astype(np.int64), -1)
         docs = ids[piece]
         cover = np.zeros(len(piece), np.int64)
-        for first, last, size, low in maximal_repeats(lcp, before, docs, least):
+        even, uneven = even_runs(lcp, before, docs, least)
+        # these do not overlap
+        many = even[1] - even[0] + 1
+        at = np.repeat(even[0] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        cover[at] = np.where(docs[at] > np.repeat(even[3], many), np.repeat(even[2], many), 0)
+        for first, last, size, low in _scanned(uneven, lcp, before, docs, least):
             span = slice(first, last + 1)
             cover[span] = np.maximum(cover[span], np.where(docs[span] > low, size, 0))
         hit = np.flatnonzero(cover)

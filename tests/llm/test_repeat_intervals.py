@@ -64,3 +64,48 @@ def test_groups_are_maximal_and_whole():
     groups = m.maximal_repeats(lcp, before[order].astype(np.int64), docs[order], 5)
     named = {(bytes(data[places[order[f]] : places[order[f]] + n]), tuple(sorted(docs[order[f : last + 1]].tolist()))) for f, last, n, _ in groups}
     assert named == {(b"HELLOWORLD1", (0, 3)), (b"HELLOWORLD", (0, 1, 3)), (b"HELLOW", (0, 1, 2, 3))}
+
+
+def _suffixes(texts, least):
+    import numpy as np
+
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum([0, *map(len, texts)])[:-1]
+    n = [len(t) - least + 1 for t in texts]
+    places = np.concatenate([b + np.arange(k) for b, k in zip(begin, n)])
+    docs = np.repeat(np.arange(len(texts)), n)
+    room = np.concatenate([len(t) - np.arange(k) for t, k in zip(texts, n)])
+    before = np.where(places == begin[docs], -1, data[np.maximum(places - 1, 0)].astype(np.int64))
+    return data, places, room, docs, before
+
+
+def test_only_uneven_runs_are_scanned():
+    import numpy as np
+
+    draw = random.Random(8)
+    base = "".join(draw.choice("abcd") for _ in range(400)).encode()
+    texts = [base[a : a + draw.randint(12, 60)] for a in (draw.randrange(330) for _ in range(60))]
+    data, places, room, docs, before = _suffixes(texts, 10)
+    order, lcp = m.suffix_array(data, places, room, 10)
+    before, docs = before[order], docs[order]
+    every = np.flatnonzero((lcp >= 10) & (np.concatenate(([0], lcp[:-1])) < 10))
+    even, uneven = m.even_runs(lcp, before, docs, 10)
+    assert 0 < len(even[0]) and 0 < len(uneven) < len(every)
+    assert sorted(m.maximal_repeats(lcp, before, docs, 10)) == sorted(m._scanned(every, lcp, before, docs, 10))
+
+
+def test_heads_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    draw = random.Random(4)
+    texts = [bytes(draw.choice(b"ab") for _ in range(draw.randint(17, 40))) for _ in range(30)]
+    found = []
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(m, "mix", lambda x: x * np.uint64(0))
+        data, places, room, docs, before = _suffixes(texts, 16)
+        order, lcp = m.suffix_array(data, places, room, 16)
+        groups = m.maximal_repeats(lcp, before[order], docs[order], 16)
+        name = lambda f, n: bytes(data[places[order[f]] : places[order[f]] + n])
+        found.append({(name(f, n), tuple(sorted(places[order[f : last + 1]].tolist()))) for f, last, n, _ in groups})
+    assert found[0] == found[1]
