@@ -45,8 +45,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # no band of 67 is shared with probability 1.4e-7 at that similarity
 BANDS, ROWS = 67, 7
-# shingles of the documents whose signatures are made at once
-_CHUNK = 300_000
+# words and texts whose signatures or shingles are made at once: darts are many for each text, short or long
+_CHUNK, _CHUNK_TEXTS = 100_000, 150
 # two numbers a row: 16 MB
 _BROADCAST_IDS = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -192,7 +192,7 @@ def _signed(rows: pa.RecordBatch, bands: int, n_rows: int) -> pa.RecordBatch:
     for text in texts:
         chunk.append(words_of(text.as_py()))
         held += len(chunk[-1])
-        if held > _CHUNK:
+        if held > _CHUNK or len(chunk) >= _CHUNK_TEXTS:
             flush()
     if chunk:
         flush()
@@ -217,7 +217,8 @@ def similarity(a: Sequence[bytes], b: Sequence[bytes]) -> float:
 
 def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, text)`` of the nodes, once each, staged."""
-    return materialize(texts.join(broadcast_if_small(nodes), "node", "left_semi").dropDuplicates(["node"]))
+    mine = broadcast_if_small(nodes, _BROADCAST_IDS)
+    return materialize(texts.join(mine, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -309,13 +310,18 @@ def _classes(documents: DataFrame, least: float, bands: int, rows: int) -> DataF
     """``(doc_id, node, root)`` of every document, staged."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    signed = materialize(
-        arrow_map(texts, lambda b: _signed(b, bands, rows), "doc_id long, node long, n long, bands array<long>")
-    )
-    nodes = signed.filter("n > 0").dropDuplicates(["node"])
+    signed = arrow_map(texts, lambda b: _signed(b, bands, rows), "doc_id long, node long, n long, bands array<long>")
+    signed = materialize(signed.withColumn("nth", F.monotonically_increasing_id()))
+    # the first row of each text stands for it; only the numbers of texts that come again are moved for that
+    again = signed.filter("n > 0").groupBy("node").agg(F.min("nth").alias("first"), F.count("*").alias("times"))
+    again = materialize(again.filter("times > 1").select("node", "first"))
+    nodes = signed.filter("n > 0").join(broadcast_if_small(again, _BROADCAST_IDS), "node", "left")
+    nodes = nodes.filter("first is null or first = nth")
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("of")).filter("of > 1")
-    met = materialize(buckets.join(shared, "bucket").select("bucket", "node", "n", "of"))
+    # bands move once: a bucket is counted where its rows are
+    met = buckets.withColumn("of", F.count("*").over(Window.partitionBy("bucket"))).filter("of > 1")
+    met = materialize(met.select("bucket", "node", "n", "of"))
+    release(again)
     # the member that meets most others is the likeliest to be near all of them: of many
     # copies of one text, each changed elsewhere, it is that text
     degree = met.groupBy("node").agg(F.sum("of").alias("degree"))

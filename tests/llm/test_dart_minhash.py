@@ -110,3 +110,29 @@ def test_large_buckets_lose_no_link(spark):
 def test_similar_texts_share_a_band():
     p = m.SIMILARITY**m.ROWS
     assert (1 - p) ** m.BANDS < 2e-7
+
+
+def test_signatures_are_made_for_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    made, signatures = [], m.signatures
+    monkeypatch.setattr(m, "signatures", lambda *rest: made.append(rest[3]) or signatures(*rest))
+    texts = [f"only four short words {i}" for i in range(1000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], ["doc_id", "node", "text"])
+    assert m._signed(rows, m.BANDS, m.ROWS).num_rows == 1000
+    assert sum(made) == 1000 and max(made) <= 200
+
+
+def test_bands_and_texts_are_not_moved_twice(spark, monkeypatch):
+    # only the columns of a bucket's rows are sorted into buckets, and whole texts only where ids are too many to send
+    bounds, plans, materialize, small = [], [], m.materialize, m.broadcast_if_small
+    monkeypatch.setattr(m, "broadcast_if_small", lambda side, *most: bounds.append(most) or small(side, *most))
+    monkeypatch.setattr(m, "materialize", lambda rows: plans.append(rows) or materialize(rows))
+    base = prose(31, 60)
+    docs = spark.createDataFrame([(i, base if i % 3 else prose(40 + i, 60)) for i in range(12)], "doc_id long, text string")
+    got = m.near_duplicates(docs).select("doc_id", "class_size").collect()
+    assert sorted(map(tuple, got)) == [(i, 8 if i % 3 else 1) for i in range(12)]
+    met = next(p for p in plans if p.columns == ["bucket", "node", "n", "of"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(bucket") == 1 and "first(bands" not in plan
+    assert (m._BROADCAST_IDS,) in bounds and () not in bounds
