@@ -21,18 +21,22 @@ a text are those of its parts between ASCII white space, and parts come again.
 
 from __future__ import annotations
 
+import json as json_
 import math
 import random
+import string
 import sys
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolesift.functions.slices import slices
 from rolesift.llm.base import arrow_map, table
 from rolesift.session import materialize, release
 
@@ -43,7 +47,10 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 6, 24
 # bins of each shard that are packed again with those of the others
 REMNANT = 3
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 1_000_000
+# a worker knows at most twice as many parts, besides those of one call
+_CACHE_WORDS = 350_000
+# text tokenised at once
+_SLICE_BYTES = 1 << 18
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
@@ -58,39 +65,50 @@ class WordIds:
     """Ids of texts as little-endian 32-bit numbers, by a bounded memory of their parts."""
 
     def __init__(self, json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(json)
+        # the same model for units that the normaliser would not change and the pre-tokeniser not cut
+        self.units = Tokenizer.from_str(json_.dumps(json_.loads(json) | {"normalizer": None}))
+        self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
+        # byte-level models write these bytes as the letters from 256 on, in their order, others as themselves
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden) if b != 32}
         self.known: dict[bytes, bytes] = {}
+        # parts known earlier, which come back when met again
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, parts: Iterable[bytes]) -> None:
-        """Tokenise new parts. Plain words, which are one unit of the tokenizer each, go
-        in one call and are told apart by the ids that end a word; the rest go one by one."""
-        plain, rest = [], []
+        """Tokenise new parts. Plain words and the marks after them, which are one unit of the tokenizer
+        each, go in one call and are told apart by the ids that end a unit; the rest go one by one."""
+        plain, units, counts, rest = [], [], [], []
         for part in parts:
             text = part.decode("utf-8", "replace")
-            word, mark = (text[:-1], text[-1]) if text[-1] in ".,!?;:" else (text, "")
-            if word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-                plain.append((part, word, mark))
+            word = text.rstrip(string.punctuation)
+            if word.isalpha() and word.lower() == word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+                plain.append(part)
+                units.append(word)
+                counts.append(1)
+                if len(word) < len(text):
+                    units.append(text[len(word) :])
+                    counts[-1] = 2
             else:
                 rest.append(part)
-        words = list({w for _, word, mark in plain for w in (word, mark) if w})
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        if units:
+            line = " ".join(units)
+            if not line.isascii():  # the model knows bytes beyond ASCII by letters of theirs
+                line = line.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.units.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(words):
-                rest += [part for part, _, _ in plain]
-                plain = []
+            if len(cuts) != len(units):
+                rest += plain
             else:
-                data, of, last = ids.tobytes(), {}, 0
-                for word, cut in zip(words, cuts.tolist()):
-                    of[word] = data[last:cut]
-                    last = cut
-                for part, word, mark in plain:
-                    self.known[part] = of[word] + of[mark] if mark else of[word]
+                data, ends = ids.tobytes(), cuts[np.cumsum(counts) - 1].tolist()
+                self.known.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)]))
         if rest:
             found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
             for part, one in zip(rest, found):
@@ -104,8 +122,12 @@ class WordIds:
     def of(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         parts = [self.lowered((t or "").encode("utf-8", "replace")).split() for t in texts]
         if len(self.known) > _CACHE_WORDS:
-            self.known = {}
-        self.learn({p for one in parts for p in one}.difference(self.known))
+            self.known, self.older = {}, self.known
+        new = set(chain.from_iterable(parts)).difference(self.known)
+        again = new.intersection(self.older)
+        for part in again:
+            self.known[part] = self.older[part]
+        self.learn(new - again)
         get = self.known.__getitem__
         for one in parts:
             yield b"".join(map(get, one))
@@ -128,10 +150,9 @@ def pieces(documents: DataFrame, json: str, length: int = LENGTH, end: int = END
         ids_of = _word_ids(sent.value)
         last = end.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                rows = whole.slice(at, 1000)
+            for doc_ids, texts in slices((whole.column("doc_id"), whole.column("text")), _SLICE_BYTES):
                 out = []
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), ids_of.of(rows.column("text").to_pylist())):
+                for doc_id, ids in zip(doc_ids.to_pylist(), ids_of.of(texts.to_pylist())):
                     ids += last
                     for piece, start in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[start : start + 4 * length]

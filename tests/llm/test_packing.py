@@ -105,3 +105,18 @@ def test_tiny_pieces_end(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in rows) == list(range(600))
         assert check(rows, length) <= 1.1 * sum(r["length"] for r in rows) / length + 1
     assert len(levels) > 2
+
+
+def test_known_parts_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(m, "_CACHE_WORDS", 50)
+    json = m.tokenizer_json()
+    tokenizer, ids_of = Tokenizer.from_str(json), m.WordIds(json)
+    marks = ["", ",", "!!", "&&&", "'", "'s", "***.", "<|", "_"]
+    for i in range(30):
+        words = prose(i, 15).split() + ["étude", "ÉTUDE", "Abc", "ﬁn", "ǅ", "straße", "Σας", "日本", "naı\u0308ve", "the"]
+        text = " ".join(w + marks[(i + k) % len(marks)] for k, w in enumerate(words))
+        (ids,) = ids_of.of([text])
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(ids_of.known) + len(ids_of.older) <= 2 * (50 + len(words))
