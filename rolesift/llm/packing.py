@@ -48,9 +48,7 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 6, 24
 REMNANT = 3
 TOKENIZER = "word_bpe_49k.json"
 # a worker knows at most twice as many parts, besides those of one call
-_CACHE_WORDS = 350_000
-# text tokenised at once
-_SLICE_BYTES = 1 << 18
+_CACHE_WORDS = 500_000
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
@@ -124,7 +122,8 @@ class WordIds:
         if len(self.known) > _CACHE_WORDS:
             self.known, self.older = {}, self.known
         new = set(chain.from_iterable(parts)).difference(self.known)
-        again = new.intersection(self.older)
+        # intersection would go over all of the dict
+        again = {part for part in new if part in self.older}
         for part in again:
             self.known[part] = self.older[part]
         self.learn(new - again)
@@ -150,7 +149,7 @@ def pieces(documents: DataFrame, json: str, length: int = LENGTH, end: int = END
         ids_of = _word_ids(sent.value)
         last = end.to_bytes(4, "little")
         for whole in batches:
-            for doc_ids, texts in slices((whole.column("doc_id"), whole.column("text")), _SLICE_BYTES):
+            for doc_ids, texts in slices((whole.column("doc_id"), whole.column("text"))):
                 out = []
                 for doc_id, ids in zip(doc_ids.to_pylist(), ids_of.of(texts.to_pylist())):
                     ids += last
