@@ -15,24 +15,24 @@ Only documents longer than a sequence are cut; full pieces are sequences at once
 Null text counts as empty and is its end token alone. Repeated rows are packed each.
 An empty table gives no rows.
 
-Words are tokenised once in a worker: the tokenizer drops white space, so the ids of
-a text are those of its parts between ASCII white space, and parts come again.
+Words are tokenised once in a worker: the tokenizer drops white space and cuts marks from
+words, so the ids of a text are those of its parts, and parts come again.
 """
 
 from __future__ import annotations
 
 import json as json_
 import math
+import os
 import random
-import string
 import sys
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +48,14 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 6, 24
 REMNANT = 3
 TOKENIZER = "word_bpe_49k.json"
 # a worker knows at most twice as many parts, besides those of one call
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
+# words of one call of the tokenizer
+_CALL = 5000
+# texts are cut up and put together in Arrow and numpy, which take less room than Python values
+_SLICE_BYTES = 2 << 20
+# a run of marks between a letter and white space is a unit of its own; letters that lower case or
+# composing makes end in a mark (as in Turkish or Hindi) are left out
+_MARKS = (r"([a-zß-öø-įı-ž])([!-/:-@\[-`{-~]+)([ \t\n\r])", r"\1 \2\3")
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
@@ -65,6 +72,8 @@ class WordIds:
     def __init__(self, json: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # a task has one core, and threads keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(json)
         # the same model for units that the normaliser would not change and the pre-tokeniser not cut
         self.units = Tokenizer.from_str(json_.dumps(json_.loads(json) | {"normalizer": None}))
@@ -76,60 +85,73 @@ class WordIds:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(256 + i) for i, b in enumerate(hidden) if b != 32}
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         # parts known earlier, which come back when met again
-        self.older: dict[bytes, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, parts: Iterable[bytes]) -> None:
-        """Tokenise new parts. Plain words and the marks after them, which are one unit of the tokenizer
-        each, go in one call and are told apart by the ids that end a unit; the rest go one by one."""
-        plain, units, counts, rest = [], [], [], []
+    def learn(self, parts: Sequence[str]) -> None:
+        """Tokenise new parts. Plain words, which are one unit of the tokenizer each, go in calls of
+        many and are told apart by the ids that end a unit; the rest go one by one."""
+        plain, beyond, rest = [], [], []
         for part in parts:
-            text = part.decode("utf-8", "replace")
-            word = text.rstrip(string.punctuation)
-            if word.isalpha() and word.lower() == word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-                plain.append(part)
-                units.append(word)
-                counts.append(1)
-                if len(word) < len(text):
-                    units.append(text[len(word) :])
-                    counts[-1] = 2
-            else:
+            if not part.isalpha() or part.lower() != part:
                 rest.append(part)
-        if units:
-            line = " ".join(units)
-            if not line.isascii():  # the model knows bytes beyond ASCII by letters of theirs
-                line = line.encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.units.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(units):
-                rest += plain
+            elif part.isascii():
+                plain.append(part)
             else:
-                data, ends = ids.tobytes(), cuts[np.cumsum(counts) - 1].tolist()
-                self.known.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        if rest:
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-            for part, one in zip(rest, found):
-                self.known[part] = np.array(one.ids, np.uint32).tobytes()
+                (beyond if unicodedata.is_normalized("NFC", part) else rest).append(part)
+        for words in (plain, beyond):
+            for start in range(0, len(words), _CALL):
+                units = words[start : start + _CALL]
+                line = " ".join(units)
+                if words is beyond:  # the model knows bytes beyond ASCII by letters of theirs
+                    line = line.encode().decode("latin-1").translate(self.letters)
+                ids = np.array(self.units.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+                ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(ends) != len(units):
+                    rest += units
+                else:
+                    data, ends = ids.tobytes(), ends.tolist()
+                    self.known.update(zip(units, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        for start in range(0, len(rest), _CALL):
+            some = rest[start : start + _CALL]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[part] = np.array(found.ids, np.uint32).tobytes()
 
     @staticmethod
-    def lowered(data: bytes) -> bytes:
-        """A-Z in lower case, as the tokenizer has them, unless a special token may be written there."""
-        return data if b"<|" in data else data.lower()
-
-    def of(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        parts = [self.lowered((t or "").encode("utf-8", "replace")).split() for t in texts]
+    def parts(texts: pa.Array) -> pa.ListArray:
+        """The parts of texts: between white space, A-Z in lower case as the tokenizer has them, marks
+        after a word apart from it. Texts where a special token may be written keep cases and marks."""
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), *_MARKS)
+        special = pc.match_substring(texts, "<|")
+        return pc.ascii_split_whitespace(pc.if_else(special, texts, plain) if pc.any(special).as_py() else plain)
+
+    def of(self, texts: pa.Array | Sequence[str | None]) -> Iterator[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        lists = self.parts(texts.fill_null(""))
+        places = lists.flatten().dictionary_encode()
+        # an object array is made many times faster than a list
+        met = places.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > _CACHE_WORDS:
             self.known, self.older = {}, self.known
-        new = set(chain.from_iterable(parts)).difference(self.known)
-        # intersection would go over all of the dict
-        again = {part for part in new if part in self.older}
-        for part in again:
-            self.known[part] = self.older[part]
-        self.learn(new - again)
-        get = self.known.__getitem__
-        for one in parts:
-            yield b"".join(map(get, one))
+        found = list(map(self.known.get, met))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        again = [(part, ids) for part in met[gaps] if (ids := self.older.get(part)) is not None]
+        self.known.update(again)
+        self.learn([part for part in met[gaps] if part not in self.known])
+        for i in gaps:
+            found[i] = self.known[met[i]]
+        # the ids of each place, one after the other
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, of = np.cumsum(lengths) - lengths, places.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(lengths[of])]
+        ids = np.repeat(starts[of] - ends[:-1], lengths[of])
+        ids += np.arange(len(ids))
+        ids = np.frombuffer(b"".join(found), "<u4")[ids]
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        for start, stop in zip(cuts, cuts[1:]):
+            yield ids[start:stop].tobytes()
 
 
 def _word_ids(json: str) -> WordIds:
@@ -149,9 +171,9 @@ def pieces(documents: DataFrame, json: str, length: int = LENGTH, end: int = END
         ids_of = _word_ids(sent.value)
         last = end.to_bytes(4, "little")
         for whole in batches:
-            for doc_ids, texts in slices((whole.column("doc_id"), whole.column("text"))):
+            for doc_ids, texts in slices((whole.column("doc_id"), whole.column("text")), _SLICE_BYTES):
                 out = []
-                for doc_id, ids in zip(doc_ids.to_pylist(), ids_of.of(texts.to_pylist())):
+                for doc_id, ids in zip(doc_ids.to_pylist(), ids_of.of(texts)):
                     ids += last
                     for piece, start in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[start : start + 4 * length]

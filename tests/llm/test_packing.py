@@ -120,3 +120,24 @@ def test_known_parts_are_bounded(monkeypatch):
         (ids,) = ids_of.of([text])
         assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert len(ids_of.known) + len(ids_of.older) <= 2 * (50 + len(words))
+
+
+def test_marks_are_known_apart_from_their_words():
+    from tokenizers import Tokenizer
+
+    json = m.tokenizer_json()
+    tokenizer, ids_of = Tokenizer.from_str(json), m.WordIds(json)
+    marks = [".", ",", "!!", ".***", "'", "|>", "\\"]
+    words = [*dict.fromkeys(prose(3, 60).replace(".", "").split())][:20] + ["café", "straße", "ÿ"]
+    text = "\n".join(" ".join(w + mark for w in words) for mark in marks) + " "
+    # where a mark may belong to the letter before it: lower case or composing ends in a mark, special tokens
+    odd = ["İ. x", "क़. x", "é. É, x", "ſ! ŉ! Ā! x", "don't.\x0bit's, x", "ab<|endoftext|> x. y,", "", " ", "a.b. ", ". ,", "x.\x85y.\xa0z. "]
+    for one in (text, *odd):
+        (ids,) = ids_of.of([one])
+        assert ids == np.array(tokenizer.encode(one, add_special_tokens=False).ids, "<u4").tobytes()
+    for some in (["", None], [None], [" \t"], odd + [None]):
+        want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert list(ids_of.of(some)) == want
+    ids_of = m.WordIds(json)
+    list(ids_of.of([text]))
+    assert len(ids_of.known) <= len(words) + len(marks) + 1
