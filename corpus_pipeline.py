@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,23 @@ from rolesift.llm.template_leaks import drop_leaks
 from rolesift.llm.weak_quality import keep_good
 from rolesift.session import shared_folder
 
+# of an Arrow batch; Spark's own bounds are 10,000 rows and 64 MB
+BATCH_BYTES = 4 << 20
+
+
+def bounded(stage: Callable) -> Callable:
+    """A stage whose Arrow batches are bounded in this session by bytes too, as whole texts lie in them.
+
+    Each running task holds its batch in the JVM and again in its worker; a stage is lazy,
+    so the bound stays set."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed quality rules keep."""
@@ -40,11 +59,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("packing", packed),
+    ("quality", bounded(quality)),
+    ("near_duplicates", bounded(near_duplicates)),
+    ("decontamination", bounded(decontamination)),
+    ("personal_data", bounded(personal_data)),
+    ("packing", bounded(packed)),
 ]
 
 

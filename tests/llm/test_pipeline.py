@@ -34,3 +34,16 @@ def test_empty_and_extra_columns(tricky, spark):
             out = stage(spark, rows, SF)
             assert out.columns == tricky.columns
             out.collect()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(200).coalesce(1).selectExpr("id AS doc_id", "repeat('x', 100000) AS text")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            stage(spark, docs, SF)
+        sizes = docs.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) < 5 << 20
+    finally:
+        spark.conf.set(key, before)
