@@ -11,12 +11,18 @@ and not just neighbours. (Groups are maximal within pieces; spans that touch acr
 pieces of a document are joined at the end.)
 
 An occurrence is removed when its group also occurs in a document of smaller id. Of
-pieces that are equal within a block of documents only those of the least id travel;
-the others are resolved on the spot, so a copy or a hot passage costs a block one
-piece. Pieces travel compressed, as a row for each block and bucket, and what is found
+pieces that are equal within a load (some blocks of documents) only those of the least id
+travel; the others are resolved on the spot, so a copy or a hot passage costs a load one
+piece. Pieces travel compressed, as a row for each load and bucket, and what is found
 returns by block, so no row is made for a position and no text is shuffled unless the
 spans outgrow a broadcast.
 
+Memory does not grow with the table: texts are cut a few at a time, buckets grow in number
+and not in size, and a bucket holds its pieces as plain bytes. Its windows are compared in
+turns, each with all windows of some contexts: equal windows have their minimiser at one
+offset, so they share the bytes to the right of it, or those to the left where the right
+side is short.
+
 Null text counts as empty. A null id counts as larger than any other. Equal ids are
 not smaller than each other, so repeated rows do not remove each other.
 """
@@ -33,14 +39,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import arrow_map, table
+from rolesift.llm.base import table
 from rolesift.llm.dart_minhash import mix
-from rolesift.session import broadcast_if_small, materialize
+from rolesift.session import broadcast_if_small, materialize, shuffles_removed
 
 LEAST = 50
 GRAM = 12
 BUCKETS = 512  # at least; more for more input
-_BLOCK_BYTES = 3_000_000
+# texts cut at once, of a block, in which what is found returns, and blocks of a load, in which pieces travel
+_CUT_BYTES = 1 << 18
+_BLOCK_BYTES = 8 << 20
+_LOAD_BLOCKS = 4
+_ROWS_BYTES = 4 << 20  # of rows sent at once
+_TURN = 4096  # pieces whose windows are compared at once
+_TEXTS = 256  # out of which spans are cut at once
+_BATCH_BYTES = 4 << 20  # of an Arrow batch; Spark's own bounds are 10,000 rows and 64 MB
 _NO_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _M64 = 2**64 - 1
@@ -137,49 +150,75 @@ def _unpacked(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _cut(least: int, buckets: int):
-    """Blocks of documents -> a row for each bucket, one with the ids, one with what is resolved at once."""
+    """Loads of documents -> a row for each bucket, and for each block one with the ids, one with what is resolved at once."""
 
-    def block_rows(block: int, ids: np.ndarray, nodes: np.ndarray, texts: list[bytes]) -> Iterator[tuple]:
-        yield -1 - block % 1_000_000, block, _packed([ids, nodes])
+    def cut_some(texts: list[bytes], turn: int, owner_from: int, data_from: int) -> tuple:
         owner, start, length, offset, gram, key, data, at = cut_pieces(texts, least)
+        columns = (np.full(len(owner), turn, "u1"), (owner + owner_from).astype("u4"), start.astype("u4"), length.astype("u1"),
+                   offset.astype("u1"), gram, key, at + data_from)
+        return columns, data
+
+    def load_rows(first_block: int, blocks: list[tuple], cuts: list[tuple]) -> Iterator[tuple]:
+        for turn, (ids, nodes) in enumerate(blocks):
+            block = first_block + turn
+            yield -1 - block % 1_000_000, block, _packed([ids, nodes])
+        turn, owner, start, length, offset, gram, key, at = (np.concatenate(c) for c in zip(*(c for c, _ in cuts)))
         if not len(owner):
             return
+        data = np.concatenate([d for _, d in cuts])
+        cuts.clear()
+        before = np.cumsum([0, *(len(ids) for ids, _ in blocks)])
+        ids = np.concatenate([ids for ids, _ in blocks])[before[turn] + owner]
         # of equal pieces only those of the least id go on
-        order = np.lexsort((ids[owner], key))
-        lead = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        least_id = ids[owner][order][np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+        order = np.argsort(key)
+        lead = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        least_id = np.minimum.reduceat(ids[order], lead)
         resolved = np.zeros(len(owner), bool)
-        resolved[order] = ids[owner][order] > least_id
-        if resolved.any():
-            yield -1 - block % 1_000_000, block, b"r" + _packed(
-                [owner[resolved].astype("u4"), start[resolved].astype("u4"), length[resolved].astype("u2")]
-            )
+        resolved[order] = ids[order] > np.repeat(least_id, np.diff(np.append(lead, len(order))))
+        for k in range(len(blocks)):
+            mine = np.flatnonzero(resolved & (turn == k))
+            if len(mine):
+                block = first_block + k
+                yield -1 - block % 1_000_000, block, b"r" + _packed([owner[mine], start[mine], length[mine].astype("u2")])
         on = np.flatnonzero(~resolved)
-        bucket = (mix(gram[on] + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
+        bucket = (mix(gram[on] + np.uint64(77)) % np.uint64(buckets)).astype("u2" if buckets < 1 << 16 else "u4")
         on = on[np.argsort(bucket, kind="stable")]
-        cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = on[cuts[b] : cuts[b + 1]]
-            if len(mine):
-                of = owner[mine]
-                arrays = [of.astype("u4"), np.diff(ids[of], prepend=0), start[mine].astype("u4"),
-                          length[mine].astype("u1"), offset[mine].astype("u1")]
-                yield b, block, _packed(arrays, _bytes_at(data, at[mine], length[mine]))
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        for b in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            mine = on[ends[b - 1] if b else 0 : ends[b]]
+            arrays = [turn[mine], owner[mine], np.diff(ids[mine], prepend=0), start[mine], length[mine], offset[mine]]
+            yield b, first_block, _packed(arrays, _bytes_at(data, at[mine], length[mine].astype(np.int64)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        number = 0
-        ids, nodes, texts, held = [], [], [], 0
-
-        def flush():
+        number, blocks, cuts, cut_bytes = 0, [], [], 0
+        ids, nodes, texts, held, block_bytes = [], [], [], 0, 0
+
+        def cut() -> None:
+            nonlocal texts, held, block_bytes, cut_bytes
+            if texts:
+                cuts.append(cut_some(texts, len(blocks), len(ids) - len(texts), cut_bytes))
+                cut_bytes += len(cuts[-1][1])
+                texts, held, block_bytes = [], 0, block_bytes + held
+
+        def close() -> None:
+            nonlocal ids, nodes, block_bytes
+            cut()
+            blocks.append((np.array(ids, np.int64), np.array(nodes, np.int64)))
+            ids, nodes, block_bytes = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
             # reading the same files again gives the same blocks, so a task that runs again agrees
-            block = (part << 24) + number
-            rows = list(block_rows(block, np.array(ids, np.int64), np.array(nodes, np.int64), texts))
-            columns = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
-                names=["bucket", "block", "data"],
-            )
+            nonlocal number, blocks, cuts, cut_bytes
+            rows, size = [], 0
+            for row in load_rows((part << 24) + number, blocks, cuts):
+                rows.append(row)
+                size += len(row[2])
+                if size > _ROWS_BYTES:
+                    yield sent(rows)
+                    rows, size = [], 0
+            yield sent(rows)
+            number, blocks, cuts, cut_bytes = number + len(blocks), [], [], 0
 
         for batch in batches:
             for doc_id, node, text in zip(*(batch.column(k) for k in range(3))):
@@ -187,13 +226,24 @@ def _cut(least: int, buckets: int):
                 ids.append(_NO_ID if doc_id is None else doc_id)
                 nodes.append(node.as_py())
                 texts.append(text.as_py().encode())
-                held += len(texts[-1])
-                if held > _BLOCK_BYTES:
-                    yield flush()
-                    number += 1
-                    ids, nodes, texts, held = [], [], [], 0
+                held += len(texts[-1]) + 16
+                if held > _CUT_BYTES:
+                    cut()
+                if block_bytes > _BLOCK_BYTES:
+                    close()
+                    if len(blocks) == _LOAD_BLOCKS:
+                        yield from flush()
         if ids:
-            yield flush()
+            close()
+        if blocks:
+            yield from flush()
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
+            names=["bucket", "block", "data"],
+        )
 
     return run
 
@@ -307,62 +357,85 @@ def _scanned(starts: np.ndarray, lcp: np.ndarray, before: np.ndarray, docs: np.n
 
 
 def _in_bucket(least: int):
-    def find(key: tuple, parts: pa.Table) -> pa.Table:
-        blocks, data = parts.column("block").to_pylist(), parts.column("data")
-        if key[0].as_py() < 0:  # ids and what was resolved at once pass through
-            rows = [(b, not x.as_py().startswith(b"r"), x.as_py().removeprefix(b"r")) for b, x in zip(blocks, data)]
-            return _table(rows)
-        arrays, tails, of_block = [], [], []
-        for block, x in zip(blocks, data):
-            some, tail = _unpacked(x.as_py())
-            some[1] = np.cumsum(some[1])
-            arrays.append(some)
-            tails.append(tail)
-            of_block.append(np.full(len(some[0]), block))
-        owner, ids, start, length, offset = (np.concatenate(c).astype(np.int64) for c in zip(*arrays))
-        text, block = np.concatenate(tails), np.concatenate(of_block)
-        begin = np.cumsum(length) - length
-        # a shared string holds the minimiser and at least ``side`` bytes on one side of it, so
-        # pieces whose either context occurs in one document only have nothing to offer
-        words = _words(text)
-        side = (least - GRAM + 1) // 2
-        live_ = np.zeros(len(begin), bool)
-        for back, enough in ((0, offset + GRAM + side <= length), (side, offset >= side)):
-            some = np.flatnonzero(enough)
+    # a shared string holds the minimiser and at least ``side`` bytes to the right of it, or else more than ``far`` to the left
+    side = (least - GRAM + 1) // 2
+    far = least - GRAM - side
+
+    def sides(length: np.ndarray, offset: np.ndarray, tail: np.ndarray) -> Iterator[tuple]:
+        """(pieces, first window, last window, context) of the windows that reach far to the right, and of the others."""
+        length, offset = length.astype(np.int64), offset.astype(np.int64)
+        anchor, words = np.cumsum(length) - length + offset, _words(tail)
+        last = length - least
+        for first, to, back, salt in ((np.maximum(offset - far, 0), last, 0, 0), (0 * last, np.minimum(last, offset - far - 1), side, 1)):
+            some = np.flatnonzero(first <= to)
             if len(some):
-                live_[some] |= _shared(_context(words, (begin + offset)[some] - back, GRAM + side), ids[some])
-        live = np.flatnonzero(live_)
-        if not len(live):
-            return _table([])
-        n_windows = length[live] - least + 1
-        piece = np.repeat(live, n_windows)
-        step = np.arange(len(piece)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+                context = mix(_context(words, anchor[some] - back, GRAM + side) + np.uint64(salt))
+                yield some, first[some].astype("u1"), to[some].astype("u1"), context
+
+    def spans(text: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarray, length: np.ndarray, begin: np.ndarray) -> tuple:
+        """(place among these, first byte, end) of what is removed of some pieces, by their windows ``first`` to ``last``."""
+        text = np.frombuffer(_bytes_at(text, begin, length), np.uint8)
+        words, begin = _words(text), np.cumsum(length) - length
+        n_windows = last - first + 1
+        piece = np.repeat(np.arange(len(begin)), n_windows)
+        step = np.arange(len(piece)) + np.repeat(first - np.cumsum(n_windows) + n_windows, n_windows)
         place = begin[piece] + step
         live = _shared(_context(words, place, least), ids[piece])
         piece, step, place = piece[live], step[live], place[live]
-        if not len(piece):
-            return _table([])
-        order, lcp = suffix_array(text, place, length[piece] - step, least, words)
-        piece, step, place = piece[order], step[order], place[order]
-        before = np.where(step > 0, text[np.maximum(place - 1, 0)].astype(np.int64), -1)
-        docs = ids[piece]
         cover = np.zeros(len(piece), np.int64)
-        even, uneven = even_runs(lcp, before, docs, least)
-        # these do not overlap
-        many = even[1] - even[0] + 1
-        at = np.repeat(even[0] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        cover[at] = np.where(docs[at] > np.repeat(even[3], many), np.repeat(even[2], many), 0)
-        for first, last, size, low in _scanned(uneven, lcp, before, docs, least):
-            span = slice(first, last + 1)
-            cover[span] = np.maximum(cover[span], np.where(docs[span] > low, size, 0))
+        if len(piece):
+            order, lcp = suffix_array(text, place, length[piece] - step, least, words)
+            before = np.where(step > 0, text[np.maximum(place - 1, 0)].astype(np.int64), -1)[order]
+            docs, covered = ids[piece[order]], np.zeros(len(piece), np.int64)
+            even, uneven = even_runs(lcp, before, docs, least)
+            # these do not overlap
+            many = even[1] - even[0] + 1
+            at = np.repeat(even[0] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            covered[at] = np.where(docs[at] > np.repeat(even[3], many), np.repeat(even[2], many), 0)
+            for low, high, size, least_id in _scanned(uneven, lcp, before, docs, least):
+                span = slice(low, high + 1)
+                covered[span] = np.maximum(covered[span], np.where(docs[span] > least_id, size, 0))
+            cover[order] = covered
         hit = np.flatnonzero(cover)
-        hit = hit[np.argsort(block[piece[hit]], kind="stable")]
-        of = block[piece[hit]]
-        rows = []
-        for mine in np.split(hit, np.flatnonzero(np.diff(of)) + 1) if len(hit) else []:
-            p = piece[mine]
-            spans = [owner[p].astype("u4"), (start[p] + step[mine]).astype("u4"), cover[mine].astype("u2")]
-            rows.append((int(block[p[0]]), False, _packed(spans)))
+        lead = np.flatnonzero(np.diff(piece[hit], prepend=-1))
+        # all windows of a piece overlap, so what is removed of it is one span
+        return piece[hit[lead]], step[hit[lead]], np.maximum.reduceat((step + cover)[hit], lead) if len(lead) else lead
+
+    def find(key: tuple, parts: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # ids and what was resolved at once pass through
+            data = [x.as_py() for x in parts.column("data")]
+            return _table([(b, not x.startswith(b"r"), x.removeprefix(b"r")) for b, x in zip(parts.column("block").to_pylist(), data)])
+        pieces, entries, n = [], [], 0
+        for block, x in zip(parts.column("block"), parts.column("data")):
+            (turn, owner, ids, start, length, offset), tail = _unpacked(x.as_py())
+            ends = np.cumsum(length, dtype=np.int64)
+            for a in range(0, len(owner), _TURN):
+                b = min(a + _TURN, len(owner))
+                for some, first, last, context in sides(length[a:b], offset[a:b], tail[ends[a] - length[a] : ends[b - 1]]):
+                    entries.append(((some + n + a).astype("u4"), first, last, context))
+            pieces.append((turn + np.int64(block.as_py()), owner, np.cumsum(ids), start, length, tail))
+            n += len(owner)
+        block, owner, ids, start, length, text = (np.concatenate(c) for c in zip(*pieces))
+        piece, first, last, context = (np.concatenate(c) for c in zip(*entries))
+        pieces.clear()
+        entries.clear()
+        live = np.flatnonzero(_shared(context, ids[piece]))
+        live = live[np.argsort(context[live])]
+        ends = np.append(np.flatnonzero(np.diff(context[live])) + 1, len(live))
+        # all pieces of a context are in one turn
+        ends = ends[np.append(np.diff(ends // _TURN) > 0, True)] if len(live) else ends[:0]
+        piece, first, last, begin = piece[live], first[live].astype(np.int64), last[live].astype(np.int64), np.cumsum(length, dtype=np.int64) - length
+        found = []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            p = piece[a:b]
+            at, low, high = spans(text, ids[p], first[a:b], last[a:b], length[p].astype(np.int64), begin[p])
+            found.append((p[at], (start[p[at]] + low).astype("u4"), (high - low).astype("u2")))
+        if not found:
+            return _table([])
+        p, start, size = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(block[p], kind="stable")
+        cuts = np.flatnonzero(np.diff(block[p[order]])) + 1
+        rows = [(int(block[p[mine[0]]]), False, _packed([owner[p[mine]], start[mine], size[mine]])) for mine in np.split(order, cuts) if len(mine)]
         return _table(rows)
 
     return find
@@ -378,7 +451,9 @@ def _context(words: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
 
 def _shared(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Whether each key occurs with more than one document."""
-    order = np.argsort(keys, kind="stable")
+    if not len(keys):
+        return np.zeros(0, bool)
+    order = np.argsort(keys)
     keys, docs = keys[order], docs[order]
     lead = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     several = np.minimum.reduceat(docs, lead) != np.maximum.reduceat(docs, lead)
@@ -421,23 +496,26 @@ def _merged(key: tuple, parts: pa.Table) -> pa.Table:
 
 def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, node, spans) of texts ``(doc_id, node, text)`` that repeat earlier documents."""
-    buckets = max(BUCKETS, 8 * texts.rdd.getNumPartitions())
+    spark = texts.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    buckets = max(BUCKETS, 4 * texts.rdd.getNumPartitions())
     parts = texts.mapInArrow(_cut(least, buckets), _PARTS)
-    found = materialize(parts.groupBy("bucket").applyInArrow(_in_bucket(least), _FOUND))
-    spans = found.groupBy("block").applyInArrow(_merged, "doc_id long, node long, spans binary")
-    return materialize(spans.dropDuplicates(["doc_id", "node"]))
+    with shuffles_removed(spark):
+        found = materialize(parts.groupBy("bucket").applyInArrow(_in_bucket(least), _FOUND))
+        spans = found.groupBy("block").applyInArrow(_merged, "doc_id long, node long, spans binary")
+        return materialize(spans.dropDuplicates(["doc_id", "node"]))
 
 
-def without_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay) of every document."""
+def without_repeats(documents: DataFrame, least: int = LEAST, kept: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document, and ``kept`` (the bytes that stay) if asked for."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("node"), "text")
     spans = broadcast_if_small(repeated_spans(texts, least), _BROADCAST_SPANS)
     other = spans.select(F.col("doc_id").alias("d"), F.col("node").alias("h"), "spans")
     joined = texts.join(other, texts["doc_id"].eqNullSafe(other["d"]) & (texts["node"] == other["h"]), "left")
 
-    def batch(rows: pa.RecordBatch) -> dict:
-        out = {name: [] for name in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+    def some(rows: pa.RecordBatch) -> pa.RecordBatch:
+        out = {name: [] for name in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")[: 4 + kept]}
         for text, spans_ in zip(rows.column("text").to_pylist(), rows.column("spans").to_pylist()):
             data = text.encode()
             cuts = np.frombuffer(spans_ or b"", "<u4").reshape(-1, 2).tolist()
@@ -445,18 +523,23 @@ def without_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
             for a, b in cuts:
                 parts.append(data[last:a])
                 last = b
-            kept = b"".join([*parts, data[last:]])
-            values = (len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept)
+            left = b"".join([*parts, data[last:]])
+            values = (len(data), len(data) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left)
             for column, value in zip(out.values(), values):
                 column.append(value)
-        return {"doc_id": rows.column("doc_id"), **{k: pa.array(v) for k, v in out.items()}}
+        return pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), **{k: pa.array(v) for k, v in out.items()}})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                yield some(batch.slice(at, _TEXTS))
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return arrow_map(joined.select("doc_id", "text", "spans"), batch, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
 def op7_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(table(spark, sf_dir, "documents"), kept=False)
 
 
 QUERIES = {"op7_repeat_intervals": (op7_repeat_intervals, None)}

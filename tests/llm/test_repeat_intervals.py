@@ -109,3 +109,55 @@ def test_heads_of_one_hash_are_told_apart(monkeypatch):
         name = lambda f, n: bytes(data[places[order[f]] : places[order[f]] + n])
         found.append({(name(f, n), tuple(sorted(places[order[f : last + 1]].tolist()))) for f, last, n, _ in groups})
     assert found[0] == found[1]
+
+
+def test_small_blocks_and_turns_find_the_same(spark, monkeypatch):
+    for name, value in (("_CUT_BYTES", 200), ("_BLOCK_BYTES", 600), ("_LOAD_BLOCKS", 2), ("_ROWS_BYTES", 500), ("_TURN", 3), ("_TEXTS", 2)):
+        monkeypatch.setattr(m, name, value)
+    draw = random.Random(5)
+    passages = ["".join(draw.choice("abc") for _ in range(120)) for _ in range(3)]
+    rows = []
+    for i in range(50):
+        p = draw.choice(passages)
+        rows.append((draw.choice((None, i, i // 2)), "".join(draw.choice("ab ") for _ in range(draw.randint(0, 60))) + p[draw.randint(0, 70) :] + p[: draw.randint(0, 90)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(docs) == brute(rows, 50)
+
+
+def test_memory_of_a_bucket_is_a_few_times_its_pieces(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(m, "TaskContext", Task)
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(500)]
+    lines = [" ".join(draw.choices(words, k=40)) for _ in range(200)]
+    texts = [" ".join([*draw.choices(words, k=150), draw.choice(lines), *draw.choices(words, k=150), draw.choice(lines)]) for _ in range(1200)]
+    ids = range(len(texts))
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "node": pa.array(ids), "text": pa.array(texts)})
+    rows = [row for batch in m._cut(50, 1)(iter([docs])) for row in batch.to_pylist() if row["bucket"] == 0]
+    parts = pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
+    held = sum(len(m._unpacked(row["data"])[1]) for row in rows)
+    tracemalloc.start()
+    try:
+        found = m._in_bucket(50)((pa.scalar(0),), parts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held > 8_000_000 and found.num_rows > 0
+    assert peak < 8 * held, peak / held
+
+
+def test_shuffle_files_go_with_what_was_found(spark):
+    from rolesift.session import shuffles_removed
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    with shuffles_removed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
