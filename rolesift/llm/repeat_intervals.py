@@ -49,7 +49,7 @@ BUCKETS = 512  # at least; more for more input
 # texts cut at once, of a block, in which what is found returns, and blocks of a load, in which pieces travel
 _CUT_BYTES = 1 << 18
 _BLOCK_BYTES = 8 << 20
-_LOAD_BLOCKS = 4
+_LOAD_BLOCKS = 2
 _ROWS_BYTES = 4 << 20  # of rows sent at once
 _TURN = 4096  # pieces whose windows are compared at once
 _TEXTS = 256  # out of which spans are cut at once
@@ -149,39 +149,49 @@ def _unpacked(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return out, np.frombuffer(plain, np.uint8, offset=at)
 
 
+def _columns(rows: list[tuple]) -> list[np.ndarray]:
+    """The columns of some rows of arrays, joined; takes the rows, so that a column is held twice at a time."""
+    columns = [list(c) for c in zip(*rows)]
+    rows.clear()
+    return [np.concatenate([c.pop(0) for _ in range(len(c))]) for c in columns]
+
+
 def _cut(least: int, buckets: int):
     """Loads of documents -> a row for each bucket, and for each block one with the ids, one with what is resolved at once."""
 
     def cut_some(texts: list[bytes], turn: int, owner_from: int, data_from: int) -> tuple:
         owner, start, length, offset, gram, key, data, at = cut_pieces(texts, least)
-        columns = (np.full(len(owner), turn, "u1"), (owner + owner_from).astype("u4"), start.astype("u4"), length.astype("u1"),
-                   offset.astype("u1"), gram, key, at + data_from)
-        return columns, data
+        bucket = (mix(gram + np.uint64(77)) % np.uint64(buckets)).astype("u2" if buckets < 1 << 16 else "u4")
+        return (np.full(len(owner), turn, "u1"), (owner + owner_from).astype("u4"), start.astype("u4"), length.astype("u1"),
+                offset.astype("u1"), bucket, key, at + data_from, data)
+
+    def above_least(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether an equal key has a smaller id."""
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        out = np.zeros(len(order), bool)
+        out[order] = ids > np.repeat(np.minimum.reduceat(ids, lead), np.diff(np.append(lead, len(order))))
+        return out
 
     def load_rows(first_block: int, blocks: list[tuple], cuts: list[tuple]) -> Iterator[tuple]:
         for turn, (ids, nodes) in enumerate(blocks):
             block = first_block + turn
             yield -1 - block % 1_000_000, block, _packed([ids, nodes])
-        turn, owner, start, length, offset, gram, key, at = (np.concatenate(c) for c in zip(*(c for c, _ in cuts)))
+        turn, owner, start, length, offset, bucket, key, at, data = _columns(cuts)
         if not len(owner):
             return
-        data = np.concatenate([d for _, d in cuts])
-        cuts.clear()
-        before = np.cumsum([0, *(len(ids) for ids, _ in blocks)])
-        ids = np.concatenate([ids for ids, _ in blocks])[before[turn] + owner]
+        ids = np.concatenate([ids for ids, _ in blocks])[owner + np.cumsum([0, *(len(ids) for ids, _ in blocks)])[turn]]
         # of equal pieces only those of the least id go on
-        order = np.argsort(key)
-        lead = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        least_id = np.minimum.reduceat(ids[order], lead)
-        resolved = np.zeros(len(owner), bool)
-        resolved[order] = ids[order] > np.repeat(least_id, np.diff(np.append(lead, len(order))))
+        resolved = above_least(key, ids)
+        del key
         for k in range(len(blocks)):
             mine = np.flatnonzero(resolved & (turn == k))
             if len(mine):
                 block = first_block + k
                 yield -1 - block % 1_000_000, block, b"r" + _packed([owner[mine], start[mine], length[mine].astype("u2")])
         on = np.flatnonzero(~resolved)
-        bucket = (mix(gram[on] + np.uint64(77)) % np.uint64(buckets)).astype("u2" if buckets < 1 << 16 else "u4")
+        bucket = bucket[on]
         on = on[np.argsort(bucket, kind="stable")]
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         for b in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
@@ -198,7 +208,7 @@ def _cut(least: int, buckets: int):
             nonlocal texts, held, block_bytes, cut_bytes
             if texts:
                 cuts.append(cut_some(texts, len(blocks), len(ids) - len(texts), cut_bytes))
-                cut_bytes += len(cuts[-1][1])
+                cut_bytes += len(cuts[-1][-1])
                 texts, held, block_bytes = [], 0, block_bytes + held
 
         def close() -> None:
@@ -415,10 +425,8 @@ def _in_bucket(least: int):
                     entries.append(((some + n + a).astype("u4"), first, last, context))
             pieces.append((turn + np.int64(block.as_py()), owner, np.cumsum(ids), start, length, tail))
             n += len(owner)
-        block, owner, ids, start, length, text = (np.concatenate(c) for c in zip(*pieces))
-        piece, first, last, context = (np.concatenate(c) for c in zip(*entries))
-        pieces.clear()
-        entries.clear()
+        block, owner, ids, start, length, text = _columns(pieces)
+        piece, first, last, context = _columns(entries)
         live = np.flatnonzero(_shared(context, ids[piece]))
         live = live[np.argsort(context[live])]
         ends = np.append(np.flatnonzero(np.diff(context[live])) + 1, len(live))
@@ -498,7 +506,7 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, node, spans) of texts ``(doc_id, node, text)`` that repeat earlier documents."""
     spark = texts.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
-    buckets = max(BUCKETS, 4 * texts.rdd.getNumPartitions())
+    buckets = max(BUCKETS, 3 * texts.rdd.getNumPartitions())
     parts = texts.mapInArrow(_cut(least, buckets), _PARTS)
     with shuffles_removed(spark):
         found = materialize(parts.groupBy("bucket").applyInArrow(_in_bucket(least), _FOUND))
