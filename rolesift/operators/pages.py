@@ -118,9 +118,10 @@ def copies_of_runs(fetches: DataFrame, first_run: Column, hours: int, kept: list
     falling = Window.partitionBy(*page).orderBy(F.desc("_us"))
     marked = narrow.withColumn("_start", F.when(starts, F.col("_us")))
     ended = marked.withColumn("_end", F.min("_start").over(falling.rangeBetween(Window.unboundedPreceding, -1)))
-    # greatest() passes over nulls, but a crawl that nothing ends has no last run
-    since = lambda c: F.when(c.isNotNull(), F.greatest(F.ceil((c - micros(first_run)) / hour).cast("int"), F.lit(0)))
-    runs = ended.withColumns({"_from": since(F.col("_us")), "_to": F.least(F.coalesce(since(F.col("_end")), F.lit(hours)), F.lit(hours))})
+    since = lambda c: F.greatest(F.ceil((c - micros(first_run)) / hour).cast("int"), F.lit(0))
+    # greatest() passes over nulls, but a crawl that nothing ends is read by all later runs
+    endless = F.col("_us").isNotNull() & F.col("_end").isNull()
+    runs = ended.withColumns({"_from": since(F.col("_us")), "_to": F.when(endless, F.lit(hours)).otherwise(F.least(since(F.col("_end")), F.lit(hours)))})
     inside = runs.filter(F.col("_from") < F.col("_to"))
     return inside.select(F.explode(F.sequence("_from", F.col("_to") - 1)).alias("run"), *dict.fromkeys([*page, *kept]))
 
